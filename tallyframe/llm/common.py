@@ -98,13 +98,13 @@ def map_columns(df: DataFrame, fn: Callable[..., Sequence], schema: str, rows: i
     return df.mapInArrow(run, schema)
 
 
-def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words (runs without ASCII white space) of whole texts: their codes, the distinct words, each text's first word.
 
-    lower: A-Z become a-z before. Null texts have no words.
+    Null texts have no words.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     flat, bounds = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     full = np.asarray(pc.binary_length(flat)) > 0  # leading and trailing white space makes empty words
     first = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.llm.chat import op8_chat_fsm
 from tallyframe.llm.media import op10_matroska
 from tallyframe.llm.packing import op4_pack_ffd
+from tallyframe.llm.toxicity import op2_toxicity_nnpu
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_pack_ffd, op10_matroska)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity_nnpu, op4_pack_ffd, op8_chat_fsm, op10_matroska)}
 
 ORACLE_SQL: dict[str, str] = {}
