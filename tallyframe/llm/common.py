@@ -6,6 +6,7 @@ package, and how tables are read.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,11 @@ class Cut:
         out._cut_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark's cleaner remove shuffle files of frames that are no longer used, before they pile up."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes the tables behind these frames; nothing may read them later."""
         jvm = self.spark.sparkContext._jvm

@@ -38,6 +38,8 @@ FREQUENT = 1 << 18
 RARE = 32
 #: Bits of the filter by which texts of remaining classes are found again (fixed size, 2 MB).
 BLOOM_WORDS = 1 << 18
+#: Places of the parity sketch. Sketches of two sets differ in no more places than the sets in tokens.
+PARITY = 2048
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -93,6 +95,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mixed(x) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
     """doc_id, n, two sums that name the set, the m of the filter and its prefix of 32-bit tokens."""
 
@@ -120,17 +127,21 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, remaining: DataFrame, k: int) -> DataFrame:
-    """id, h: the sorted tokens of the remaining classes' representatives, from their whole texts."""
+    """id, h, bits of the remaining classes' representatives, from their whole texts.
+
+    h: the sorted tokens. bits: the parity of the tokens that fall on each of PARITY places.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bloom_of(remaining))
 
     def run(ids: pa.Array, w: pa.Array, b: pa.Array, texts: pa.Array) -> list:
         hit = shared.value[w.to_numpy()] >> b.to_numpy() & 1 == 1
         at = pa.array(np.flatnonzero(hit))
-        return [ids.take(at), [signed(x) for x in shingle_sets(texts.take(at), k)]]
+        sets = shingle_sets(texts.take(at), k)
+        return [ids.take(at), [signed(x) for x in sets], [parity(x) for x in sets]]
 
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
     word, bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(BLOOM_WORDS)), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(64))
-    probable = map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>", rows=2000, raw=True)
+    probable = map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>, bits array<long>", rows=2000, raw=True)
     return probable.join(remaining, "id", "left_semi")
 
 
@@ -186,13 +197,24 @@ def signature_rows(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, boun
     return map_columns(sets.select("id", "h"), run, "sig long, id long, n long", rows=200)
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """Pairs (a, b) that sizes and parity sketches do not rule out; no pair over the threshold is ruled out."""
+    marks = sets.select("id", F.size("h").alias("n"), "bits")
+    side = lambda s: marks.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("n_a") + F.col("n_b")
+    sized = (bound.whole * F.col("n_a") >= bound.part * F.col("n_b")) & (bound.whole * F.col("n_b") >= bound.part * F.col("n_a"))
+    return both.where(sized & ((bound.whole + bound.part) * apart <= (bound.whole - bound.part) * total)).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their whole sets, plus `linked`; all pairs are returned."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b")
+    """Those of the pairs (a, b) that reach the threshold on their whole sets."""
+    left = plausible(pairs, sets, bound).join(sets.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("h").alias("h_a")), "a")
     common = F.size(F.array_intersect("h_a", "h_b"))
     measured = both.select("a", "b", common.alias("i"), (F.size("h_a") + F.size("h_b")).alias("s"))
-    return measured.select("a", "b", (bound.whole * F.col("i") >= bound.part * (F.col("s") - F.col("i"))).alias("linked"))
+    return measured.where(bound.whole * F.col("i") >= bound.part * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame | None:
@@ -200,37 +222,41 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     remaining = cut(tokens.join(often, "t", "left_semi").groupBy("id", "m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m")).select("id"))
+    cut.tidy()
     sets = cut(full_sets(docs, remaining, k))
     rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
     sigs = cut(rows)
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
     shared = cut(sigs.join(firsts, "sig"))
     cut.drop(sigs, remaining)
+    cut.tidy()
 
     def near(a: str, b: str):
         return (bound.whole * F.col(a) >= bound.part * F.col(b)) & (bound.whole * F.col(b) >= bound.part * F.col(a))
 
     # round one: the smallest id that shares a signature
-    one = shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
-    done = cut(linked(one, sets, bound))
-    found = components(done.where("linked"), cut)
+    one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    links = cut(linked(one, sets, bound))
+    cut.tidy()
+    found = components(links, cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
-    apart = lambda p: p.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    two = apart(shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    more = cut(linked(two.join(done, ["a", "b"], "left_anti"), sets, bound))
-    done = done.unionByName(more)
-    found = components(done.where("linked"), cut)
+    stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    two = cut(apart.join(one, ["a", "b"], "left_anti"))
+    links = cut(links.unionByName(linked(two, sets, bound)))
+    cut.tidy()
+    found = components(links, cut)
     # round three: all pairs that are still apart
     at = shared.join(name("id"), "id", "left").select("sig", "id", "n", F.coalesce("c_id", "id").alias("component"))
-    mixed_groups = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    open_rows = cut(at.join(mixed_groups, "sig", "left_semi"))
+    split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    open_rows = cut(at.join(split, "sig", "left_semi"))
     left, right = (open_rows.select("sig", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
     three = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near("n_a", "n_b")).select("a", "b").distinct()
-    last = cut(linked(three.join(done, ["a", "b"], "left_anti"), sets, bound))
-    done = done.unionByName(last)
-    out = components(done.where("linked"), cut)
-    cut.drop(open_rows, shared, sets)
+    links = cut(links.unionByName(linked(three.join(one.unionByName(two), ["a", "b"], "left_anti"), sets, bound)))
+    cut.tidy()
+    out = components(links, cut)
+    cut.drop(open_rows, shared, sets, one, two)
     return out
 
 
@@ -238,9 +264,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int =
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = ready(docs.sparkSession)
     cut, bound = Cut(spark), Bound(part, whole)
-    prints = cut(fingerprints(docs, k, bound))
+    wide = cut(fingerprints(docs, k, bound))
+    prints = cut(wide.drop("prefix", "m"))
     key = ["fp_a", "fp_b", "n"]
-    classes = cut(prints.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("m").alias("m")))
+    classes = cut(wide.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("m").alias("m")))
+    cut.drop(wide)
+    cut.tidy()
     found = class_components(docs, classes, k, bound, cut)
     named = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     out = prints.select("doc_id", *key).join(named, key, "left")
