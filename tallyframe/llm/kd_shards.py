@@ -7,10 +7,11 @@ dimension's coordinate is a 62-bit number: the metadata value in the high bits,
 a hash of the id last. So equal texts lie side by side where their metadata agree, and a hot source, a
 group of copies or a tied value is still cut exactly at the right weight.
 
-A level of the tree costs one pass for the widths and a few for the medians: weights are summed by node
-and 1/1024 of the interval in question, the interval with the median is opened, and so on until its weight
-is below TOLERANCE of a shard. Only these histograms (shards * 1024 rows) reach the driver. The passes
-read a narrow table of coordinates, written once.
+A level of the tree costs one pass that sums weights by node, dimension and 1/256 of the range, which gives
+the widths and the interval with the median, and a pass or two that open this interval into 4096 parts, until
+the one with the median weighs less than TOLERANCE of a shard. Only these histograms (at most shards * 4096
+rows) reach the driver. The passes read a narrow table of coordinates with each row's node; what differs by
+node (dimension, interval, cut) is joined from a table of at most one row per shard.
 
 Cases: null text counts as empty; null metadata has the coordinate 0; repeated rows are rows of their own
 (their id hash is equal, so they stay together and a slot order among them is any, without gaps); fewer
@@ -27,10 +28,10 @@ from tallyframe.llm.common import Cut, table, text_of
 SHARDS = 40
 OVERHEAD = 16
 DIMENSIONS = ("by_size", "by_source", "by_lang", "by_id")
-VALUE_BITS, TEXT_BITS, ID_BITS = 20, 21, 21
+VALUE_BITS, TEXT_BITS, ID_BITS = 16, 23, 23
 BITS = VALUE_BITS + TEXT_BITS + ID_BITS
-STEP_BITS = 10
-TOLERANCE = 1e-3
+FIRST_BITS, STEP_BITS = 8, 12
+TOLERANCE = 2e-3
 #: Documents that one group of the slot numbering holds on average.
 RUN = 2000
 
@@ -63,77 +64,91 @@ def scaled(base: DataFrame, least: int, most: int) -> DataFrame:
     return base.select("doc_id", "size", "text_crc32", *[F.shiftleft(value(d), TEXT_BITS + ID_BITS).bitwiseOR(tail).alias(d) for d in DIMENSIONS])
 
 
-class Node:
-    """A box of the tree: `shards` leaves from number `first` on; split by `dim` < `cut` once known."""
-
-    def __init__(self, first: int, shards: int):
-        self.first, self.shards, self.dim, self.cut, self.kids = first, shards, "", 0, ()
-
-    def leaves(self) -> list[Node]:
-        return [x for k in self.kids for x in k.leaves()] if self.kids else [self]
-
-    def expression(self) -> str:
-        """SQL of the leaf's first shard."""
-        return f"CASE WHEN {self.dim} < {self.cut} THEN {self.kids[0].expression()} ELSE {self.kids[1].expression()} END" if self.kids else str(self.first)
-
-
-def widest(rows: DataFrame, nodes: dict[int, Node]) -> None:
-    """Sets each node's dimension: the greatest standard deviation by weight of the values on [0, 1)."""
-    unit = lambda d: F.shiftright(d, TEXT_BITS + ID_BITS).cast("double") / (1 << VALUE_BITS)
-    w = F.col("size").cast("double")
-    sums = [F.sum(w).alias("w"), *[F.sum(w * unit(d)).alias(f"{d}_1") for d in DIMENSIONS], *[F.sum(w * unit(d) * unit(d)).alias(f"{d}_2") for d in DIMENSIONS]]
-    found = {r["node"]: r for r in rows.groupBy("node").agg(*sums).collect()}
-    for k, node in nodes.items():
-        r = found.get(k)
-        spread = {d: 0.0 if r is None else r[f"{d}_2"] / r["w"] - (r[f"{d}_1"] / r["w"]) ** 2 for d in DIMENSIONS}
-        node.dim = max(DIMENSIONS, key=lambda d: (round(spread[d], 9), -DIMENSIONS.index(d)))
-
-
-def split(rows: DataFrame, nodes: dict[int, Node], unit: float) -> None:
-    """Sets each node's cut at its weighted median, by histograms over ever smaller intervals."""
-    state = {k: {"lo": 0, "bits": BITS, "left": 0, "goal": None} for k in nodes}
-    todo = dict(nodes)
-    while todo:
-        value = "CASE node " + " ".join(f"WHEN {k} THEN {n.dim}" for k, n in todo.items()) + " END"
-        low = "CASE node " + " ".join(f"WHEN {k} THEN {state[k]['lo']}" for k in todo) + " END"
-        shift = {k: max(0, state[k]["bits"] - STEP_BITS) for k in todo}
-        by = "CASE node " + " ".join(f"WHEN {k} THEN {shift[k]}" for k in todo) + " END"
-        inside = "CASE node " + " ".join(f"WHEN {k} THEN {n.dim} >= {state[k]['lo']} AND {n.dim} - {state[k]['lo']} < {1 << state[k]['bits']}" for k, n in todo.items()) + " ELSE false END"
-        bins = rows.where(inside).select("node", "size", F.expr(f"shiftright({value} - CAST({low} AS BIGINT), {by})").alias("bin")).groupBy("node", "bin").agg(F.sum("size").alias("w")).collect()
-        for k in list(todo):
-            s, node = state[k], todo[k]
-            own = sorted((r["bin"], r["w"]) for r in bins if r["node"] == k)
-            if s["goal"] is None:
-                s["goal"] = sum(w for _, w in own) * (node.shards // 2) / node.shards
-            at, weight = 0, 0
-            for at, weight in own:  # noqa: B007
-                if s["left"] + weight > s["goal"]:
-                    break
-                s["left"] += weight
-            else:  # all weight is left of the goal
-                at, weight = (own[-1][0] + 1, 0) if own else (0, 0)
-            start = s["lo"] + (at << shift[k])
-            if weight <= unit * TOLERANCE or not shift[k]:
-                before, after = s["goal"] - s["left"], s["left"] + weight - s["goal"]
-                node.cut = start if before <= after else start + (1 << shift[k])
-                del todo[k]
-            else:
-                s["lo"], s["bits"] = start, shift[k]
-
-
-def kd_tree(rows: DataFrame, shards: int) -> Node:
-    """The tree over a narrow table of coordinates and sizes."""
-    root = Node(0, shards)
-    total = rows.agg(F.sum("size").alias("w")).first()["w"] or 0
-    while True:
-        open_nodes = {n.first: n for n in root.leaves() if n.shards > 1}
-        if not open_nodes:
-            return root
-        placed = rows.withColumn("node", F.expr(root.expression())).where(F.col("node").isin(*open_nodes))
-        widest(placed, open_nodes)
-        split(placed, open_nodes, total / shards)
-        for n in open_nodes.values():
-            n.kids = (Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2))
+def per_node(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few numbers for each node; at most one row per shard, so it can be broadcast."""
+    values = ", ".join("(" + ", ".join(str(x) for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({schema})"))
+
+
+def chosen(dim: str = "dim") -> Column:
+    """The coordinate of the row's own dimension."""
+    out = F.col(DIMENSIONS[-1])
+    for k, d in reversed(list(enumerate(DIMENSIONS[:-1]))):
+        out = F.when(F.col(dim) == k, F.col(d)).otherwise(out)
+    return out
+
+
+def widest(bins: dict[int, list[tuple[int, int]]]) -> int:
+    """The dimension of the greatest spread: variance by weight of the values on [0, 1)."""
+
+    def variance(own: list[tuple[int, int]]) -> float:
+        w = sum(x for _, x in own)
+        mean = sum(b * x for b, x in own) / w
+        return sum(x * (b - mean) ** 2 for b, x in own) / w
+
+    return max(bins, key=lambda d: (variance(bins[d]), -d))
+
+
+class Search:
+    """One node's search for its weighted median: an interval that is opened step by step."""
+
+    def __init__(self, dim: int, goal: float, limit: float):
+        self.dim, self.goal, self.limit = dim, goal, limit
+        self.lo, self.bits, self.left, self.cut = 0, BITS, 0, None
+
+    def step(self, own: list[tuple[int, int]], taken: int) -> None:
+        """own: (part, weight), sorted; the interval falls into 2^taken parts."""
+        shift = self.bits - taken
+        at, weight = (own[-1][0] + 1, 0) if own else (0, 0)
+        for part, w in own:
+            if self.left + w > self.goal:
+                at, weight = part, w
+                break
+            self.left += w
+        start = self.lo + (at << shift)
+        if weight <= self.limit or not shift:
+            before, after = self.goal - self.left, self.left + weight - self.goal
+            self.cut = start if before <= after else start + (1 << shift)
+        else:
+            self.lo, self.bits = start, shift
+
+
+def kd_leaves(rows: DataFrame, shards: int, cut: Cut) -> DataFrame:
+    """rows with `node`, the number of their leaf, 0 to shards - 1."""
+    spark = rows.sparkSession
+    placed, sizes, unit = cut(rows.withColumn("node", F.lit(0))), {0: shards}, 0.0
+    while open_nodes := [k for k, n in sizes.items() if n > 1]:
+        every = F.array(*[F.struct(F.lit(d).alias("dim"), F.shiftright(c, BITS - FIRST_BITS).alias("bin")) for d, c in enumerate(DIMENSIONS)])
+        inner = placed.join(per_node(spark, [(k,) for k in open_nodes], "node"), "node")
+        found: dict = {k: {d: [] for d in range(len(DIMENSIONS))} for k in open_nodes}
+        for r in inner.select("node", "size", F.inline(every)).groupBy("node", "dim", "bin").agg(F.sum("size").alias("w")).collect():
+            found[r["node"]][r["dim"]].append((r["bin"], r["w"]))
+        searches: dict[int, Search] = {}
+        for k in open_nodes:
+            total = sum(w for _, w in found[k][0])
+            unit = unit or total / shards
+            dim = widest(found[k]) if total else 0
+            searches[k] = Search(dim, total * (sizes[k] // 2) / sizes[k], unit * TOLERANCE)
+            searches[k].step(sorted(found[k][dim]), FIRST_BITS)
+        while todo := {k: s for k, s in searches.items() if s.cut is None}:
+            taken = {k: min(STEP_BITS, s.bits) for k, s in todo.items()}
+            ask = per_node(spark, [(k, s.dim, f"{s.lo}L", f"{1 << s.bits}L", s.bits - taken[k]) for k, s in todo.items()], "node, dim, lo, width, shift")
+            offset = chosen() - F.col("lo")
+            inside = placed.join(ask, "node").select("node", "size", "width", "shift", offset.alias("x")).where("x >= 0 AND x < width")
+            parts: dict = {k: [] for k in todo}
+            for r in inside.groupBy("node", F.expr("shiftright(x, shift)").alias("bin")).agg(F.sum("size").alias("w")).collect():
+                parts[r["node"]].append((r["bin"], r["w"]))
+            for k, s in todo.items():
+                s.step(sorted(parts[k]), taken[k])
+        cuts = per_node(spark, [(k, s.dim, f"{s.cut}L", sizes[k] // 2) for k, s in searches.items()], "node, dim, cut, half")
+        moved = placed.join(cuts, "node", "left").withColumn("node", F.col("node") + F.when(chosen() >= F.col("cut"), F.col("half")).otherwise(0))
+        new = cut(moved.select(*placed.columns))
+        cut.drop(placed)
+        placed = new
+        for k in open_nodes:
+            sizes[k + sizes[k] // 2] = sizes[k] - sizes[k] // 2
+            sizes[k] //= 2
+    return placed
 
 
 def numbered(placed: DataFrame, shard: str = "shard") -> DataFrame:
@@ -154,8 +169,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     base = cut(coordinates(docs))
     ends = base.agg(F.min("by_id").alias("a"), F.max("by_id").alias("b")).first()
     rows = scaled(base, ends["a"] or 0, ends["b"] or 0)
-    tree = kd_tree(rows, shards)
-    return numbered(rows.withColumn("shard", F.expr(tree.expression()).cast("int")).select("doc_id", "size", "text_crc32", "shard"))
+    leaves = kd_leaves(rows, shards, cut)
+    cut.drop(base)
+    return numbered(leaves.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard")))
 
 
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
