@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Combining marks of Latin script that the fold drops (fixed ranges).
 MARKS = "̀-ͯ᷀-᷿"
@@ -43,7 +44,7 @@ def fold_text(s: str) -> str:
     return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", plain)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_arrow(s: pd.Series) -> pd.Series:
     return s.map(lambda x: fold_text(x) if isinstance(x, str) else None)
 

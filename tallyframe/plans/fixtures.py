@@ -53,7 +53,8 @@ FROM (SELECT *, CAST(2000000000 + (c_custkey * 7919 + 104729) % 7999999999 AS ST
 
 def from_table(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
     """Runs SQL that names one base table over that table's Parquet file."""
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {source}", 1), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    braced = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", "FROM {source}", 1)
+    return spark.sql(braced, source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

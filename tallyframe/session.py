@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package when the repository is not on their path already."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    return spark
+
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
     conf = {
