@@ -13,8 +13,8 @@ Tokens are 64-bit hashes of shingles (k consecutive words, A-Z lower-cased); equ
    is indexed under both values.
 3. Verify exactly, in three rounds, never within a component: each class with the smallest id that
    shares a signature; then with the first of each signature it shares; then all pairs that are still
-   in different components. No pair inside a linked group is made, so a group of near copies costs
-   rows in proportion to its size.
+   in different components, compared in blocks by size and parity sketch before one is written. No pair
+   inside a linked group is made, so a group of near copies costs rows in proportion to its size.
 
 Cases: null, empty and blank texts have no words, size 0, no links; with fewer words than k the whole
 sequence is the one shingle; repeated rows are one class; rows that share a doc_id share their
@@ -24,6 +24,9 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +43,8 @@ RARE = 32
 BLOOM_WORDS = 1 << 18
 #: Places of the parity sketch. Sketches of two sets differ in no more places than the sets in tokens.
 PARITY = 2048
+#: Rows of a signature's group that one piece of work compares with as many others.
+BLOCK = 1024
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -208,13 +213,80 @@ def plausible(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     return both.where(sized & ((bound.whole + bound.part) * apart <= (bound.whole - bound.part) * total)).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on their whole sets."""
-    left = plausible(pairs, sets, bound).join(sets.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("h").alias("h_a")), "a")
+def held(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, h) that a filter of fixed size over ids lets pass: all of ids, and few others while it isn't full."""
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_of(ids))
+
+    def run(ids: pa.Array, w: pa.Array, b: pa.Array, h: pa.Array) -> list:
+        at = pa.array(np.flatnonzero(shared.value[w.to_numpy()] >> b.to_numpy() & 1 == 1))
+        return [ids.take(at), h.take(at)]
+
+    word, bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(BLOOM_WORDS)), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(64))
+    return map_columns(rows.select("id", word.alias("w"), bit.alias("b"), "h"), run, "id long, h array<long>", rows=2000, raw=True)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut) -> DataFrame:
+    """Those of the plausible pairs (a, b) that reach the threshold on their whole sets."""
+    pairs = cut(pairs)
+    few = cut(held(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets))
+    left = pairs.join(few.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b")
+    both = left.join(few.select(F.col("id").alias("a"), F.col("h").alias("h_a")), "a")
     common = F.size(F.array_intersect("h_a", "h_b"))
     measured = both.select("a", "b", common.alias("i"), (F.size("h_a") + F.size("h_b")).alias("s"))
-    return measured.where(bound.whole * F.col("i") >= bound.part * (F.col("s") - F.col("i"))).select("a", "b")
+    out = cut(measured.where(bound.whole * F.col("i") >= bound.part * (F.col("s") - F.col("i"))).select("a", "b"))
+    cut.drop(pairs, few)
+    cut.tidy()
+    return out
+
+
+def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """Plausible pairs of rows (sig, id, component, c) that share a signature but no component.
+
+    c is the group's size. Groups of more than BLOCK rows are cut into blocks, and each two blocks are one
+    piece of work; pairs are compared by size and parity sketch where they stand, and only plausible ones
+    are written.
+    """
+    part, whole = bound.part, bound.whole
+    marks = sets.select("id", F.size("h").alias("n"), "bits")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
+    placed = rows.join(marks, "id").select("sig", "id", "component", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = placed.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "n", "bits")
+
+    def compare(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, n, own = (g[c].to_numpy() for c in ("id", "component", "n", "own"))
+        bits = g["bits"].flatten().to_numpy().reshape(len(ids), -1)
+        cross = g["lo"][0] != g["hi"][0]
+        out_a, out_b = [], []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            j = j[(comp[j] != comp[i]) & (whole * n[i] >= part * n[j]) & (whole * n[j] >= part * n[i]) & ((own[j] != own[i]) if cross else True)]
+            if len(j):
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+                j = j[(whole + part) * differ.astype(np.int64) <= (whole - part) * (n[i] + n[j])]
+                out_a.append(np.minimum(ids[i], ids[j]))
+                out_b.append(np.maximum(ids[i], ids[j]))
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            whole_rows = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
+            if whole_rows is None or not whole_rows.num_rows:
+                continue
+            key = np.stack([whole_rows[c].to_numpy().astype(np.int64) for c in ("sig", "lo", "hi")], axis=1)
+            starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+            ends = np.append(starts[1:], len(key))
+            rest = None
+            if batch is not None:  # the last group may go on in the next batch
+                rest = whole_rows.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            found = [compare(whole_rows.slice(x, y - x)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True) if y - x > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+    ordered = keyed.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "id")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame | None:
@@ -225,38 +297,30 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     cut.tidy()
     sets = cut(full_sets(docs, remaining, k))
     rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
-    sigs = cut(rows)
+    sigs = cut(rows.select("sig", "id"))
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
     shared = cut(sigs.join(firsts, "sig"))
     cut.drop(sigs, remaining)
     cut.tidy()
 
-    def near(a: str, b: str):
-        return (bound.whole * F.col(a) >= bound.part * F.col(b)) & (bound.whole * F.col(b) >= bound.part * F.col(a))
-
     # round one: the smallest id that shares a signature
     one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    links = cut(linked(one, sets, bound))
-    cut.tidy()
+    links = linked(plausible(one, sets, bound), sets, bound, cut)
     found = components(links, cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    two = cut(apart.join(one, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(linked(two, sets, bound)))
-    cut.tidy()
+    two = plausible(apart.join(one, ["a", "b"], "left_anti"), sets, bound)
+    links = links.unionByName(linked(two, sets, bound, cut))
     found = components(links, cut)
     # round three: all pairs that are still apart
-    at = shared.join(name("id"), "id", "left").select("sig", "id", "n", F.coalesce("c_id", "id").alias("component"))
-    split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    open_rows = cut(at.join(split, "sig", "left_semi"))
-    left, right = (open_rows.select("sig", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
-    three = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near("n_a", "n_b")).select("a", "b").distinct()
-    links = cut(links.unionByName(linked(three.join(one.unionByName(two), ["a", "b"], "left_anti"), sets, bound)))
-    cut.tidy()
+    at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
+    split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
+    three = apart_in_groups(at.join(split, "sig"), sets, bound)
+    links = links.unionByName(linked(three, sets, bound, cut))
     out = components(links, cut)
-    cut.drop(open_rows, shared, sets, one, two)
+    cut.drop(shared, sets, one)
     return out
 
 
