@@ -95,9 +95,8 @@ def kata_to_hira(c: Column) -> Column:
 
 def conjoined(c: Column) -> Column:
     """Words with all conjunctions as 'and'; c is lower-case words with single spaces."""
-    words = F.split(c, " ")
-    swap = lambda w, i: F.when(w.isin(*CONJUNCTIONS) | w.isin(*INNER_CONJUNCTIONS) & (i > 0) & (i < F.size(words) - 1), "and").otherwise(w)
-    return F.array_join(F.transform(words, swap), " ")
+    outer = F.regexp_replace(c, f"(?<![^ ])({'|'.join(CONJUNCTIONS)})(?![^ ])", "and")
+    return F.regexp_replace(outer, f"(?<= )({'|'.join(INNER_CONJUNCTIONS)})(?= )", "and")
 
 
 def norm_conj(c: Column, engine: str = "arrow") -> Column:
@@ -105,13 +104,19 @@ def norm_conj(c: Column, engine: str = "arrow") -> Column:
     return conjoined(squeezed(letters(spaced)))
 
 
-def americanised(c: Column) -> Column:
+def americanised(c: Column, engine: str = "native") -> Column:
+    """Words with single spaces in American spelling. An Arrow column can't stand in a lambda, so there
+    each spelling is a replacement of its own."""
+    if engine == "arrow":
+        for british, american in SPELLING.items():
+            c = F.regexp_replace(c, f"(?<![^ ]){british}(?![^ ])", american)
+        return c
     table = F.create_map(*[F.lit(x) for pair in SPELLING.items() for x in pair])
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
 def norm_spelling(c: Column, engine: str = "arrow") -> Column:
-    return americanised(norm_compare(c, engine))
+    return americanised(norm_compare(c, engine), engine)
 
 
 def nospace(c: Column) -> Column:
@@ -119,11 +124,11 @@ def nospace(c: Column) -> Column:
 
 
 def sorted_tokens(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+    return F.array_join(F.sort_array(F.split(c, " ")), " ")
 
 
 def sorted_chars(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, "")), "")
+    return F.array_join(F.sort_array(F.split(c, "")), "")
 
 
 def digits_only_differ(a: Column, b: Column) -> Column:

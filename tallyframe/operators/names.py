@@ -163,11 +163,10 @@ def stage_forms(c: Column, profile: str = "full", engine: str = "arrow") -> list
     s4 = t.nospace(s3)
     if profile == "full":
         spaced = lambda x: t.conjoined(t.squeezed(t.letters(F.replace(x, F.lit("&"), F.lit(" and ")))))
-        s5, s6 = t.nospace(spaced(s2)), t.nospace(t.americanised(spaced(s2)))
-        s7 = t.nospace(t.americanised(spaced(t.fold(F.lower(t.kata_to_hira(s0)), engine))))
+        s5, s6 = t.nospace(spaced(s2)), t.nospace(t.americanised(spaced(s2), engine))
+        s7 = t.nospace(t.americanised(spaced(t.fold(F.lower(t.kata_to_hira(s0)), engine)), engine))
     else:
-        words = F.transform(F.split(s3, " "), lambda w: F.when(w.isin(*t.CONJUNCTIONS, *t.INNER_CONJUNCTIONS), "and").otherwise(w))
-        s5 = F.array_join(words, "")
+        s5 = t.nospace(F.regexp_replace(s3, f"(?<![^ ])({'|'.join(t.CONJUNCTIONS + t.INNER_CONJUNCTIONS)})(?![^ ])", "and"))
         table = F.create_map(*[F.lit(x) for pair in t.SPELLING.items() for x in pair])
         s6 = F.coalesce(F.try_element_at(table, s5), s5)
         s7 = t.kata_to_hira(s6)
