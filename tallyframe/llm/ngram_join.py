@@ -25,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -39,8 +40,9 @@ from tallyframe.llm.components import components
 #: Longest list of frequent tokens (12 bytes each with their counts, sent to every executor).
 FREQUENT = 1 << 18
 RARE = 32
-#: Bits of the filter by which texts of remaining classes are found again (fixed size, 2 MB).
-BLOOM_WORDS = 1 << 18
+LOW = (1 << 32) - 1
+#: Words of 64 bits of the filter by which texts of remaining classes are found again (fixed size, 8 MB).
+BLOOM_WORDS = 1 << 20
 #: Places of the parity sketch. Sketches of two sets differ in no more places than the sets in tokens.
 PARITY = 2048
 #: Rows of a signature's group that one piece of work compares with as many others.
@@ -134,7 +136,9 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
 def full_sets(docs: DataFrame, remaining: DataFrame, k: int) -> DataFrame:
     """id, h, bits of the remaining classes' representatives, from their whole texts.
 
-    h: the sorted tokens. bits: the parity of the tokens that fall on each of PARITY places.
+    h: the sorted tokens. bits: the parity of the tokens that fall on each of PARITY places. The filter
+    lets a few other documents pass; they cost work and change nothing, as every row is a document of its
+    own in what follows, so the sets need not be shuffled to take them out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bloom_of(remaining))
 
@@ -146,13 +150,17 @@ def full_sets(docs: DataFrame, remaining: DataFrame, k: int) -> DataFrame:
 
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
     word, bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(BLOOM_WORDS)), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(64))
-    probable = map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>, bits array<long>", rows=2000, raw=True)
-    return probable.join(remaining, "id", "left_semi")
+    return map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>, bits array<long>", rows=2000, raw=True)
 
 
 def frequent_tokens(sets: DataFrame, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, counts) of the frequent class, sorted by token."""
-    counts = cut(sets.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > RARE))
+    """(tokens, counts) of the frequent class, sorted by token.
+
+    Tokens are counted by their lower 32 bits: the class may be any function of the token, and tokens
+    that meet there only make both look more frequent.
+    """
+    low = sets.select(F.explode("h").alias("h")).select((F.col("h").bitwiseAND(F.lit(LOW)) - F.lit(1 << 31)).cast("int").alias("t"))
+    counts = cut(low.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > RARE))
     steps = counts.select(F.floor(F.log2(F.col("n"))).cast("int").alias("e")).groupBy("e").agg(F.count("*").alias("c")).collect()
     least, total = RARE + 1, 0
     for r in sorted(steps, key=lambda r: -r["e"]):
@@ -171,8 +179,9 @@ def signatures_of(h: np.ndarray, tokens: np.ndarray, counts: np.ndarray, bound:
     """The signatures of one sorted set."""
     n = len(h)
     if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-        df = np.where(tokens[at] == h, counts[at], 0)
+        t = (h & LOW) - (1 << 31)
+        at = np.minimum(np.searchsorted(tokens, t), len(tokens) - 1)
+        df = np.where(tokens[at] == t, counts[at], 0)
         order = np.lexsort((h, df))
         h, df = h[order], df[order]
     else:
@@ -247,7 +256,10 @@ def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame
     are written.
     """
     part, whole = bound.part, bound.whole
-    marks = sets.select("id", F.size("h").alias("n"), "bits")
+    # a quarter of the places is enough here: parities of coarser places are sums of the finer ones
+    quarter = PARITY // 256
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("bits")[i + j * quarter] for j in range(4)]) for i in range(quarter)]
+    marks = sets.select("id", F.size("h").alias("n"), F.array(*folded).alias("bits"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
     placed = rows.join(marks, "id").select("sig", "id", "component", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -255,7 +267,7 @@ def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame
 
     def compare(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids, comp, n, own = (g[c].to_numpy() for c in ("id", "component", "n", "own"))
-        bits = g["bits"].flatten().to_numpy().reshape(len(ids), -1)
+        bits = g["bits"].flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)  # bitwise_count takes absolute values of signed numbers
         cross = g["lo"][0] != g["hi"][0]
         out_a, out_b = [], []
         for i in range(len(ids) - 1):
@@ -317,7 +329,7 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     # round three: all pairs that are still apart
     at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
     split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
-    three = apart_in_groups(at.join(split, "sig"), sets, bound)
+    three = plausible(apart_in_groups(at.join(split, "sig"), sets, bound), sets, bound)
     links = links.unionByName(linked(three, sets, bound, cut))
     out = components(links, cut)
     cut.drop(shared, sets, one)
