@@ -29,7 +29,7 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 #: Entries of a worker's memo of encoded word parts; it is emptied when full, so memory stays bounded.
-MEMO = 500_000
+MEMO = 250_000
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
 _state: dict = {}

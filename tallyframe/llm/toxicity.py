@@ -30,7 +30,7 @@ SAMPLE_U = 8_000
 #: Labelled training rows for the calibration of scores.
 SAMPLE_C = 4_000
 THRESHOLD = 0.7
-MEMO = 1_000_000
+MEMO = 150_000
 STRIP = " .,;:!?\"'()[]*#$%&-"
 
 _memo: dict[str, int] = {}
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         g = np.bincount(owner, shared.value[bucket], minlength=len(columns[-1])) + bias
         return [*columns[:-1], sigmoid(slope * g + intercept)]
 
-    return map_columns(docs.select("doc_id", *keep, text_of(docs).alias("text")), run, f"{schema}, score double", rows=2000, raw=True)
+    return map_columns(docs.select("doc_id", *keep, text_of(docs).alias("text")), run, f"{schema}, score double", rows=1000, raw=True)
 
 
 def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
