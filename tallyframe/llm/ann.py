@@ -2,14 +2,17 @@
 
 Each table turns a unit vector by a fast pseudo-rotation (three rounds of random signs and a Walsh-
 Hadamard transform) and takes the nearest signed axis; as many such functions are joined (the last on
-fewer coordinates) as make about n / TARGET buckets, so buckets keep their size as data grow. Queries
-probe, per table, the PROBES buckets with the least distance to the next axes. Candidates are ranked by
+fewer coordinates) as make the wanted number of buckets, n / TARGET at most. Queries probe, per table,
+the buckets with the least distance to the next axes, PROBES at least. Fixed numbers would lose
+neighbours as n grows, so both numbers are fitted on every table: SAMPLE queries are searched exactly, and the
+cheapest buckets and probes that find GOAL of their neighbours are taken; all vectors are looked at where
+hashing saves nothing, and for queries that found fewer than asked. Candidates are ranked by
 the exact Euclidean distance of the original vectors in double precision, inside their buckets: a bucket
-with its queries is one group, and a bucket of more than CHUNK vectors is dealt into as many groups as it
-needs, its queries going to each, so neither a hot bucket nor a hot vector meets in one task and no pairs
+is dealt into groups of about CHUNK vectors and BLOCK queries that all meet each other, so neither a hot
+bucket nor a hot vector meets in one task and no pairs
 are written. Equal vectors are one entry with their smallest ids (as many as an answer can use).
 
-Recall is measured against brute force in the tests (at least 0.9 at ten neighbours for the tables given).
+Recall is measured against brute force in the tests (at least 0.9 at ten neighbours).
 Hashing sees directions only; for vectors of unlike norms recall can be lower, distances stay exact.
 
 Cases: vectors that are null, zero, of another width than most, or hold null or non-finite components
@@ -32,8 +35,15 @@ from tallyframe.llm.common import Cut, map_columns, ready, table
 TABLES = 12
 PROBES = 8
 TARGET = 200
-CHUNK = 512
+#: Vectors and queries of a bucket that meet in one group.
+CHUNK = 4096
+BLOCK = 1024
 NEAREST = 10
+#: Share of the true neighbours of SAMPLE queries that buckets and probes are fitted to; most probes a table.
+GOAL = 0.95
+SAMPLE = 100
+MOST = 128
+MOVE = 1000
 SALTS = 16
 
 
@@ -52,6 +62,7 @@ class Hashes:
     """The functions of all tables for vectors of one width; made anew from the seed on every executor."""
 
     def __init__(self, width: int, buckets: int, tables: int = TABLES, seed: int = 5):
+        self.width, self.tables = width, tables
         self.padded = 1 << max(0, (width - 1).bit_length())
         rng = np.random.default_rng(seed)
         self.axes = []  # coordinates that each function of a table looks at
@@ -102,16 +113,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return groups.select(F.element_at("ids", 1).alias("entry"), F.slice("ids", 1, keep).alias("ids"), "vector")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, target: int = TARGET) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each query but itself."""
-    spark = ready(vectors.sparkSession)
-    rows = clean(vectors)
-    shape = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width, n = (shape[0]["w"], shape[0]["n"]) if shape else (1, 0)
-    cut = Cut(spark)
-    index = cut(distinct_vectors(rows.where(F.size("vector") == width), k + 1))
-    buckets = 1 << max(0, round(math.log2(max(1, n / target))))
-    hashes = Hashes(width, buckets, tables)
+def search(index: DataFrame, wanted: DataFrame, hashes: Hashes, probes: int, k: int, cut: Cut) -> DataFrame:
+    """query_id, rank, vec_id, entry, score: the k nearest among what the probed buckets of each query hold."""
+    tables, width = hashes.tables, hashes.width
 
     def codes(ids: list, xs: list) -> list:
         x = np.asarray(xs, dtype=np.float64).reshape(len(ids), width)
@@ -125,29 +129,101 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: in
 
     coded = map_columns(index.select("entry", "vector"), codes, "entry long, codes array<long>", rows=2000)
     placed = coded.select("entry", F.posexplode("codes").alias("t", "code"))
-    wanted = clean(queries).where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector")
-    asked = cut(map_columns(wanted, probed, "query_id long, t int, code long", rows=500))
-    sizes = cut(placed.groupBy("t", "code").agg(F.count("*").alias("size")).join(asked.select("t", "code").distinct(), ["t", "code"], "left_semi").select("t", "code", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
-    inside = placed.join(sizes, ["t", "code"]).select("entry", "t", "code", F.pmod(F.xxhash64("entry", F.lit(3)), F.col("chunks")).alias("chunk")).join(index, "entry")
-    outside = asked.join(sizes, ["t", "code"]).select("query_id", "t", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk")).join(wanted, "query_id")
+    asked = cut(map_columns(wanted, probed, "query_id long, t int, code long", rows=max(1, min(500, (1 << 22) // probes**2))))
+    pieces = lambda c, most: F.ceil(F.col(c) / most).cast("long")
+    held, sent = placed.groupBy("t", "code").agg(F.count("*").alias("size")), asked.groupBy("t", "code").agg(F.count("*").alias("asks"))
+    sizes = cut(held.join(sent, ["t", "code"]).select("t", "code", pieces("size", CHUNK).alias("chunks"), pieces("asks", BLOCK).alias("blocks")))
+    part, each = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inside = placed.join(sizes, ["t", "code"]).join(index, "entry").select("entry", "ids", "vector", "t", "code", part("entry", "chunks").alias("chunk"), each("blocks").alias("block"))
+    outside = asked.join(sizes, ["t", "code"]).join(wanted, "query_id").select("query_id", "vector", "t", "code", part("query_id", "blocks").alias("block"), each("chunks").alias("chunk"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            x = np.stack(left["vector"].to_numpy()).astype(np.float64)
-            ids = left["ids"].tolist()
-            for q, v in zip(right["query_id"].tolist(), right["vector"], strict=True):
-                d = np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-                best = sorted((float(d[i]), int(c)) for i in near for c in ids[i] if c != q)[:k]
-                found += [(q, c, s) for s, c in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    key = ["t", "code", "chunk"]
-    near = inside.groupBy(*key).cogroup(outside.groupBy(*key)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            x, v = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (left, right))
+            ids, entries, asks = left["ids"].tolist(), left["entry"].tolist(), right["query_id"].tolist()
+            last = min(k, len(x) - 1)
+            xx, vv = (x**2).sum(axis=1), (v**2).sum(axis=1)
+            for lo in range(0, len(v), 64):
+                # squares by one product tell who can be near; slack keeps whom rounding could hide
+                rough = xx + vv[lo : lo + 64, None] - 2 * (v[lo : lo + 64] @ x.T)
+                sure = np.isfinite(rough).all()
+                limit = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (xx.max() + vv[lo : lo + 64])
+                for i in range(len(rough)):
+                    near = np.flatnonzero(rough[i] <= limit[i]) if sure else np.arange(len(x))
+                    d = np.sqrt(((x[near] - v[lo + i]) ** 2).sum(axis=1))
+                    q = asks[lo + i]
+                    best = sorted((s, int(c), entries[j]) for s, j in zip(d.tolist(), near.tolist()) for c in ids[j] if c != q)[:k]
+                    found += [(q, c, e, s) for s, c, e in best]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "entry", "score"]).astype({"query_id": "int64", "vec_id": "int64", "entry": "int64", "score": "float64"})
+
+    key = ["t", "code", "chunk", "block"]
+    near = inside.groupBy(*key).cogroup(outside.groupBy(*key)).applyInPandas(rerank, "query_id long, vec_id long, entry long, score double")
+    once = near.groupBy("query_id", "vec_id").agg(F.min(F.struct("score", "entry")).alias("b")).select("query_id", "vec_id", "b.entry", "b.score")
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "entry", "score")
+
+
+def depths(hashes: Hashes, asks: np.ndarray, owner: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """For each neighbour x[i] of query asks[owner[i]]: how many probes a table it takes to meet it; most + 1 if more."""
+    out = np.full(len(x), most + 1)
+    for t in range(hashes.tables):
+        at = hashes.probes(asks, t, most)[owner] == hashes.probes(x, t, 1)
+        out = np.minimum(out, np.where(at.any(axis=1), at.argmax(axis=1) + 1, most + 1))
+    return out
+
+
+def fitted(index: DataFrame, wanted: DataFrame, width: int, n: int, k: int, tables: int, probes: int, target: int, cut: Cut) -> tuple[Hashes, int]:
+    """Hashes and probes that find the share GOAL of the true neighbours of SAMPLE queries at the least cost.
+
+    The neighbours of the sample are searched exactly. Where buckets of n / target rows want more than MOST
+    probes, or many, larger buckets are weighed against them; where probing would look at as many vectors as
+    there are, all are looked at.
+    """
+    whole = Hashes(width, 1, 1)
+    buckets = 1 << max(0, round(math.log2(max(1, n / target))))
+    if tables * probes >= buckets:
+        return whole, 1
+    sample = cut(wanted.orderBy(F.xxhash64("query_id", F.lit(7)), "query_id").limit(SAMPLE))
+    true = search(index, sample, whole, 1, k, cut).join(index.select("entry", "vector"), "entry").select("query_id", "vector").collect()
+    asks = sample.collect()
+    if not true:
+        return whole, 1
+    at = {r["query_id"]: i for i, r in enumerate(asks)}
+    q, x = (np.asarray([r["vector"] for r in rows], dtype=np.float64) for rows in (asks, true))
+    owner = np.asarray([at[r["query_id"]] for r in true])
+    best = (float(n), whole, 1)
+    while buckets > tables * probes:
+        hashes = Hashes(width, buckets, tables)
+        depth = np.sort(depths(hashes, q, owner, x, MOST))
+        need = max(probes, int(depth[math.ceil(GOAL * len(depth)) - 1]))
+        # a query's row moved to a bucket costs as much as MOVE distances
+        cost = need * tables * (n / buckets + MOVE)
+        if need <= MOST and need * tables < buckets and cost < best[0]:
+            best = (cost, hashes, need)
+        buckets >>= 1
+    return best[1], best[2]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, target: int = TARGET) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each query but itself."""
+    spark = ready(vectors.sparkSession)
+    rows = clean(vectors)
+    shape = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    width, n = (shape[0]["w"], shape[0]["n"]) if shape else (1, 0)
+    cut, out = Cut(spark), ("query_id", "rank", "vec_id", "score")
+    index = cut(distinct_vectors(rows.where(F.size("vector") == width), k + 1))
+    wanted = cut(clean(queries).where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector"))
+    hashes, probes = fitted(index, wanted, width, n, k, tables, probes, target, cut)
+    found = search(index, wanted, hashes, probes, k, cut).select(*out)
+    if not hashes.axes:
+        return found
+    found = cut(found)
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = cut(wanted.join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").unionByName(search(index, short, Hashes(width, 1, 1), 1, k, cut).select(*out))
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
