@@ -210,9 +210,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: in
     spark = ready(vectors.sparkSession)
     rows = clean(vectors)
     shape = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width, n = (shape[0]["w"], shape[0]["n"]) if shape else (1, 0)
+    width = shape[0]["w"] if shape else 1
     cut, out = Cut(spark), ("query_id", "rank", "vec_id", "score")
     index = cut(distinct_vectors(rows.where(F.size("vector") == width), k + 1))
+    n = index.count()  # copies fill no buckets
     wanted = cut(clean(queries).where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector"))
     hashes, probes = fitted(index, wanted, width, n, k, tables, probes, target, cut)
     found = search(index, wanted, hashes, probes, k, cut).select(*out)

@@ -55,3 +55,12 @@ def test_recall_holds_with_fine_buckets(spark):
     assert len(found) == 1600
     hits = sum(len(set(brute(x, q)[0]) & set(g.vec_id)) for q, g in found.groupby("query_id"))
     assert hits / len(found) >= 0.9
+
+
+def test_copies_make_no_buckets(spark, monkeypatch):
+    made, plain = [], A.Hashes
+    monkeypatch.setattr(A, "Hashes", lambda width, buckets, *more: made.append(buckets) or plain(width, buckets, *more))
+    x = np.random.default_rng(2).normal(size=(1000, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.tile(x, (20, 1)).tolist())], "vec_id long, embedding array<double>")
+    A.nearest(df, df.where("vec_id % 100 = 0"), target=5).count()
+    assert 1 < max(made) <= 1000 / 5 * 2**0.5
