@@ -108,7 +108,7 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """entry (smallest id), ids (the smallest `keep` of the equal vectors), vector; salted, then whole."""
     name = rows.withColumn("h", F.xxhash64("vector")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     part = Window.partitionBy("h", "vector", "salt").orderBy("vec_id")
-    first = name.withColumn("r", F.row_number().over(part)).where(F.col("r") <= keep).drop("r")
+    first = name.withColumn("r", F.dense_rank().over(part)).where(F.col("r") <= keep).drop("r")
     groups = first.groupBy("h", "vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     return groups.select(F.element_at("ids", 1).alias("entry"), F.slice("ids", 1, keep).alias("ids"), "vector")
 

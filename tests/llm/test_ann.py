@@ -64,3 +64,10 @@ def test_copies_make_no_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(np.tile(x, (20, 1)).tolist())], "vec_id long, embedding array<double>")
     A.nearest(df, df.where("vec_id % 100 = 0"), target=5).count()
     assert 1 < max(made) <= 1000 / 5 * 2**0.5
+
+
+def test_repeated_rows_push_out_no_id(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(64) for _ in range(12 if i < 32 else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = A.nearest(df, df.where("vec_id = 63")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == list(range(10))
