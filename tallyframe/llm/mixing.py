@@ -3,9 +3,10 @@
 Token weights are raked to source, language and topic marginals. Documents are counted into cells
 (source, language, topic) by one aggregation; the categories are those that the targets name and one
 for all others, so the cell table is bounded by the targets, not by the data. The fitted cell masses
-become sampling probabilities under a token budget (a cell whose probability passes 1 is taken whole
-and the rest shares what is left), and each document is drawn by a hash of its id: the same documents at
-any number of partitions, with hot sources spread like all rows.
+become rates under a token budget: with repeats, a document of a cell whose rate passes 1 counts as often
+as the rate says (m_copies), so the sample has the fitted weights at any budget; without repeats such a cell is taken
+whole and the rest shares what is left, and the sample can stay far from the targets. Each document is drawn by a
+hash of its id: the same documents at any number of partitions, with hot sources spread like all rows.
 
 Cases: null source or language and unnamed values fall into the category of others; null and empty
 texts have no tokens, count for no mass and are kept or dropped with their cell; targets of categories
@@ -83,13 +84,18 @@ def probabilities(cells: dict[tuple, float], mass: dict[tuple, float], budget: f
     return out
 
 
+def rates(cells: dict[tuple, float], mass: dict[tuple, float], budget: float) -> dict[tuple, float]:
+    """Expected copies of each cell's documents so that every cell has its share of the budget."""
+    return {c: budget * x / cells[c] for c, x in mass.items()}
+
+
 def draw(key: Column) -> Column:
     """A number in [0, 1) from the md5 of the id: the same in any engine."""
     return F.conv(F.substring(F.md5(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET) -> DataFrame:
-    """docs with m_source, m_lang, m_topic, m_tokens, m_mass (target share of the cell), m_prob and m_kept."""
+def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
+    """docs with m_source, m_lang, m_topic, m_tokens, m_mass (target share of the cell), m_prob, m_kept and m_copies."""
     targets = targets or TARGETS
     counted = measured(docs, targets)
     keys = [f"m_{d}" for d in DIMENSIONS]
@@ -97,14 +103,16 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET) ->
     rows = counted.groupBy(*keys).agg(F.sum("m_tokens").alias("n")).collect()
     cells = {tuple(r[k] for k in keys): float(r["n"]) for r in rows}
     mass = rake(cells, targets)
-    chance = probabilities(cells, mass, budget * sum(cells.values()))
+    chance = (rates if repeats else probabilities)(cells, mass, budget * sum(cells.values()))
     cell = F.concat_ws("\x00", *keys)
     pairs = sorted(chance) or [(OTHER,) * len(keys)]
     lookup = lambda values: F.create_map(*[x for c in pairs for x in (F.lit("\x00".join(c)), F.lit(values.get(c, 0.0)))])[cell]
-    out = counted.withColumn("m_mass", F.coalesce(lookup(mass), F.lit(0.0))).withColumn("m_prob", F.coalesce(lookup(chance), F.lit(1.0)))
-    return out.withColumn("m_kept", draw(F.col("doc_id")) < F.col("m_prob"))
+    out = counted.withColumn("m_mass", F.coalesce(lookup(mass), F.lit(0.0))).withColumn("_rate", F.coalesce(lookup(chance), F.lit(1.0)))
+    sure = F.floor("_rate")
+    out = out.withColumn("m_copies", sure + (draw(F.col("doc_id")) < F.col("_rate") - sure).cast("long"))
+    return out.withColumn("m_prob", F.least("_rate", F.lit(1.0))).withColumn("m_kept", F.col("m_copies") > 0).drop("_rate")
 
 
 def op1_mix_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", F.floor(F.col("m_prob") * 1e6 + 0.5).cast("long").alias("prob_ppm"), F.col("m_kept").alias("kept"))
+    out = mix(table(spark, sf_dir, "documents"), repeats=True)
+    return out.select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", F.floor(F.col("m_prob") * 1e6 + 0.5).cast("long").alias("prob_ppm"), F.col("m_kept").alias("kept"), F.col("m_copies").alias("copies"))

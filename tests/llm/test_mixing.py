@@ -33,3 +33,17 @@ def test_awkward_rows(spark):
     out = M.mix(d)
     assert out.count() == len(AWKWARD) and set(r["m_source"] for r in out.collect()) == {M.OTHER}
     assert M.mix(docs(spark, [])).count() == 0
+
+
+def test_query_reaches_the_targets(spark):
+    out = M.op1_mix_ipf(spark, "/root/testdata/sf0.1")
+    weight = F.col("m_tokens") * (F.col("copies") if "copies" in out.columns else F.col("kept").cast("long"))
+    rows = out.groupBy("m_source", "m_lang", "m_topic").agg(F.sum("m_tokens").alias("n"), F.sum(weight).alias("kept")).collect()
+    total = sum(r["kept"] for r in rows)
+    assert abs(total / sum(r["n"] for r in rows) - M.BUDGET) < 0.02
+    for d, targets in M.TARGETS.items():
+        there = {v: w for v, w in targets.items() if any(r[f"m_{d}"] == v and r["n"] for r in rows)}
+        for v, w in there.items():
+            got = sum(r["kept"] for r in rows if r[f"m_{d}"] == v) / total
+            print(d, v, round(w / sum(there.values()), 4), round(got, 4))
+            assert abs(got - w / sum(there.values())) < 0.01
