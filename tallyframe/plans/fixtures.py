@@ -62,6 +62,12 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(spark, sf_dir, NAME_PAIRS, "documents")
 
 
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, alt_name, base_name of all documents with their whole first lines, for queries that have no SQL."""
+    sql = NAME_PAIRS.replace("trim(substr(split_part(text, chr(10), 1), 1, 36))", "trim(split_part(coalesce(text, ''), chr(10), 1))").replace(" WHERE length(split_part(text, chr(10), 1)) >= 12", "")
+    return from_table(spark, sf_dir, sql, "documents")
+
+
 def phone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, phones, base_phones, confidence, base_confidence, sources"""
     return from_table(spark, sf_dir, PHONE_PAIRS, "customer")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
 from tallyframe.operators import extra, golden, names, pairing, phones, profile, providers
-from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, name_pairs, phone_pairs
+from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, name_pairs, phone_pairs, whole_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
 
@@ -307,7 +307,7 @@ y AS (SELECT *, CASE WHEN ex <> '' THEN ex ELSE replace(ln, ' ', '') END AS extr
 z AS (SELECT *, CASE WHEN length(bare) <= 6 OR len({_words("bare")}) <= 1 THEN 'short_name_too_generic' WHEN list_has_any({_words("extra")}, {_biz}) THEN 'has_business_type' ELSE 'prefer_core_name' END AS reason FROM y)"""
 register("conflict_type_summary", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).groupBy("conflict_type").agg(F.count("*").alias("row_count")), f"{FORMS}, ct AS (SELECT {CT} AS conflict_type FROM f) SELECT conflict_type, count(*) AS row_count FROM ct GROUP BY 1")
 register("golden_subset_rules", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", "golden_name", "golden_source", "golden_reason", "extra_content"), f"{SUB} SELECT id, CASE WHEN reason = 'prefer_core_name' THEN sh ELSE lo END AS golden_name, CASE WHEN (reason = 'prefer_core_name') = alt_short THEN 'alt' ELSE 'base' END AS golden_source, 'subset:' || reason AS golden_reason, extra AS extra_content FROM z")
-register("golden_summary", lambda s, d: golden.golden_summary(name_pairs(s, d), ENGINE))
+register("golden_summary", lambda s, d: golden.golden_summary(whole_pairs(s, d), ENGINE))
 _set = lambda c: f"regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+')"
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + "]"
 _title = "upper(substr(w, 1, 1)) || substr(w, 2)"
@@ -325,8 +325,8 @@ register(
     f"{SUB}, m AS (SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z), o AS (SELECT id, len(list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})) AS n_biz, CASE WHEN regexp_matches(extra, '{_prep}') THEN 'spatial_prep' WHEN regexp_matches(extra, '{extra.SEPARATED}') THEN 'sep_cap' WHEN len({_nouns}) > 0 THEN 'proper_noun:' || list_extract({_nouns}, 1) END AS location FROM m) SELECT id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN 'candidate' WHEN n_biz > 0 THEN 'biz_only' ELSE 'none' END AS kind, location, CAST(n_biz AS BIGINT) AS n_biz FROM o",
 )
 register("faithfulness", lambda s, d: name_pairs(s, d).select("id", extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("latin")).alias("faithful"), extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("cjk")).alias("by_character")), f"{N} SELECT id, len(list_filter({_words('''regexp_replace(lower(base_name), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(alt_name), w))) = 0 AS faithful, len(list_filter(string_split(base_name, ''), lambda c: trim(c) <> '' AND NOT contains(alt_name, c))) = 0 AS by_character FROM np")
-register("relation_router", lambda s, d: extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")))
-register("unicode_audit", lambda s, d: name_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"))
+register("relation_router", lambda s, d: extra.compound_scan(golden.golden(whole_pairs(s, d), ENGINE)).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")))
+register("unicode_audit", lambda s, d: whole_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"))
 
 
 # --- evaluation: votes are three fixed functions of the labels ------------------------------------
@@ -364,7 +364,7 @@ register("model_adapter", _predicted, f"{N} SELECT id, CASE WHEN length(alt_name
 
 
 def tfidf_lr(s: SparkSession, d: str) -> DataFrame:
-    rows = name_pairs(s, d).select("id", F.col("base_name").alias("text"), F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other").alias("label"))
+    rows = whole_pairs(s, d).select("id", F.col("base_name").alias("text"), F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other").alias("label"))
     train, test = ev.hash_split(rows, "id", 0.6)
     out = ev.ngram_model(train, "text", "label").transform(test.withColumn("weight", F.lit(1.0)))
     return ev.class_accuracy(out.select("y", "prediction"), "y", "prediction")

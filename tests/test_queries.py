@@ -35,3 +35,12 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"tfidf_lr"}))
 def test_rows_only(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_queries_without_sql_read_whole_first_lines(spark):
+    from tallyframe.plans import fixtures
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert registry.QUERIES["unicode_audit"](spark, SF).count() == docs.count()
+    want = sorted((r["text"] or "").split("\n")[0].strip(" ") for r in docs.collect())
+    assert sorted(r["alt_name"] for r in fixtures.whole_pairs(spark, SF).collect()) == want
