@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when the repository is not on their path already."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    """Ships this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyframe", None) != sc.applicationId:
+        folder = tempfile.mkdtemp(prefix="tallyframe-")  # on the driver, whose file server hands it out
+        path = os.path.join(folder, "tallyframe.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for base, _, files in os.walk(PACKAGE):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        full = os.path.join(base, name)
+                        out.write(full, os.path.join("tallyframe", os.path.relpath(full, PACKAGE)))
+        sc.addPyFile(path)
+        sc._tallyframe = sc.applicationId
     return spark
 
 
