@@ -6,8 +6,6 @@ package, and how tables are read.
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -20,54 +18,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tallyframe.session import ready
 
 #: White space of word operators: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of one slice of a batch in Python; a single longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when the repository is not on their path already."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"{tempfile.gettempdir()}/tallyframe-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Cut:
     """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark = spark
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the table takes the place of the shuffle files behind it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        _made.append((self.spark, path))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
         return out
 
-    def tidy(self) -> None:
-        """Lets Spark's cleaner remove shuffle files of frames that are no longer used, before they pile up."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Deletes the tables behind these frames; nothing may read them later."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-            path.getFileSystem(conf).delete(path, True)
+        delete(self.spark, *[df._cut_path for df in frames])
+        gone = {df._cut_path for df in frames}
+        _made[:] = [x for x in _made if x[1] not in gone]
+
+
+def settled(cut: Cut, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of make(), written; the tables that were written on the way to it are deleted."""
+    before = len(_made)
+    out = cut(make())
+    delete(cut.spark, *[path for _, path in _made[before:-1]])
+    del _made[before:-1]
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +96,29 @@ def crc_mod3(c: Column) -> Column:
     return F.crc32(F.encode(c.cast("string"), "UTF-8")) % 3
 
 
-def map_columns(df: DataFrame, fn: Callable[..., Sequence], schema: str, rows: int = 500, raw: bool = False) -> DataFrame:
-    """Applies fn to lists of a few hundred rows of each column; fn returns the columns of `schema`.
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a column of texts, binaries or lists of numbers; 8 for others."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    if pa.types.is_list(kind):
+        return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64) * 8
+    return np.full(len(column), 8, dtype=np.int64)
+
+
+def slices(columns: Sequence[pa.Array], rows: int, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of at most `rows` rows and about `size` bytes; at least a row each."""
+    ends = np.cumsum(sum(row_bytes(c) for c in columns))
+    lo, n = 0, len(ends)
+    while lo < n:
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(n, lo + rows, int(np.searchsorted(ends, done + size, side="right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
+def map_columns(df: DataFrame, fn: Callable[..., Sequence], schema: str, rows: int = 4000, raw: bool = False, size: int = SLICE_BYTES) -> DataFrame:
+    """Applies fn to slices of all columns, bounded in rows and bytes; fn returns the columns of `schema`.
 
     Arrow carries the rows, so null ids stay exact integers; slices bound the Python objects alive.
     raw: fn gets Arrow arrays instead of lists.
@@ -96,14 +129,26 @@ def map_columns(df: DataFrame, fn: Callable[..., Sequence], schema: str, rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for lo, n in slices(batch.columns, rows, size):
+                part = batch.slice(lo, n)
                 out = fn(*[c if raw else c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, type=t, from_pandas=False) for c, t in zip(out, kinds, strict=True)], names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def clear_of(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words (runs without ASCII white space) of whole texts: their codes, the distinct words, each text's first word.
 
@@ -116,3 +161,12 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
     coded = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary, first
+
+
+def on_lines(words: pa.Array) -> str:
+    """Words (no null, no white space inside), a line each; many times faster than a Python list of scalars."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), "\n")[0].as_py()
+
+
+def listed(words: pa.Array) -> list[str]:
+    return on_lines(words).split("\n") if len(words) else []

@@ -28,4 +28,6 @@ def components(edges: DataFrame, cut: Cut) -> DataFrame:
         labels = new
         if not moved:
             cut.drop(both)
-            return labels.select("id", "component")
+            out = labels.select("id", "component")
+            out._cut_path = labels._cut_path
+            return out

@@ -9,9 +9,11 @@ whole and the rest shares what is left, and the sample can stay far from the tar
 hash of its id: the same documents at any number of partitions, with hot sources spread like all rows.
 
 Cases: null source or language and unnamed values fall into the category of others; null and empty
-texts have no tokens, count for no mass and are kept or dropped with their cell; targets of categories
-without tokens are left out and the rest scaled to one; repeated rows of one id share their draw; an
-empty table gives no rows; other columns pass through unless they have the names of added columns.
+texts have no tokens, count for no mass and are kept or dropped with their cell (a cell without any tokens
+is kept); a category whose target is zero or not named, others included, is dropped as a whole; targets of categories
+without tokens are left out and the rest scaled to one; a dimension without targets is not raked; repeated
+rows of one id share their draw; an empty table gives no rows; other columns pass through whatever their
+names, but those that are added (m_...) take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WORD, table, text_of
+from tallyframe.llm.common import WORD, Cut, clear_of, table, text_of
 
 OTHER = "(other)"
 DIMENSIONS = ("source", "lang", "topic")
@@ -46,11 +48,10 @@ def topic_of(text: Column) -> Column:
 
 def measured(docs: DataFrame, targets: dict) -> DataFrame:
     """Adds the named category of each dimension (m_source, ...) and m_tokens."""
-    out = docs.withColumn("_t", text_of(docs)).withColumn("m_tokens", token_count(F.col("_t"))).withColumn("_topic", topic_of(F.col("_t")))
-    for d in DIMENSIONS:
-        c = F.col("_topic" if d == "topic" else d)
-        out = out.withColumn(f"m_{d}", F.when(c.isin(*targets[d]), c).otherwise(OTHER))
-    return out.drop("_t", "_topic")
+    text = text_of(docs)
+    named = lambda c, values: F.when(c.isin(*values), c).otherwise(OTHER) if values else F.lit(OTHER)
+    value = lambda d: topic_of(text) if d == "topic" else F.col(d)
+    return docs.withColumns({"m_tokens": token_count(text), **{f"m_{d}": named(value(d), targets.get(d)) for d in DIMENSIONS}})
 
 
 def rake(cells: dict[tuple, float], targets: dict, rounds: int = ROUNDS) -> dict[tuple, float]:
@@ -63,7 +64,7 @@ def rake(cells: dict[tuple, float], targets: dict, rounds: int = ROUNDS) -> dict
             margin: dict[str, float] = {}
             for c in sorted(mass):
                 margin[c[k]] = margin.get(c[k], 0.0) + mass[c]
-            wanted = {v: targets[d].get(v, 0.0) for v in margin}
+            wanted = {v: targets[d].get(v, 0.0) if targets.get(d) else 1.0 for v in margin}
             scale = sum(wanted[v] for v in sorted(wanted)) or 1.0
             mass = {c: x * wanted[c[k]] / scale / margin[c[k]] if margin[c[k]] else 0.0 for c, x in mass.items()}
     return mass
@@ -71,7 +72,7 @@ def rake(cells: dict[tuple, float], targets: dict, rounds: int = ROUNDS) -> dict
 
 def probabilities(cells: dict[tuple, float], mass: dict[tuple, float], budget: float) -> dict[tuple, float]:
     """Chance of each cell's documents so that the expected tokens are the budget; full cells are taken whole."""
-    left, out, open_cells = budget, {}, {c for c in mass if mass[c] > 0}
+    left, out, open_cells = budget, dict.fromkeys(mass, 0.0), {c for c in mass if mass[c] > 0}
     while open_cells:
         share = sum(mass[c] for c in sorted(open_cells))
         full = {c for c in open_cells if left * mass[c] / share >= cells[c]}
@@ -94,25 +95,36 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
-    """docs with m_source, m_lang, m_topic, m_tokens, m_mass (target share of the cell), m_prob, m_kept and m_copies."""
-    targets = targets or TARGETS
-    counted = measured(docs, targets)
+def drawn(counted: DataFrame, targets: dict, budget: float, repeats: bool) -> DataFrame:
+    """measured() rows with m_mass (target share of the cell), m_prob, m_kept and m_copies."""
     keys = [f"m_{d}" for d in DIMENSIONS]
-    # at most the product of the targets' sizes
+    # at most the product of the targets' sizes, here and in the table that is broadcast
     rows = counted.groupBy(*keys).agg(F.sum("m_tokens").alias("n")).collect()
     cells = {tuple(r[k] for k in keys): float(r["n"]) for r in rows}
     mass = rake(cells, targets)
     chance = (rates if repeats else probabilities)(cells, mass, budget * sum(cells.values()))
-    cell = F.concat_ws("\x00", *keys)
-    pairs = sorted(chance) or [(OTHER,) * len(keys)]
-    lookup = lambda values: F.create_map(*[x for c in pairs for x in (F.lit("\x00".join(c)), F.lit(values.get(c, 0.0)))])[cell]
-    out = counted.withColumn("m_mass", F.coalesce(lookup(mass), F.lit(0.0))).withColumn("_rate", F.coalesce(lookup(chance), F.lit(1.0)))
-    sure = F.floor("_rate")
-    out = out.withColumn("m_copies", sure + (draw(F.col("doc_id")) < F.col("_rate") - sure).cast("long"))
-    return out.withColumn("m_prob", F.least("_rate", F.lit(1.0))).withColumn("m_kept", F.col("m_copies") > 0).drop("_rate")
+    (rate,) = clear_of(counted, "_rate")
+    looked = [(*c, mass.get(c, 0.0), chance.get(c, 1.0)) for c in sorted(cells)]
+    lookup = counted.sparkSession.createDataFrame(looked, ", ".join(f"{k} string" for k in keys) + f", m_mass double, {rate} double")
+    out = counted.drop("m_mass", "m_prob", "m_kept", "m_copies").join(F.broadcast(lookup), keys, "left")
+    sure = F.floor(rate)
+    out = out.withColumn("m_copies", sure + (draw(F.col("doc_id")) < F.col(rate) - sure).cast("long"))
+    return out.withColumns({"m_prob": F.least(F.col(rate), F.lit(1.0)), "m_kept": F.col("m_copies") > 0}).drop(rate)
+
+
+def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
+    """docs with m_source, m_lang, m_topic, m_tokens, m_mass (target share of the cell), m_prob, m_kept and m_copies."""
+    targets = targets or TARGETS
+    return drawn(measured(docs, targets), targets, budget, repeats)
+
+
+def weigh(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
+    """mix() without the texts: doc_id and the m_ columns. The texts are read once; what is counted is written."""
+    targets = targets or TARGETS
+    narrow = measured(docs, targets).select("doc_id", *[f"m_{d}" for d in DIMENSIONS], "m_tokens")
+    return drawn(Cut(docs.sparkSession)(narrow), targets, budget, repeats)
 
 
 def op1_mix_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"), repeats=True)
+    out = weigh(table(spark, sf_dir, "documents"), repeats=True)
     return out.select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", F.floor(F.col("m_prob") * 1e6 + 0.5).cast("long").alias("prob_ppm"), F.col("m_kept").alias("kept"), F.col("m_copies").alias("copies"))

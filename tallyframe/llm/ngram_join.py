@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Cut, map_columns, ready, table, text_of, word_codes
+from tallyframe.llm.common import Cut, clear_of, listed, map_columns, ready, table, text_of, word_codes
 from tallyframe.llm.components import components
 
 #: Longest list of frequent tokens (12 bytes each with their counts, sent to every executor).
@@ -60,7 +60,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each whole text."""
     codes, words, first = word_codes(texts)
-    each = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in words.to_pylist()), np.uint64, len(words))
+    each = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in listed(words)), np.uint64, len(words))
     h = each[codes]
     n = max(0, len(h) - k + 1)
     grams = np.full(n, k, dtype=np.uint64)
@@ -244,7 +244,6 @@ def linked(pairs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut) -> DataFra
     measured = both.select("a", "b", common.alias("i"), (F.size("h_a") + F.size("h_b")).alias("s"))
     out = cut(measured.where(bound.whole * F.col("i") >= bound.part * (F.col("s") - F.col("i"))).select("a", "b"))
     cut.drop(pairs, few)
-    cut.tidy()
     return out
 
 
@@ -306,33 +305,31 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     remaining = cut(tokens.join(often, "t", "left_semi").groupBy("id", "m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m")).select("id"))
-    cut.tidy()
     sets = cut(full_sets(docs, remaining, k))
     rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
     sigs = cut(rows.select("sig", "id"))
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
     shared = cut(sigs.join(firsts, "sig"))
     cut.drop(sigs, remaining)
-    cut.tidy()
 
     # round one: the smallest id that shares a signature
     one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    links = linked(plausible(one, sets, bound), sets, bound, cut)
-    found = components(links, cut)
+    parts = [linked(plausible(one, sets, bound), sets, bound, cut)]
+    before = found = components(parts[0], cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     two = plausible(apart.join(one, ["a", "b"], "left_anti"), sets, bound)
-    links = links.unionByName(linked(two, sets, bound, cut))
-    found = components(links, cut)
+    parts.append(linked(two, sets, bound, cut))
+    found = components(reduce(DataFrame.unionByName, parts), cut)
     # round three: all pairs that are still apart
     at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
     split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
     three = plausible(apart_in_groups(at.join(split, "sig"), sets, bound), sets, bound)
-    links = links.unionByName(linked(three, sets, bound, cut))
-    out = components(links, cut)
-    cut.drop(shared, sets, one)
+    parts.append(linked(three, sets, bound, cut))
+    out = components(reduce(DataFrame.unionByName, parts), cut)
+    cut.drop(shared, sets, one, before, found, *parts)
     return out
 
 
@@ -345,9 +342,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int =
     key = ["fp_a", "fp_b", "n"]
     classes = cut(wide.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("m").alias("m")))
     cut.drop(wide)
-    cut.tidy()
     found = class_components(docs, classes, k, bound, cut)
-    named = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
+    named = cut(classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")))
+    cut.drop(classes, found)
     out = prints.select("doc_id", *key).join(named, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -357,8 +354,26 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, part=90, whole=100)
 
 
+#: Numbers of rows without an id of their own start here.
+ROWS_FROM = 1 << 62
+
+
 def drop_near_copies(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id; rows without doc_id stay."""
-    found = jaccard_components(docs, k, part, whole)
-    going = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays: the one with the smallest doc_id that no other row has.
+
+    Rows without doc_id and rows that share one are numbered for this, come after the others and count as
+    documents of their own, so of equal ones a single row stays. Rows without words have no links and all
+    stay. Columns pass through whatever their names.
+    """
+    row, count = clear_of(docs, "_row", "_count")
+    cut = Cut(ready(docs.sparkSession))
+    plain = docs.withColumn(row, F.col("doc_id").cast("long"))
+    odd = cut(plain.groupBy(row).agg(F.count("*").alias(count)).where((F.col(count) > 1) | F.col(row).isNull() | (F.col(row) >= ROWS_FROM)).select(row))
+    if not odd.isEmpty():
+        own = odd.select(F.col(row).alias(count))
+        some = plain.join(own, F.col(row).eqNullSafe(F.col(count)), "left_semi")
+        some = cut(some.withColumn(row, F.monotonically_increasing_id() + F.lit(ROWS_FROM)))
+        plain = plain.where(F.col(row).isNotNull()).join(odd, row, "left_anti").select(*some.columns).unionByName(some)
+    found = jaccard_components(plain.select(F.col(row).alias("doc_id"), "text"), k, part, whole)
+    going = found.where("component_id <> doc_id").select(F.col("doc_id").alias(row))
+    return plain.join(going, row, "left_anti").select(*docs.columns)

@@ -1,10 +1,11 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Every document becomes token ids plus one end id and is cut into pieces of at most `capacity` ids.
-Full pieces are sequences of their own. The rest pieces (one per document at most) are dealt into
-random groups of about `group_docs` documents by a hash, so a hot source or a group of copies spreads
-evenly; each group is packed on its own by first-fit decreasing. The tournament tree keeps the
-largest free capacity below each node, so the first bin that fits is found in log time.
+Every document becomes token ids plus one end id and is cut into pieces of at most `capacity` ids; all
+pieces but a document's last are full and fill a sequence each. Pieces are dealt into random groups of
+about `group_bytes` of text by a hash, so a hot source or a group of copies spreads evenly and a group's
+memory is bounded whatever the documents' lengths; each group is packed on its own by first-fit
+decreasing. The tournament tree keeps the largest free capacity below each node, so the first bin that
+fits is found in log time.
 
 Cases: null text counts as empty (a document of the end id alone); a null doc_id is kept and
 hashed as null; equal lengths are ordered by (doc_id, start), repeated rows are packed each on their
@@ -13,91 +14,143 @@ own; an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import map_columns, ready, table, text_of, word_codes
+from tallyframe.llm.common import clear_of, map_columns, on_lines, ready, table, text_of, word_codes
 
 CAPACITY = 2048
 END_ID = 1
-GROUP_DOCS = 4096
-#: Entries of a worker's memo of encoded word parts; it is emptied when full, so memory stays bounded.
-MEMO = 250_000
+#: Bytes of text (and one for each document) that a group holds on average; a byte makes a token at most.
+GROUP_BYTES = 12 << 20
+#: Entries of a worker's memo of encoded units; when it is full, only the units of the slice at hand stay.
+MEMO = 500_000
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 6 << 20
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
 _state: dict = {}
 
 
+class Memo:
+    """Ids of strings: those of the string with the number k are ids[starts[k]:starts[k] + sizes[k]]."""
+
+    def __init__(self, limit: int = MEMO):
+        self.limit, self.numbers = limit, {}
+        self.starts = self.sizes = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[spread(self.starts[at], self.sizes[at])]
+
+    def places(self, keys: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The numbers of distinct keys; make() gives the ids of new ones on end and their sizes."""
+        get = self.numbers.get
+        at = np.array([get(k, -1) for k in keys], dtype=np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(self.numbers) + len(fresh) > self.limit and self.numbers:
+            found = np.flatnonzero(at >= 0)
+            kept = at[found]
+            self.ids, self.sizes = self.gathered(kept), self.sizes[kept]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.numbers = {keys[i]: k for k, i in enumerate(found.tolist())}
+            at[found] = np.arange(len(found))
+        if len(fresh):
+            new = [keys[i] for i in fresh.tolist()]
+            ids, sizes = make(new)
+            first = len(self.starts)
+            self.numbers.update(zip(new, range(first, first + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+            at[fresh] = np.arange(first, first + len(new))
+        return at
+
+
 class WordEncoder:
-    """Encodes whole texts with a tokenizer whose normaliser and splitter never look across white space.
+    """Encodes texts with a BPE tokenizer that lower-cases, splits into units and marks the end of each unit.
 
-    Each distinct word (run without white space) of a batch is encoded once and remembered; token ids
-    of texts are then gathered by word. This holds for texts of PLAIN characters, on which lower case,
-    composition and white space mean the same to all parts; any other text goes to the tokenizer whole.
+    Distinct words (runs without white space) of a slice are split into units once, and units that are not
+    remembered from slices before are encoded; the ids of texts are then gathered by number. This holds for tokenizers of the known NORMALIZER and
+    SPLITTER and for texts without ODD characters, on which lower case, composition and white space mean
+    the same to all parts; any other text, and every text of another tokenizer, goes to the tokenizer whole.
     """
 
-    ODD = re.compile(r"[^\x20-\x7e\n\t\rÀ-ÖØ-öø-ÿ]")
-    PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-    SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    UNIT_END = "</w>"
+    ODD = r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]|<\|(?:start|end)oftext\|>"
+    UNITS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        splits = [x for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        model = parts["model"]
+        self.known = parts["normalizer"] == self.NORMALIZER and [x["pattern"] for x in splits] == [{"Regex": self.SPLITTER}] and model["type"] == "BPE" and model["end_of_word_suffix"] == self.UNIT_END and parts["post_processor"] is None
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[k for word, k in vocab.items() if word.endswith(self.UNIT_END)]] = True
+        self.memo = Memo()
 
     def whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def odd(self, text: str) -> bool:
-        return bool(self.ODD.search(text)) or "<|" in text and bool(self.SPECIAL.search(text))
-
-    def units(self, units: list[str]) -> None:
-        """Puts the ids of these splitter units into the memo: one call for many, told apart by their offsets."""
-        for lo in range(0, len(units), 1000):
-            part = units[lo : lo + 1000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(x) + 1 for x in part])
-            owner = np.searchsorted(ends, [a for a, _ in got.offsets], side="right")
-            at, ids = np.searchsorted(owner, np.arange(len(part) + 1)).tolist(), got.ids
-            for k, unit in enumerate(part):
-                self.memo[unit] = tuple(ids[at[k] : at[k + 1]])
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units on end, number of ids of each): a thousand units a call, told apart by their last ids."""
+        texts = [" ".join(units[lo : lo + 1000]) for lo in range(0, len(units), 1000)]
+        got = [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.empty(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(units):  # not a tokenizer that ends every unit: one by one
+            each = [self.whole(u) for u in units]
+            return np.concatenate(each), np.asarray([len(x) for x in each], dtype=np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words on end, number of ids of each)"""
-        memo, split = self.memo, [self.PIECES.findall(w.lower()) for w in words]
-        new = list({u for s in split for u in s if u not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({u for s in split for u in s})
-        self.units(new)
-        ids: list[int] = []
-        sizes = np.empty(len(words), dtype=np.int64)
-        for k, s in enumerate(split):
-            before = len(ids)
-            for u in s:
-                ids += memo[u]
-            sizes[k] = len(ids) - before
-        return np.asarray(ids, dtype="<u4"), sizes
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        listed = texts.to_pylist()
-        whole = {i: self.whole(t) for i, t in enumerate(listed) if self.odd(t)}
-        if whole:
-            texts = pa.array(["" if i in whole else t for i, t in enumerate(listed)], pa.string())
-        codes, words, first = word_codes(texts)
-        ids, sizes = self.words(words.to_pylist())
-        starts, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-        ends = np.cumsum(lengths)
-        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-        bounds = np.concatenate([[0], ends])[first]
-        return [whole[i] if i in whole else out[bounds[i] : bounds[i + 1]] for i in range(len(listed))]
+        units = self.UNITS.findall(on_lines(words).lower())
+        distinct = dict.fromkeys(units)
+        distinct.pop("\n", None)
+        names = list(distinct)
+        distinct = dict(zip(names, range(len(names)), strict=True)) | {"\n": -1}
+        codes = np.array(list(map(distinct.__getitem__, units)), dtype=np.int64)
+        breaks = codes < 0
+        owner = np.cumsum(breaks)[~breaks]  # the word of each unit
+        own = self.memo.places(names, self.encoded)[codes[~breaks]]
+        return self.memo.gathered(own), np.bincount(owner, self.memo.sizes[own], minlength=len(words)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, number of ids of each); no text is null."""
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.known else np.ones(len(texts), bool)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if odd.any() else texts
+        codes, words, first = word_codes(plain)
+        ids, sizes = self.words(words)
+        lengths = sizes[codes]
+        out = ids[spread((np.cumsum(sizes) - sizes)[codes], lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[first]
+        if not odd.any():
+            return out, np.diff(bounds)
+        parts = [self.whole(texts[i].as_py()) if odd[i] else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.asarray([len(x) for x in parts], dtype=np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -111,16 +164,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def run(docs: pa.Array, texts: pa.Array) -> list:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        rows = []
-        for doc, ids in zip(docs.to_pylist(), encoder(tokenizer).encode(texts), strict=True):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-            for start in range(0, len(ids), capacity):
-                piece = ids[start : start + capacity]
-                rows.append((doc, start, len(piece), len(ids), piece.tobytes()))
-        return list(zip(*rows, strict=True))
+        ids, sizes = encoder(tokenizer).encode(texts)
+        ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
+        sizes = sizes + 1
+        pieces = -(-sizes // capacity)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        start = spread(np.zeros(len(sizes), np.int64), pieces) * capacity
+        length = np.minimum(sizes[owner] - start, capacity)
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype("<i4") * 4
+        body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        return [docs.take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sizes[owner]), body]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_columns(chosen, run, PIECE, rows=4000, raw=True)
+    return map_columns(chosen, run, PIECE, raw=True, size=ENCODE_BYTES)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,26 +203,31 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def groups_of(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    """The number of groups for these documents."""
+    size = docs.agg(F.sum(F.octet_length(text_of(docs)).cast("long") + 1).alias("n")).first()["n"] or 0
+    return max(1, math.ceil(size / group_bytes))
+
+
+def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length and any other columns).
 
-    `documents` is the number of documents; it sets the number of groups, so a group holds about
-    group_docs pieces at any input size. sequence_id = group * 2^32 + bin.
+    sequence_id = group * 2^32 + bin.
     """
     ready(pieces.sparkSession)
-    groups = max(1, math.ceil(documents / group_docs))
     names = pieces.columns
+    key, *_ = clear_of(pieces, "_group")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = (int(group["_group"].iloc[0]) << 32) + bins
+        group["sequence_id"] = (int(group[key].iloc[0]) << 32) + bins
         group["offset"] = offsets
         return group[[*names, "sequence_id", "offset"]]
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.lit(groups)))
+    keyed = pieces.withColumn(key, F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return keyed.groupBy("_group").applyInPandas(run, schema)
+    return keyed.groupBy(key).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -176,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     pieces = token_pieces(docs, path, capacity)
     light = pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens")
-    return pack_pieces(light, docs.select(F.lit(1)).count(), capacity)
+    return pack_pieces(light, groups_of(docs), capacity)
 
 
 def op4_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,78 +2,81 @@
 
 A linear model is trained with numpy from confirmed toxic documents (P) and unlabelled ones (U) by the
 class-prior-corrected risk  prior*E_P[l(g)] + max(0, E_U[l(-g)] - prior*E_P[l(-g)]):  where the
-bracket turns negative, that batch takes a step against it. Words enter as presence in BUCKETS hashed
-places; a soft threshold keeps weights of words that tell nothing at zero. The samples of P and U are
-bounded (SAMPLE_P, SAMPLE_U, by a hash of the id); the class prior and the calibration come from the
-training labels. Scores are computed for every whole text, a batch of words at a time.
+bracket turns negative, that step is taken against it. Words enter as presence in BUCKETS hashed
+places. U is every document that training may see, whatever its number: one pass counts in how many of
+them each word of P occurs, words whose share in P differs from that in U (SCREEN standard errors) stay,
+documents are reduced to these words and equal ones are counted, and each training step sums its
+gradient over that table in the cluster. A soft threshold keeps weights of words that tell nothing at
+zero. The samples of labelled rows are bounded (SAMPLE_P, SAMPLE_C: the first by a hash of the id); the
+class prior comes from all training labels. Scores are computed for every whole text.
 
 Cases: null and empty texts have no words and score the base rate; labels that are null are no labels;
 of repeated label rows one toxic row makes a document toxic; repeated documents are scored each; with
-no positive example the score is 0 for all; an empty table gives no rows; other columns are ignored.
+no positive example the score is 0 for all; an empty table gives no rows; other columns pass through
+`keep_clean` whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import crc_mod3, map_columns, ready, table, text_of, word_codes
+from tallyframe.llm.common import Cut, crc_mod3, listed, map_columns, ready, slices, table, text_of, word_codes
 
 BITS = 18
 BUCKETS = 1 << BITS
+#: Labelled training rows: positive ones, and those for the calibration of scores.
 SAMPLE_P = 4_000
-SAMPLE_U = 8_000
-#: Labelled training rows for the calibration of scores.
 SAMPLE_C = 4_000
 THRESHOLD = 0.7
-MEMO = 150_000
+#: Standard errors by which a word's share in P must differ from that in U, and the most words that stay.
+SCREEN = 3.0
+WORDS = 4096
+STEPS, RATE = 28, 0.35
 STRIP = " .,;:!?\"'()[]*#$%&-"
 
-_memo: dict[str, int] = {}
 
-
-def buckets_of(words: list[str]) -> np.ndarray:
-    """The hashed place of each word without its outer punctuation; -1 if nothing stays."""
-    if len(_memo) > MEMO:
-        _memo.clear()
-    out = []
-    for w in words:
-        k = _memo.get(w)
-        if k is None:
-            x = w.strip(STRIP).lower()
-            k = _memo[w] = zlib.crc32(x.encode()) & BUCKETS - 1 if x else -1
-        out.append(k)
-    return np.asarray(out, dtype=np.int64)
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """The hashed place of each word in lower case without its outer punctuation; -1 if nothing stays."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    coded = pc.utf8_lower(pc.ascii_trim(words, characters=STRIP)).dictionary_encode()
+    places = np.array([zlib.crc32(w.encode()) & BUCKETS - 1 if w else -1 for w in listed(coded.dictionary)], dtype=np.int64)
+    return places[coded.indices.to_numpy()]
 
 
 def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of all distinct pairs, sorted by text."""
     codes, words, first = word_codes(texts)
-    buckets = buckets_of(words.to_pylist())[codes]
+    buckets = buckets_of(words)[codes]
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     pairs = np.unique((owner << BITS | buckets)[buckets >= 0])
     return pairs >> BITS, pairs & BUCKETS - 1
 
 
+def arrays_of(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """One array of ints for each of n rows; owner is sorted."""
+    return pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32), values.astype(np.int32))
+
+
 def featurise(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, kept columns and the sorted distinct buckets of each whole text."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
 
     def run(*columns: pa.Array) -> list:
-        owner, bucket = presence(columns[-1])
-        at = np.searchsorted(owner, np.arange(len(columns[-1]) + 1))
-        return [*columns[:-1], [bucket[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]]
+        return [*columns[:-1], arrays_of(*presence(columns[-1]), len(columns[-1]))]
 
     return map_columns(docs.select("doc_id", *keep, text_of(docs).alias("text")), run, f"{schema}, buckets array<int>", raw=True)
 
 
 class Sparse:
     """Rows of distinct buckets in compressed form, over the buckets seen in training only."""
-
     def __init__(self, rows: list, places: np.ndarray):
         sizes = [len(r) for r in rows]
         flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if rows else np.empty(0, np.int64)
@@ -97,36 +100,123 @@ def nnpu_risk(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> tuple[float, fl
     return prior * np.logaddexp(0, -g_p).mean(), np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
 
 
-def train_nnpu(rows_p: list, rows_u: list, prior: float, steps: int = 400, rate: float = 0.05, z: float = 2.0, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+class Listed:
+    """Unlabelled rows at hand."""
+
+    def __init__(self, rows: list):
+        self.rows, self.n = rows, len(rows)
+
+    def shares(self, places: np.ndarray) -> np.ndarray:
+        u = Sparse(self.rows, places)
+        return u.back(np.ones(u.n), len(places))
+
+    def narrow(self, places: np.ndarray) -> None:
+        self.u = Sparse(self.rows, places)
+
+    def step(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Sums over all rows: loss of calling them negative, its gradient by weights and by bias."""
+        g = self.u.dot(w) + b
+        d = sigmoid(g)
+        return np.logaddexp(0, g).sum(), self.u.back(d, len(w)), d.sum()
+
+
+class Spread:
+    """All unlabelled documents (doc_id, text) of a table, seen through the same sums, taken in the cluster."""
+
+    def __init__(self, docs: DataFrame, cut: Cut):
+        self.docs, self.cut, self.n = ready(docs.sparkSession) and docs.select(text_of(docs).alias("text")), cut, 0
+
+    def shares(self, places: np.ndarray) -> np.ndarray:
+        """In how many documents each place occurs: every task sends a number for each place at most."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros(BUCKETS, np.int64), 0
+            for batch in batches:
+                for lo, k in slices(batch.columns, 4000):
+                    total += np.bincount(presence(batch.slice(lo, k).column(0))[1], minlength=BUCKETS)
+                n += batch.num_rows
+            found = places[total[places] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], n))], ["place", "n"])
+
+        rows = self.docs.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        at, n = rows["place"].to_numpy(), rows["n"].to_numpy()
+        out = np.zeros(BUCKETS, np.int64)
+        out[at[at >= 0]] = n[at >= 0]
+        self.n = int(n[at < 0].sum())
+        return out[places]
+
+    def narrow(self, places: np.ndarray) -> None:
+        """Reduces documents to these places and counts equal ones."""
+        number = np.full(BUCKETS, -1, np.int32)
+        number[places] = np.arange(len(places))
+
+        def run(texts: pa.Array) -> list:
+            owner, bucket = presence(texts)
+            at = number[bucket]
+            return [arrays_of(owner[at >= 0], at[at >= 0], len(texts))]
+
+        patterns = map_columns(self.docs, run, "at array<int>", raw=True)
+        self.u = self.cut(patterns.groupBy("at").agg(F.count("*").alias("n")))
+
+    def step(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grad, loss, bias = np.zeros(len(w)), 0.0, 0.0
+            for batch in batches:
+                lists, n = batch["at"], batch["n"].to_numpy().astype(np.float64)
+                at, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                g = np.bincount(owner, w[at], minlength=len(n)) + b
+                d = sigmoid(g) * n
+                grad += np.bincount(at, d[owner], minlength=len(w))
+                loss, bias = loss + float((np.logaddexp(0, g) * n).sum()), bias + float(d.sum())
+            hit = np.flatnonzero(grad)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, [-1, -2]).astype(np.int32)), pa.array(np.append(grad[hit], [loss, bias]))], ["at", "x"])
+
+        rows = self.u.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        at, x = rows["at"].to_numpy(), rows["x"].to_numpy()
+        grad = np.zeros(len(w))
+        grad[at[at >= 0]] = x[at >= 0]
+        return float(x[at == -1].sum()), grad, float(x[at == -2].sum())
+
+
+def train_nnpu(rows_p: list, unlabelled: list | Listed | Spread, prior: float, steps: int = STEPS, rate: float = RATE, z: float = 2.0, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the linear model; full-batch Adam with soft thresholding.
 
     A word's threshold is z standard errors of its pull on the risk under chance, so words that are as
     common in U as in P stay at zero whether P holds thirty documents or thousands.
     """
+    u = Listed(unlabelled) if isinstance(unlabelled, list) else unlabelled
     counts = np.zeros(BUCKETS, np.int64)
     for r in rows_p:
         counts[np.asarray(r, dtype=np.int64)] += 1
     places = np.flatnonzero(counts >= min(least, max(1, len(rows_p))))
-    p, u = Sparse(rows_p, places), Sparse(rows_u, places)
-    q = (u.back(np.ones(u.n), len(places)) + 1) / (u.n + 2)
-    sparsity = z * prior * np.sqrt(q * (1 - q) * (1 / p.n + 1 / u.n))
+    q = u.shares(places) + 1.0
+    q /= u.n + 2
+    apart = np.abs(counts[places] / len(rows_p) - q) / np.sqrt(q * (1 - q) * (1 / len(rows_p) + 1 / max(1, u.n)))
+    best = np.sort(np.argsort(-apart, kind="stable")[:WORDS])
+    best = best[apart[best] >= SCREEN]
+    places, q = places[best], q[best]
+    u.narrow(places)
+    p, n_u = Sparse(rows_p, places), max(1, u.n)
+    sparsity = z * prior * np.sqrt(q * (1 - q) * (1 / p.n + 1 / n_u))
     w, b = np.zeros(len(places)), float(np.log(prior / (1 - prior + 1e-9)))
     m, v, mb, vb = np.zeros(len(places)), np.zeros(len(places)), 0.0, 0.0
     for step in range(1, steps + 1):
-        g_p, g_u = p.dot(w) + b, u.dot(w) + b
-        d_p, d_u = sigmoid(g_p) / p.n, sigmoid(g_u) / u.n
-        if nnpu_risk(g_p, g_u, prior)[1] >= 0:
-            up, uu = np.full(p.n, -prior / p.n), d_u  # l'(g) - l'(-g) is -1 for the logistic loss
+        g_p = p.dot(w) + b
+        loss, grad, grad_b = u.step(w, b)
+        d_p = sigmoid(g_p) / p.n
+        if loss / n_u - prior * np.logaddexp(0, g_p).mean() >= 0:
+            up, sign = np.full(p.n, -prior / p.n), 1.0  # l'(g) - l'(-g) is -1 for the logistic loss
         else:  # the corrected part is negative: step against it
-            up, uu = prior * d_p, -d_u
-        grad, grad_b = p.back(up, len(places)) + u.back(uu, len(places)), up.sum() + uu.sum()
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b**2
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        scale = rate / (np.sqrt(v / c2) + 1e-4)
+            up, sign = prior * d_p, -1.0
+        grad, grad_b = p.back(up, len(places)) + sign * grad / n_u, up.sum() + sign * grad_b / n_u
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
+        c1, c2 = 1 - 0.9**step, 1 - 0.99**step
+        pace = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))  # falls to zero over the second half
+        scale = pace / (np.sqrt(v / c2) + 1e-4)
         w = w - scale * m / c1
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * sparsity)
-        b -= rate * mb / c1 / (np.sqrt(vb / c2) + 1e-4)
+        b -= pace * mb / c1 / (np.sqrt(vb / c2) + 1e-4)
     return places, w, b
 
 
@@ -153,30 +243,33 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.where(crc_mod3(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def portion(size: int, total: int):
-    """A condition on doc_id that about `size` of `total` ids meet, by a hash."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(1, total)))
+def first_by_hash(rows: DataFrame, size: int) -> DataFrame:
+    """The doc_ids of `size` rows at most, by a hash of the id: the same at any number of partitions."""
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(size).select("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: places and weights of words, bias, slope and intercept of the calibration, prior."""
-    spark = ready(docs.sparkSession)
+    cut = Cut(ready(docs.sparkSession))
     seen = training_labels(labels)
     counts = seen.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, n_p = counts["n"], counts["toxic"] or 0
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    nothing = {"weights": {}, "bias": -40.0, "slope": 1.0, "intercept": 0.0, "prior": 0.0}
     if not n_p:
-        return {"weights": {}, "bias": -40.0, "slope": 1.0, "intercept": 0.0, "prior": 0.0}
-    total = docs.select(F.lit(1)).count()
-    chosen = seen.where((F.col("toxic") == 1) & portion(SAMPLE_P, n_p) | portion(SAMPLE_C, n)).limit(2 * (SAMPLE_P + SAMPLE_C))
+        return nothing
+    mark = lambda name: F.lit(True).alias(name)
+    in_p, in_c = first_by_hash(seen.where("toxic = 1"), SAMPLE_P).select("doc_id", mark("in_p")), first_by_hash(seen, SAMPLE_C).select("doc_id", mark("in_c"))
     # the samples are bounded by the parameters above, so their ids can be broadcast
-    ids = F.broadcast(chosen.withColumn("in_c", portion(SAMPLE_C, n)).withColumn("in_p", (F.col("toxic") == 1) & portion(SAMPLE_P, n_p)))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labelled = featurise(plain.join(ids, "doc_id"), "toxic", "in_c", "in_p").collect()
-    free = plain.where(portion(SAMPLE_U, total) & (crc_mod3(F.col("doc_id")) != 1)).limit(2 * SAMPLE_U)
-    unlabelled = [r["buckets"] for r in featurise(free).select("buckets").collect()]
+    ids = F.broadcast(cut(seen.join(in_p, "doc_id", "left").join(in_c, "doc_id", "left").where("in_p OR in_c")))
+    labelled = featurise(plain.join(ids, "doc_id"), "toxic", "in_p", "in_c").collect()
     positive = [r["buckets"] for r in labelled if r["in_p"]]
+    if not positive:
+        return nothing
     prior = n_p / n
-    places, w, b = train_nnpu(positive, unlabelled or [[]], prior)
+    free = Spread(plain.where(F.coalesce(crc_mod3(F.col("doc_id")), F.lit(0)) != 1), cut)
+    places, w, b = train_nnpu(positive, free, prior)
+    cut.drop(free.u)
     sample = [r for r in labelled if r["in_c"]] or labelled
     g = Sparse([r["buckets"] for r in sample], places).dot(w) + b
     a, c = calibrate(g, np.asarray([r["toxic"] for r in sample]))
@@ -184,20 +277,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"weights": dict(zip(places[keep].tolist(), w[keep].tolist(), strict=True)), "bias": float(b), "slope": a, "intercept": c, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """doc_id, kept columns, score of each whole text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
+def score_of(spark: SparkSession, text: Column, model: dict) -> Column:
+    """The score of a whole text; only the text goes to Python and only the score comes back."""
     weights = np.zeros(BUCKETS)
     weights[list(model["weights"])] = list(model["weights"].values())
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS doubles, whatever the input
+    shared = ready(spark).sparkContext.broadcast(weights)  # BUCKETS doubles, whatever the input
     bias, slope, intercept = model["bias"], model["slope"], model["intercept"]
 
-    def run(*columns: pa.Array) -> list:
-        owner, bucket = presence(columns[-1])
-        g = np.bincount(owner, shared.value[bucket], minlength=len(columns[-1])) + bias
-        return [*columns[:-1], sigmoid(slope * g + intercept)]
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        out = [np.empty(0)]
+        for lo, n in slices([texts], 4000):
+            owner, bucket = presence(texts.slice(lo, n))
+            g = np.bincount(owner, shared.value[bucket], minlength=n) + bias
+            out.append(sigmoid(slope * g + intercept))
+        return pa.array(np.concatenate(out))
+
+    return scored(text)
 
-    return map_columns(docs.select("doc_id", *keep, text_of(docs).alias("text")), run, f"{schema}, score double", rows=1000, raw=True)
+
+def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
+    """doc_id, kept columns, score of each whole text."""
+    return docs.select("doc_id", *keep, score_of(docs.sparkSession, text_of(docs), model).alias("score"))
 
 
 def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +309,4 @@ def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with their columns."""
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.withColumn("_body", F.col("text"))
-    scored = score(plain, fit(docs, labels), *names, "_body")
-    return scored.where(F.col("score") < THRESHOLD).select(*[F.col("_body").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return docs.where(score_of(docs.sparkSession, text_of(docs), fit(docs, labels)) < THRESHOLD)

@@ -1,8 +1,10 @@
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tallyframe.llm import kd_shards as K
+from tallyframe.llm.common import Cut
 from tests.llm.helpers import AWKWARD, docs
 
 
@@ -32,9 +34,58 @@ def test_awkward_rows(spark):
     assert K.shard_documents(repeated, 3).count() == 9
 
 
-def test_median_search_opens_intervals():
-    s = K.Search(0, 5.0, 0.5)
-    s.step([(3, 4), (9, 4)], K.FIRST_BITS)
+def test_median_search_opens_intervals_and_groups_only_when_heavy():
+    s = K.Search(0, 5.0, 100.0)
+    s.step([(3, 4), (9, 4)])
     assert s.cut is None and s.lo == 9 << (K.BITS - K.FIRST_BITS)
-    s.step([(1, 1), (2, 3)], K.STEP_BITS)
-    assert s.left == 5
+    s.step([(1, 1), (2, 3)])
+    assert s.left == 5 and s.cut is None
+    s.step([(7, 3)])
+    s.step([(0, 3)])
+    assert s.cut is None and s.shift == 11 and s.bits == K.ROW_BITS  # three per cent of a shard: opened
+    light = K.Search(0, 1.0, 1000.0)
+    for _ in range(4):
+        light.step([(0, 3)])
+    assert light.cut == 0 and light.lo == 0  # cut at the nearer end of the group
+
+
+def test_copies_stay_together_and_repeated_rows_are_cut(spark):
+    texts = [f"text {i} " + "x" * (i * 37 % 400) for i in range(900)] + [f"copy {i % 40}" for i in range(200)]
+    df = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5)).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))
+    rows = K.shard_documents(df, 5).collect()
+    check(rows, texts, 5)
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 4  # a cut at most goes through one group each
+    mass = docs(spark, ["same"] * 4000).withColumn("doc_id", F.lit(5).cast("long"))
+    sizes = Counter(r["shard"] for r in K.shard_documents(mass, 4).collect())
+    assert len(sizes) == 4 and max(sizes.values()) <= 1.05 * min(sizes.values())
+
+
+def test_tree_against_one_made_in_memory(spark):
+    """Every leaf's rows are what cutting the same coordinates at weighted medians in memory gives, cut for cut."""
+    texts = [f"{i} " + "word " * (i * 7919 % 50) for i in range(600)]
+    df = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") * F.col("doc_id")) % 7))
+    base = K.coordinates(df)
+    cut = Cut(spark)
+    placed = K.kd_leaves(cut(K.scaled(K.together(base), 0, 599)), 6, cut).collect()
+    rows = [(r["size"], tuple(r[d] for d in K.DIMENSIONS), r["node"]) for r in placed]
+
+    def leaves(part, low, shards):
+        if shards == 1:
+            assert {r[2] for r in part} == {low}
+            return
+        bins = {d: Counter() for d in range(len(K.DIMENSIONS))}
+        for r in part:
+            for d in bins:
+                bins[d][r[1][d] >> (K.BITS - K.FIRST_BITS)] += r[0]
+        dim, half = K.widest({d: sorted(b.items()) for d, b in bins.items()}), shards // 2
+        below, above = [r for r in part if r[2] < low + half], [r for r in part if r[2] >= low + half]
+        assert max(r[1][dim] for r in below) < min(r[1][dim] for r in above)
+        goal, got = sum(r[0] for r in part) * half / shards, sum(r[0] for r in below)
+        assert abs(got - goal) <= max(r[0] for r in part)
+        leaves(below, low, half)
+        leaves(above, low + half, shards - half)
+
+    leaves(rows, 0, 6)

@@ -47,3 +47,38 @@ def test_query_reaches_the_targets(spark):
             got = sum(r["kept"] for r in rows if r[f"m_{d}"] == v) / total
             print(d, v, round(w / sum(there.values()), 4), round(got, 4))
             assert abs(got - w / sum(there.values())) < 0.01
+
+
+def test_zero_targets_drop_and_columns_survive(spark):
+    df = docs(spark, ["some words here"] * 30 + [""]).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en")).withColumn("_t", F.lit("kept")).withColumn("_topic", F.lit(1)).withColumn("m_prob", F.lit("old"))
+    for repeats in (True, False):
+        out = M.mix(df.where("text <> ''"), {"lang": {"en": 1.0}}, 0.5, repeats).collect()
+        assert {r["lang"] for r in out if r["m_kept"]} == {"en"} and all(r["m_prob"] == 0 for r in out if r["lang"] == "de")
+        assert {r["_t"] for r in out} == {"kept"} and {r["_topic"] for r in out} == {1} and len(out) == 30
+    empty = M.mix(df.where("text = ''"), {"lang": {"en": 1.0}}).collect()
+    assert [r["m_kept"] for r in empty] == [True]  # a cell without tokens
+
+
+def test_query_against_plain_python(spark):
+    """All documents of a table, counted, raked and drawn again without Spark."""
+    import hashlib
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    cells, of = {}, {}
+    for r in rows:
+        t = r["text"] or ""
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        topic = "numeric" if len(re.findall("[0-9]", t)) * 50 >= len(t) else "list" if (t.count("\n") + 1) * 120 >= len(t) else "long" if len(t) >= 6000 else "prose"
+        c = tuple(v if v in M.TARGETS[d] else M.OTHER for d, v in (("source", r["source"]), ("lang", r["lang"]), ("topic", topic)))
+        cells[c] = cells.get(c, 0) + n
+        of[r["doc_id"]] = (c, n)
+    mass = M.rake({c: float(n) for c, n in cells.items()}, M.TARGETS)
+    rate = M.rates({c: float(n) for c, n in cells.items()}, mass, M.BUDGET * sum(cells.values()))
+    for r in M.op1_mix_ipf(spark, sf).collect():
+        c, n = of[r["doc_id"]]
+        x = rate.get(c, 1.0)
+        draw = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) / 2**32
+        assert (r["m_source"], r["m_lang"], r["m_topic"], r["m_tokens"]) == (*c, n)
+        assert r["copies"] == int(x) + (draw < x - int(x)) and r["kept"] == (r["copies"] > 0) and abs(r["prob_ppm"] - min(x, 1) * 1e6) <= 1

@@ -91,3 +91,14 @@ def test_nothing_to_join(spark):
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert sorted(((r["doc_id"] or 0), r["component_id"]) for r in J.jaccard_components(rows).collect()) == [(0, None), (1, 1), (1, 1)]
     assert J.drop_near_copies(docs(spark, ["a b c d e f", "a b c d e f", None, ""])).count() == 3
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a"), (2, text, "b"), (2, text, "c"), (None, text, "d"), (7, "other words are here and there now", "e"), (7, "other words are here and there now", "e"), (None, "quite different words that stand for themselves", "f"), (None, None, "g"), (None, None, "h"), (9, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    left = sorted(r["_row"] for r in J.drop_near_copies(df).collect())
+    assert left == ["a", "e", "f", "g", "h", "i"]
+    assert J.drop_near_copies(df.where(F.lit(False))).count() == 0

@@ -14,7 +14,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_ids_are_the_tokenizers(texts):
     enc = P.encoder(PATH)
-    for got, text in zip(enc.encode(pa.array(texts, pa.string())), texts, strict=True):
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    for got, text in zip(np.split(ids, np.cumsum(sizes)), [*texts, ""], strict=True):
         assert np.array_equal(got, enc.whole(text))
 
 
@@ -42,3 +43,32 @@ def test_pieces_cover_documents_and_fill_sequences(spark):
     same = rows[rows.doc_id.isin([6, 7])]
     assert same.ids_crc32.nunique() == 1
     assert P.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_ids_of_whole_documents_are_the_tokenizers(spark):
+    """Every document of a table, as the query encodes it, against the tokenizer itself."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    enc = P.WordEncoder(PATH)
+    assert enc.known
+    enc.memo.limit = 20_000  # emptied on the way
+    for lo in range(0, len(texts), 200):
+        part = texts[lo : lo + 200]
+        ids, sizes = enc.encode(pa.array(part, pa.string()))
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(part, ends - sizes, ends, strict=True):
+            assert np.array_equal(ids[a:b], enc.whole(text))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abzAZéÉßÿ019'.,!-<|> \n\t"), max_size=80), max_size=6))
+def test_units_are_the_tokenizers(texts):
+    enc = P.encoder(PATH)
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == [x for t in texts for x in enc.whole(t).tolist()] and len(sizes) == len(texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    enc = P.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Upper lower", "", "x  y", "it's 42"]
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    assert not enc.known and ids.tolist() == [x for t in texts for x in enc.whole(t).tolist()] and sizes[1] == 0

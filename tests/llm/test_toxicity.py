@@ -33,3 +33,27 @@ def test_held_out_quality(spark):
     right = rows[rows.predicted == 1].toxic.mean()
     assert right > 0.85 and (rows.predicted == rows.toxic).mean() > 0.9
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) == bool(h) for i, h in out.select("doc_id", "held_out").limit(50).collect())
+
+
+def test_sums_over_the_cluster_are_those_in_memory(spark):
+    from tallyframe.llm.common import Cut
+
+    d = docs(spark, [*AWKWARD, "bad words", "bad words here", "good words"] * 3)
+    rows = [r["buckets"] for r in X.featurise(d).collect()]
+    places = np.unique(np.concatenate([np.asarray(r) for r in rows]))
+    near, far = X.Listed(rows), X.Spread(d, Cut(spark))
+    assert np.array_equal(near.shares(places), far.shares(places)) and near.n == far.n == d.count()
+    some = places[::2]
+    near.narrow(some)
+    far.narrow(some)
+    w = np.linspace(-1, 1, len(some))
+    for a, b in zip(near.step(w, 0.3), far.step(w, 0.3), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_columns_with_names_of_its_own_pass(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts = [("foul nasty " if i % 2 else "kind gentle ") + f"w{i}" for i in range(40)]
+    d = docs(spark, texts).selectExpr("*", "'s' AS score", "1 AS buckets", "2 AS _body")
+    out = X.keep_clean(d, labels)
+    assert out.columns == d.columns and 0 < out.count() < 40 and {r["score"] for r in out.collect()} == {"s"}
