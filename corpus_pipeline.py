@@ -12,10 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Cut, table
+from tallyframe.llm.common import Cut, settled, table
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.ngram_join import drop_near_copies
-from tallyframe.llm.packing import pack_pieces, token_pieces
+from tallyframe.llm.packing import groups_of, pack_pieces, token_pieces
 from tallyframe.llm.pii import redact
 from tallyframe.llm.toxicity import keep_clean
 
@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids, placed in sequences of 2048 tokens."""
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("token_bytes"))
-    return pack_pieces(pieces, docs.select(F.lit(1)).count())
+    return pack_pieces(pieces, groups_of(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -61,6 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = Cut(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(cut, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:  # the stage before has been read for the last time
+            cut.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
