@@ -1,30 +1,41 @@
 """PII [native]: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
-Base detectors (email, ip, card, phone) are exact rules and always stay. Looser generators propose more
-spans of the same kinds, which may overlap. Each candidate has a few binned features of its form and
-its surroundings; candidates that lie on base spans are the positive examples, those that fail the rules
-the negative ones. One aggregation counts all candidates of the corpus by feature cell and fold, so what
-reaches the driver is bounded by the number of cells (product of the bins), not by the data; there a
-gradient boosting of depth-two trees is fitted to fold 0, and fold 1 sets, per kind, the least margin at
-which the precision of all above is PRECISION. Trees become one SQL expression. No Python runs on
-executors: positions come from the lengths of the text between and inside matches.
+Base detectors (email, ip, card, phone) are exact rules and always stay. Loose generators propose what
+the rules miss: masked addresses, plain national numbers, cards with other separators, and random-looking
+strings (secret). Two views of a candidate are kept apart, as in co-training. Its check is what a value
+of the kind must fulfil when written plainly (digits and their checksum, parts, a top-level name, changes
+between letters and digits). Its features are surroundings and style: words before it, characters beside it,
+separators, brackets, length class of strings; the check is none of them. Trees learn from all
+spans of the exact forms, labelled by the check, so what they decide is whether such surroundings hold
+real values or version, order and price numbers. Gradient boosting of depth-two trees is fitted
+to fold 0; fold 1 sets, per kind, the least margin at which the precision of all above is PRECISION. A loose
+candidate is added if its check holds and its margin passes; one that a base span or an earlier added
+one reaches into is not.
+
+One aggregation counts all examples of the corpus by feature cell and fold, so what reaches the driver is
+bounded by the number of cells (product of the bins), not by the data. Trees become one SQL expression. No
+Python runs on executors: positions are sums of the lengths of the text between and inside matches, added in
+blocks, so a text with very many spans takes little more than time in proportion.
 
 Cases: null text counts as empty and has no spans; ties of start are ordered by kind; equal texts give
 equal spans; repeated rows are kept; an empty table or no positive example fits no trees and adds no
-spans; other columns pass through `redact`, a column named like a temporary one ("_pii_...") excepted.
+spans; other columns pass through `redact` whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import table, text_of
+from tallyframe.llm.common import Cut, clear_of, table, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds of the exact rules.
+RULES = KINDS[:4]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _LOCAL = "A-Za-z0-9._%+-"
 # The rules of the contract; what stands before a match only keeps the search from starting inside a run
@@ -35,30 +46,54 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = r"\x20?(?:\(at\)|\[at\])\x20?", r"(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)"
 LOOSE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?:\.|\[\.\])[0-9]{1,3}){3}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}([\x20.-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++|@[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){0,2}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){0,2}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20.-])(?<!\+[0-9]{1,3}\x20\()\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+",
 }
 #: Cheap conditions without which a kind cannot occur.
-GATE = {"email": "@|\\(at\\)|\\[at\\]", "ip": r"[0-9]\]?\.\]?[0-9]|[0-9]\[\.", "card": r"[0-9][\x20.-]?[0-9][\x20.-]?[0-9][\x20.-]?[0-9][\x20.-]?[0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-]"}
-CONTEXT = (r"phone|tel|call|fax|mobile|whatsapp", r"mail|contact|write", r"card|visa|credit|pay|iban", r"\bip\b|host|server|addr", r"version|isbn|order|invoice|serial|token|hash")
+GATE = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]|[0-9][\[(]\.", "card": r"[0-9][\x20./_-]?[0-9][\x20./_-]?[0-9][\x20./_-]?[0-9][\x20./_-]?[0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-]", "secret": "[A-Za-z_-][0-9]|[0-9][A-Za-z_-]"}
+CONTEXT = (r"version|isbn|order|invoice|serial|release|build|price|model|part|item|sku", r"phone|tel|call|fax|mobile|whatsapp|dial|number", r"mail|contact|write|send|reach", r"card|visa|credit|pay|iban|account", r"\bip\b|host|server|addr|ping", r"passw|token|secret|key|pwd|auth|login", r"commit|hash|sha|md5|digest|checksum|uuid")
 REACH = 24
-FEATURES = {"kind": 4, "digits": 8, "valid": 2, "marks": 5, "paren": 2, "context": 6, "left": 4, "right": 4}
+FEATURES = {"kind": 5, "marks": 5, "paren": 2, "context": 8, "left": 5, "right": 5, "length": 5}
 ROUNDS, RATE, PRECISION = 30, 0.3, 0.95
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element, what the elements before it join to. In blocks of the root of the size, as every step
+    of an aggregation copies the array that it appends to."""
+    scan = lambda x: F.aggregate(x, F.array(zero), lambda s, v: F.concat(s, F.array(join(F.element_at(s, -1), v))))
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: scan(F.slice(v, b * width + 1, width)))
+        ahead = lambda p: scan(F.transform(p, lambda x: F.element_at(x, -1)))
+        whole = lambda p, before: F.flatten(F.zip_with(p, F.slice(before, 1, F.size(p)), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: join(o, y))))
+        return let(parts, lambda p: let(ahead(p), lambda before: whole(p, before)))
+
+    return F.when(F.size(values) > 0, let(values, blocks)).otherwise(F.slice(values, 1, 0))
+
+
 def matches(text: Column, pattern: str, gate: str) -> Column:
     """Array of (start, end, m): all matches from left to right, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # the state keeps the end of the match before; every step appends one span
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, m: STRING>>)")
-    last = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))
-    step = lambda s, x: F.concat(s, F.array(F.struct((last(s) + F.length(x["g"])).alias("start"), (last(s) + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"))))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(text.rlike(gate), F.aggregate(pairs, none, step)).otherwise(none)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        pairs = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.struct((F.length(g) + F.length(m)).alias("n"), m.alias("m")))
+        starts = lambda p: running(F.transform(p, lambda y: y["n"]), F.lit(0), lambda a, b: a + b)
+        span = lambda y, b: F.struct((b + y["n"] - F.length(y["m"])).alias("start"), (b + y["n"]).alias("end"), y["m"].alias("m"))
+        return let(pairs, lambda p: F.zip_with(p, starts(p), span))
+
+    return F.when(text.rlike(gate), let(both, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))).otherwise(none)
 
 
 def digits_of(m: Column) -> Column:
@@ -73,62 +108,79 @@ def luhn(m: Column) -> Column:
     return total % 10 == 0
 
 
-def valid(kind: str, m: Column) -> Column:
+def fulfils(kind: str, m: Column, exact: bool = False) -> Column:
+    """The check of a value of this kind; exact: as the contract words it."""
     if kind == "ip":
-        return m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
+        return F.regexp_replace(m, r"[\[\]()]", "").rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
     if kind == "card":
-        return luhn(m)
+        return F.length(digits_of(m)).between(14, 19) & luhn(m)
     if kind == "phone":
         return F.length(digits_of(m)).between(10, 15)
-    return F.lit(True)
+    if kind == "email":
+        return F.lit(True) if exact else m.rlike("[A-Za-z]{2,}$")
+    return F.regexp_count(m, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")) >= 3
 
 
 def spans(text: Column, rules: dict[str, str], only_valid: bool) -> Column:
     """Array of (start, kind, end, m) of all kinds, sorted by start, then kind."""
-    def of_kind(k: int, name: str) -> Column:
+    def of_kind(name: str) -> Column:
         found = matches(text, rules[name], GATE[name])
         if only_valid and name != "email":
-            found = F.filter(found, lambda x: valid(name, x["m"]))
-        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["m"].alias("m")))
+            found = F.filter(found, lambda x: fulfils(name, x["m"], True))
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind"), x["end"].alias("end"), x["m"].alias("m")))
 
-    return F.array_sort(F.concat(*[of_kind(k, name) for k, name in enumerate(KINDS)]))
+    return F.array_sort(F.concat(*[of_kind(name) for name in rules]))
 
 
 def side(c: Column) -> Column:
-    """Class of a neighbouring character: 0 none or white space, 1 letter, 2 digit, 3 other."""
-    return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}$"), 1).when(c.rlike("^[0-9]$"), 2).otherwise(3)
+    """Class of a neighbouring character: 0 none or white space, 1 letter, 2 digit, 3 quote or sign of assignment, 4 other."""
+    return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^\p{L}$"), 1).when(c.rlike("^[0-9]$"), 2).when(c.rlike("^[=:\"'`]$"), 3).otherwise(4)
 
 
 def featured(text: Column, x: Column) -> Column:
     """The binned features of a candidate."""
     m, kind = x["m"], x["kind"]
-    n = F.length(digits_of(m))
-    marks = F.regexp_replace(m, r"[0-9A-Za-z()\[\]+]", "")
+    marks = F.regexp_replace(m, r"[0-9A-Za-z()\[\]+@]", "")
     before = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - REACH + 1), F.least(F.lit(REACH), x["start"])))
-    context = F.lit(0)
-    for k in reversed(range(len(CONTEXT))):
-        context = F.when(before.rlike(CONTEXT[k]), k + 1).otherwise(context)
-    good = F.when(kind == 1, F.regexp_replace(m, r"[\[\]]", "").rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).when(kind == 2, luhn(m)).when(kind == 3, n.between(10, 15)).otherwise(m.rlike("[A-Za-z]{2,}$"))
+
+    def words(c: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(range(len(CONTEXT))):
+            out = F.when(c.rlike(CONTEXT[k]), k + 1).otherwise(out)
+        return out
+
+    n = F.length(m)
     return F.struct(
         kind.cast("int").alias("kind"),
-        F.when(n <= 6, 0).when(n <= 9, 1).when(n == 10, 2).when(n == 11, 3).when(n <= 13, 4).when(n <= 15, 5).when(n == 16, 6).otherwise(7).alias("digits"),
-        good.cast("int").alias("valid"),
-        F.when(marks == "", 0).when(marks.rlike(r"^\x20+$"), 1).when(marks.rlike("^-+$"), 2).when(marks.rlike(r"^[.@]+$"), 3).otherwise(4).alias("marks"),
+        F.when(marks == "", 0).when(marks.rlike(r"^\x20+$"), 1).when(marks.rlike("^-+$"), 2).when(marks.rlike(r"^\.+$"), 3).otherwise(4).alias("marks"),
         m.contains("(").cast("int").alias("paren"),
-        context.alias("context"),
+        let(before, words).alias("context"),
         F.when(x["start"] > 0, side(F.substring(text, x["start"], F.lit(1)))).otherwise(0).alias("left"),
         side(F.substring(text, x["end"] + 1, F.lit(1))).alias("right"),
+        F.when(kind != KINDS.index("secret"), 0).when(n < 20, 1).when(n < 33, 2).when(n < 65, 3).otherwise(4).alias("length"),
     )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Adds _pii_base (spans of the rules) and _pii_more (candidates with features `f` and `on_base`)."""
-    out = docs.withColumn("_pii_text", text_of(docs)).withColumn("_pii_base", spans(F.col("_pii_text"), BASE, True)).withColumn("_pii_loose", spans(F.col("_pii_text"), LOOSE, False))
-    # base rules that failed are candidates too: they are the negative examples
-    out = out.withColumn("_pii_loose", F.when(F.col("_pii_text").rlike("[0-9]"), F.array_sort(F.array_union("_pii_loose", spans(F.col("_pii_text"), BASE, False)))).otherwise(F.col("_pii_loose")))
-    touches = lambda x: F.exists("_pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]) & (b["kind"] == x["kind"]))
-    more = F.transform("_pii_loose", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), featured(F.col("_pii_text"), x).alias("f"), touches(x).alias("on_base")))
-    return out.withColumn("_pii_more", more).drop("_pii_loose")
+PLAIN = "ARRAY<STRUCT<start: INT, kind: INT, end: INT>>"
+
+
+def candidates(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Adds under three names: spans of the rules; features `f` and label `y` of all spans of the exact forms and of
+    strings; loose candidates (start, kind, end, f, ok)."""
+    text, (first, seeds, more) = text_of(docs), names
+    body, exact, loose = clear_of(docs.select("*", *[F.lit(0).alias(n) for n in names]), "_text", "_exact", "_loose")
+    out = docs.withColumn(body, text).withColumns({exact: spans(F.col(body), BASE, False), loose: spans(F.col(body), LOOSE, False)})
+    pick = lambda x, how: F.coalesce(*[F.when(x["kind"] == KINDS.index(k), how(k, x["m"])) for k in KINDS])
+    valid = lambda x: pick(x, lambda k, m: fulfils(k, m, True))
+    is_secret = lambda x: x["kind"] == KINDS.index("secret")
+    example = lambda x: F.struct(featured(F.col(body), x).alias("f"), pick(x, fulfils).cast("int").alias("y"))
+    offer = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), featured(F.col(body), x).alias("f"), pick(x, fulfils).alias("ok"))
+    plain = F.transform(F.filter(exact, valid), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return out.withColumns({
+        first: plain,
+        seeds: F.transform(F.concat(exact, F.filter(loose, is_secret)), example),
+        more: F.transform(loose, offer),
+    }).drop(body, exact, loose)
 
 
 def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = ROUNDS) -> list[tuple]:
@@ -178,10 +230,9 @@ def margin_of(f: Column, trees: list[tuple]) -> Column:
     return total
 
 
-def fit(docs: DataFrame) -> dict:
-    """trees and the threshold of each kind (infinite: none of its candidates is trusted)."""
-    fold = F.pmod(F.xxhash64("_pii_text"), F.lit(2))
-    cells = candidates(docs.select("text")).select(fold.alias("fold"), F.explode("_pii_more").alias("c")).groupBy("fold", *[F.col(f"c.f.{n}").alias(n) for n in FEATURES], F.col("c.on_base").cast("int").alias("y")).agg(F.count("*").alias("n"))
+def fit(found: DataFrame, names: list[str], fold: Column) -> dict:
+    """trees and the threshold of each kind (infinite: none of its candidates is trusted), from a table of candidates()."""
+    cells = found.select((F.pmod(fold, F.lit(2))).alias("fold"), F.explode(names[1]).alias("c")).groupBy("fold", *[F.col(f"c.f.{n}").alias(n) for n in FEATURES], F.col("c.y").alias("y")).agg(F.count("*").alias("n"))
     rows = cells.collect()  # at most 2 * 2 * the product of the bins
     rows.sort(key=lambda r: tuple(r))
     x = np.asarray([[r[n] for n in FEATURES] for r in rows], dtype=np.int64).reshape(len(rows), len(FEATURES))
@@ -201,48 +252,74 @@ def fit(docs: DataFrame) -> dict:
     return out
 
 
-def detect(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with _pii_base and _pii_spans (start, kind, end): base spans and the added ones, sorted."""
-    out = candidates(docs)
-    plain = F.transform("_pii_base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+def chosen(first: Column, more: Column, model: dict) -> Column:
+    """Array of (start, kind, end): the spans of the rules and those that are added, sorted."""
     if not model["trees"]:
-        return out.withColumn("_pii_spans", plain).drop("_pii_more")
+        return first
+
     def trusted(x: Column) -> Column:
         t = F.lit(math.inf)
         for k, v in enumerate(model["thresholds"]):
             t = F.when(x["kind"] == k, float(v)).otherwise(t)
-        return margin_of(x["f"], model["trees"]) >= t - 1e-9
+        return x["ok"] & (margin_of(x["f"], model["trees"]) >= t - 1e-9)
+
+    # rules first where starts are equal, then the longer, then by kind
+    row = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), (-x["end"]).alias("back"), x["kind"].alias("kind"))
+    far = F.lit((1 << 31) - 1)
+    ends = lambda s, own: running(F.transform(s, lambda x: F.when(x["own"] == own, -x["back"]).otherwise(0)), F.lit(0), F.greatest)
+    starts = lambda s: F.reverse(running(F.transform(F.reverse(s), lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far)), far, F.least))
 
-    free = lambda x: ~F.exists("_pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("_pii_more", lambda x: free(x) & trusted(x))
-    out = out.withColumn("_pii_added", F.transform(added, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))))
-    # of added spans that overlap, the one that starts first stays, then the longer, then by kind
-    beats = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((a["start"] < b["start"]) | (a["start"] == b["start"]) & ((a["end"] > b["end"]) | (a["end"] == b["end"]) & (a["kind"] < b["kind"])))
-    alone = F.filter("_pii_added", lambda b: ~F.exists("_pii_added", lambda a: beats(a, b)))
-    return out.withColumn("_pii_spans", F.array_sort(F.array_union(plain, alone))).drop("_pii_more", "_pii_added")
+    def resolve(s: Column) -> Column:
+        free = lambda before, after: F.filter(s, lambda x, i: (x["own"] == 0) | (F.get(before, i) <= x["start"]) & (F.get(after, i) >= -x["back"]))
+        first_of = lambda t: let(ends(t, 1), lambda reach: F.filter(t, lambda x, i: (x["own"] == 0) | (F.get(reach, i) <= x["start"])))
+        left = let(ends(s, 0), lambda before: let(starts(s), lambda after: let(free(before, after), first_of)))
+        return F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["back"]).alias("end")))
 
+    added = F.filter(more, trusted)
+    every = lambda a: F.array_sort(F.concat(F.transform(first, lambda x: row(x, 0)), F.transform(a, lambda x: row(x, 1))))
+    return let(added, lambda a: F.when(F.size(a) == 0, first).otherwise(F.array_sort(let(every(a), resolve))))
 
-def named(spans_column: str) -> Column:
+
+def named(spans_column: Column) -> Column:
     kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
     return F.array_join(F.transform(spans_column, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def op9_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = detect(docs, fit(docs))
-    count = lambda k: F.size(F.filter("_pii_base", lambda x: x["kind"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(named("_pii_base"), 256).alias("base_sha256"), named("_pii_spans").alias("spans"))
+    names, cut = ["base", "seeds", "more"], Cut(spark)
+    found = cut(candidates(docs, names).select("doc_id", F.xxhash64("text").alias("fold"), *names))
+    model = fit(found, names, F.col("fold"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(RULES)]
+    return found.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(chosen(F.col("base"), F.col("more"), model)).alias("spans"))
+
 
+#: Spans of a text from which pieces are taken from an array of its characters: finding a place in a string takes time with its distance.
+MANY = 32
 
-def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
+
+def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; n_chars follows where it is there."""
-    out = detect(docs, model or fit(docs))
-    text = F.col("_pii_text")
+    names = clear_of(docs, "_pii_base", "_pii_seeds", "_pii_more", "_pii_spans", "_pii_clean")
+    found = Cut(docs.sparkSession)(candidates(docs, names[:3]))
+    model = fit(found, names, F.xxhash64("text"))
+    kept, new = F.col(names[3]), F.col(names[4])
+    out = found.withColumn(names[3], chosen(F.col(names[0]), F.col(names[2]), model))
+    text = text_of(out)
     mark = lambda x: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), x["kind"] + 1)
-    # overlapping spans go as a whole: a later one that reaches further is marked too
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])), mark(x)).alias("out")))
-    clean = F.aggregate("_pii_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = out.withColumn("_pii_clean", F.when(F.size("_pii_spans") > 0, clean).otherwise(F.col("text")))
-    size = F.when(F.size("_pii_spans") > 0, F.length("_pii_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[F.col("_pii_clean").alias("text") if c == "text" else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+    def clean(piece: Callable[[Column, Column], Column]) -> Column:
+        # overlapping spans go as a whole: a later one that reaches further is marked too
+        reach = running(F.transform(kept, lambda x: x["end"]), F.lit(0), F.greatest)
+        parts = F.zip_with(kept, reach, lambda x, at: F.when(x["end"] <= at, "").otherwise(F.concat(piece(at, F.greatest(F.lit(0), x["start"] - at)), mark(x))))
+        last = F.array_max(F.transform(kept, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), piece(last, F.length(text) - last))
+
+    few = clean(lambda at, n: F.substring(text, at + 1, n))
+    many = let(F.split(text, ""), lambda c: clean(lambda at, n: F.array_join(F.slice(c, at + 1, n), "")))
+    out = out.withColumn(names[4], F.when(F.size(kept) == 0, F.col("text")).when(F.size(kept) <= MANY, few).otherwise(many))
+    value = {"text": new.alias("text")}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.size(kept) > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[value.get(c, F.col(c)) for c in docs.columns])

@@ -80,3 +80,85 @@ def test_trees_learn_and_become_an_expression(spark):
     df = spark.createDataFrame([tuple(map(int, r)) for r in x[:40]], ", ".join(f"{n} int" for n in P.FEATURES))
     got = [r[0] for r in df.select(P.margin_of(F.struct("*"), trees)).collect()]
     assert np.allclose(got, g[:40])
+
+
+def planted(n, seed=4):
+    """Texts with values the rules find, values they miss and decoys, and where each of the last two stands."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card(good):
+        d = "4" + digits(14)
+        return d + next(x for x in "0123456789" if (luhn(d + x)) == good)
+
+    dotted = lambda c: ".".join(c[i : i + 4] for i in range(0, 16, 4))
+    national = lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"
+    masked = lambda: f"{word()}.{digits(2)} (at) {word()} [dot] example"
+    texts, missed, decoys = [], [], []
+    for i in range(n):
+        ws = [word() for _ in range(40)]
+        kind, at = i % 10, r.randint(5, 30)
+        value, hit, decoy = {
+            0: (f"mail me {word()}{digits(2)}@mail.example.com", None, None),
+            1: (f"call +1 {national()}", None, None),
+            2: (f"card {card(True)}", None, None),
+            3: (f"server {r.randint(1, 223)}.{r.randint(0, 255)}.{r.randint(0, 255)}.7", None, None),
+            4: ("order", None, card(False)) if i % 20 == 4 else ("lot", None, "#" + card(False)),
+            5: ("version", None, f"{r.randint(256, 999)}.{digits(1)}.{digits(2)}.{digits(1)}"),
+            6: ("call", national(), None),
+            7: ("write to", masked(), None),
+            8: ("order", None, national()),
+            9: ("visa", dotted(card(True)), None),
+        }[kind]
+        full = " ".join([*ws[:at], value, *([x for x in (hit, decoy) if x]), *ws[at:]])
+        texts.append(full)
+        for x, out in ((hit, missed), (decoy, decoys)):
+            if x:
+                out.append((i, full.index(x) + x.count("#"), full.index(x) + len(x)))
+    return texts, missed, decoys
+
+
+def test_planted_values_that_the_rules_miss_and_decoys(spark):
+    from tallyframe.llm.common import Cut
+
+    texts, missed, decoys = planted(1500)
+    names = ["base", "seeds", "more"]
+    found = Cut(spark)(P.candidates(docs(spark, texts).select("doc_id", "text"), names))
+    model = P.fit(found, names, F.xxhash64("text"))
+    got = {r["doc_id"]: r for r in found.select("doc_id", "base", P.chosen(F.col("base"), F.col("more"), model).alias("s")).collect()}
+    added = {(i, x["start"], x["end"]) for i, r in got.items() for x in r["s"] if x not in r["base"]}
+    caught, wrong = len(added & set(missed)), len(added - set(missed))
+    print("caught", caught / len(missed), "precision", caught / max(1, len(added)))
+    assert caught >= 0.9 * len(missed) and wrong <= 0.02 * len(added)  # the rules alone find none of them
+    assert not added & set(decoys)
+    used = {t[0] for t in model["trees"]} | {s[0] for t in model["trees"] for s in t[2]}
+    assert {list(P.FEATURES).index(k) for k in ("context", "left")} <= used  # words before it, and the character beside it
+
+
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    mails = " ".join(f"a{i}@b.c" for i in range(25_000))
+    phones = " ".join(f"({200 + i % 700}) 555-{i % 10_000:04d}" for i in range(5_000))
+    df = docs(spark, [mails, phones + " " + mails[:20_000]])
+    df.select(P.spans(F.col("text"), P.BASE, True)).count()
+    began = time.time()
+    got = [r[0] for r in df.select(F.size(P.spans(F.col("text"), P.BASE, True))).collect()]
+    took = time.time() - began
+    print("seconds", took)
+    assert got[0] == 25_000 and took < 10
+    out = P.redact(df).collect()
+    assert out[0]["text"].count("[EMAIL]") == 25_000 and "@" not in out[0]["text"]
+
+
+def test_running_sums_and_overlaps(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 7, 100):
+        xs = list(range(1, n + 1))
+        got = spark.range(1).select(P.running(F.array(*map(F.lit, xs)).cast("array<int>"), F.lit(0), lambda a, b: a + b).alias("x")).first()[0]
+        assert got == [sum(xs[:i]) for i in range(n)]
+    assert P.redact(docs(spark, ["x"]).withColumn("_text", F.lit(1)).withColumn("_pii_base", F.lit(2))).columns[-2:] == ["_text", "_pii_base"]
