@@ -133,20 +133,25 @@ def sorted_chars(c: Column) -> Column:
 
 def digits_only_differ(a: Column, b: Column) -> Column:
     """The strings differ, and only in digits: place by place, or by digits at the end of the longer."""
-    char = lambda s, i: F.substring(s, i, F.lit(1))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a)))
-    plain = F.forall(places, lambda i: (char(a, i) == char(b, i)) | char(a, i).rlike("^\\p{Nd}$") | char(b, i).rlike("^\\p{Nd}$"))
+    digit = lambda x: x.rlike("^\\p{Nd}$")
+    plain = F.forall(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) | digit(x) | digit(y)), lambda x: F.coalesce(x, F.lit(True)))
     cut = lambda s: F.regexp_replace(s, "[0-9]+$", "")
     ends = lambda long, short: (cut(long) == short) | (F.rtrim(cut(long)) == F.rtrim(short))
     return F.when(F.length(a) == F.length(b), (a != b) & plain).when(F.length(a) > F.length(b), ends(a, b)).otherwise(ends(b, a))
 
 
 def is_typo(a: Column, b: Column) -> Column:
-    """Five characters and more, at most two edits, similarity of 0.85 and more, not only other digits."""
-    size = F.greatest(F.length(a), F.length(b))
+    """Five characters and more, at most two edits, similarity of 0.85 and more, not only other digits.
+
+    Of three parts of a, two edits leave one that stands in b as it is; distances are taken of such pairs only.
+    """
+    size, third = F.greatest(F.length(a), F.length(b)), F.floor(F.length(a) / 3).cast("int")
     gate = (F.length(a) >= 5) & (F.length(b) >= 5) & (F.abs(F.length(a) - F.length(b)) <= 2)
-    edits = F.levenshtein(a, b, 2)
-    return F.coalesce(F.when(gate, F.when((edits >= 0) & (1 - edits / size >= 0.85), ~digits_only_differ(a, b)).otherwise(False)).otherwise(False), F.lit(False))
+    parts = [F.substring(a, F.lit(1), third), F.substring(a, third + 1, third), F.substring(a, 2 * third + 1, F.length(a))]
+    near = F.contains(b, parts[0]) | F.contains(b, parts[1]) | F.contains(b, parts[2])
+    allowed = F.when(size >= 14, 2).when(size >= 7, 1).otherwise(0)  # edits that leave a similarity of 0.85
+    close = F.pmod(F.levenshtein(a, b, 2), F.lit(100)) <= allowed  # -1, more than two, becomes 99
+    return F.coalesce(F.when(~gate, False).when(a == b, True).when(~near, False).when(close, ~digits_only_differ(a, b)).otherwise(False), F.lit(False))
 
 
 def is_subset(a: Column, b: Column) -> Column:
@@ -172,17 +177,22 @@ def has_thai(c: Column) -> Column:
 
 def accented(c: Column) -> Column:
     """How many characters carry a Latin accent."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"[{_ACCENTED}]", ""))
+    return F.length(c) - F.length(F.translate(c, _ACCENTED, ""))
 
 
 _ACCENTED = "".join(x for x in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", x)) > 1 and 0x300 <= ord(d[1]) <= 0x36F)
 
 
+def _with_mark(mark: str, *more: str) -> str:
+    return "[" + "".join(x for x in map(chr, range(0x3040, 0x3100)) if mark in unicodedata.normalize("NFD", x)) + mark + "".join(more) + "]"
+
+
+#: Marks that carry meaning, as classes of characters that have them.
+MARK_CLASSES = {"dakuten": _with_mark("\u3099", "\uff9e"), "handakuten": _with_mark("\u309a", "\uff9f"), "thai_tone": "[่-๋]", "small_kana": "[ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮ]", "korean": "[가-힣ᄀ-ᇿ]"}
+
+
 def mark_flags(c: Column) -> Column:
     """Marks that carry meaning: voiced kana, semi-voiced kana, Thai tones, small kana, Hangul; and any of them."""
-    voiced = "".join(x for x in map(chr, range(0x3040, 0x3100)) if "゙" in unicodedata.normalize("NFD", x)) + "゙ﾞ"
-    semi = "".join(x for x in map(chr, range(0x3040, 0x3100)) if "゚" in unicodedata.normalize("NFD", x)) + "゚ﾟ"
-    flags = {"dakuten": f"[{voiced}]", "handakuten": f"[{semi}]", "thai_tone": "[่-๋]", "small_kana": "[ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮ]", "korean": "[가-힣ᄀ-ᇿ]"}
-    each = {k: F.coalesce(c.rlike(p), F.lit(False)) for k, p in flags.items()}
-    some = F.coalesce(c.rlike("|".join(flags.values())), F.lit(False))
+    each = {k: F.coalesce(c.rlike(p), F.lit(False)) for k, p in MARK_CLASSES.items()}
+    some = F.coalesce(c.rlike("|".join(MARK_CLASSES.values())), F.lit(False))
     return F.struct(*[v.alias(k) for k, v in each.items()], some.alias("any_mark"))

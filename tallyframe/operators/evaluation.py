@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.once import once
+from tallyframe.operators.profile import share_of_all
+
 
 def majority_vote(votes: Column, threshold: float = 0.0, favoured: str = "business_type") -> Column:
     """The most frequent vote; null below the share; ties go to the favoured label, else to the first by name."""
@@ -27,6 +30,39 @@ def align(models: dict[str, DataFrame], keys: list[str], label: str = "predicted
     return reduce(lambda a, b: a.join(b, keys), parts)
 
 
+def votes_of(aligned: DataFrame) -> Column:
+    return F.array(*[F.col(c) for c in aligned.columns if c.startswith("pred_")])
+
+
+def agreement_histogram(aligned: DataFrame) -> DataFrame:
+    """Of align(): how many models give the most frequent label, counted over rows, with the ratio."""
+    cast = F.filter(votes_of(aligned), lambda v: v.isNotNull())
+    top = F.coalesce(F.array_max(F.transform(F.array_distinct(cast), lambda v: F.size(F.filter(cast, lambda x: x == v)))), F.lit(0))
+    return share_of_all(aligned.groupBy(top.cast("long").alias("agreeing")).agg(F.count("*").alias("row_count")))
+
+
+def coverage_at(aligned: DataFrame, truth: str, thresholds: list[float]) -> DataFrame:
+    """Per threshold of the majority vote: rows that are answered, their share, and how many of them are right."""
+    votes = [majority_vote(votes_of(aligned), x) for x in thresholds]
+    wide = once(aligned, {f"v{k}": v for k, v in enumerate(votes)}).agg(F.count("*").alias("n"), *[x for k in range(len(votes)) for x in (F.count(f"v{k}").alias(f"a{k}"), F.count_if(F.col(f"v{k}") == F.col(truth)).alias(f"c{k}"))])
+    rows = F.array(*[F.struct(F.lit(x).alias("threshold"), F.col("n").alias("row_count"), F.col(f"a{k}").alias("answered"), F.col(f"c{k}").alias("correct")) for k, x in enumerate(thresholds)])
+    out = wide.select(F.inline(rows))
+    part = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
+    return out.withColumns({"coverage": part("answered", "row_count"), "accuracy": part("correct", "answered")})
+
+
+def exact_match(df: DataFrame, truth: str, pred: str, mask: Column) -> DataFrame:
+    """Of the rows that a condition picks: how many, how many are equal, and the ratio."""
+    out = df.agg(F.count_if(mask).alias("masked"), F.count_if(mask & F.col(truth).eqNullSafe(F.col(pred))).alias("matched"))
+    return out.withColumn("ratio", F.col("matched") / F.when(F.col("masked") > 0, F.col("masked")))
+
+
+def recorded(df: DataFrame, predictions: DataFrame, keys: list[str], label: str = "predicted", missing: str = "error") -> DataFrame:
+    """Predictions that were made elsewhere, as a table: joined by key, the first by label of repeated keys, `missing` where there is none."""
+    once_each = predictions.groupBy(*keys).agg(F.min(label).alias(label))
+    return df.join(once_each, keys, "left").withColumn(label, F.coalesce(label, F.lit(missing)))
+
+
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """rows, answered, correct, accuracy, abstained."""
     out = df.agg(F.count("*").alias("row_count"), F.count(pred).alias("answered"), F.count_if(F.col(truth) == F.col(pred)).alias("correct"))
@@ -73,6 +109,17 @@ def hash_split(df: DataFrame, key: str, fraction: float, salt: str = "42") -> tu
     return df.where(point < fraction), df.where(point >= fraction)
 
 
+def nested_split(df: DataFrame, key: str, fraction: float = 0.6, sub: float = 0.75, cap: int | None = None, salt: str = "42") -> DataFrame:
+    """Adds part: train and test by digest; train falls into fit and tune by another; of fit, `cap` rows at most with
+    the smallest digests stay fit and the rest are spare. Rows of one key share their part."""
+    point = lambda s: F.conv(F.substring(hash_order(F.col(key).cast("string"), s), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    out = df.withColumn("part", F.when(point(salt) >= fraction, "test").when(point(salt + "sub") < sub, "fit").otherwise("tune"))
+    if cap is None:
+        return out
+    kept = out.where("part = 'fit'").select(key).distinct().orderBy(hash_order(F.col(key).cast("string"), salt), key).limit(cap).withColumn("_kept", F.lit(True))
+    return out.join(kept, key, "left").withColumn("part", F.when((F.col("part") == "fit") & F.col("_kept").isNull(), "spare").otherwise(F.col("part"))).drop("_kept")
+
+
 def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Applies a model to batches; a batch that fails is retried by row, and rows that fail get null labels."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -105,15 +152,19 @@ def ngram_model(df: DataFrame, text: str, label: str, kind: str = "word", size:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 
-    pattern = "\\s+" if kind == "word" else ""
     orders = (1, 2) if kind == "word" else (3, 4, 5)
-    grams = [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in orders]
+    if kind == "word":
+        tokens = [RegexTokenizer(inputCol=text, outputCol="toks", pattern="\\s+", minTokenLength=1)]
+        tokens += [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in orders]
+    else:  # n-grams of characters lie within a word with a space at either end; a shorter word is one n-gram
+        padded = f"transform(filter(split(lower({text}), '[ \\\\t\\\\n]+'), w -> w <> ''), w -> concat(' ', w, ' '))"
+        inside = ", ".join(f"flatten(transform(words, w -> transform(sequence(1, greatest(1, length(w) - {n} + 1)), i -> substr(w, i, {n})))) AS g{n}" for n in orders)
+        tokens = [SQLTransformer(statement=f"SELECT *, {padded} AS words FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {inside} FROM __THIS__")]
     total = df.count()
     classes = df.select(label).distinct().count()
     weights = df.groupBy(label).agg((F.lit(total) / (F.lit(classes) * F.count("*"))).alias("weight"))
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="toks", pattern=pattern, minTokenLength=1),
-        *grams,
+        *tokens,
         SQLTransformer(statement=f"SELECT *, concat({', '.join(f'g{n}' for n in orders)}) AS grams FROM __THIS__"),
         CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size),
         IDF(inputCol="tf", outputCol="features"),

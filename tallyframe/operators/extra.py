@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.once import once
 from tallyframe.operators.golden import tokens
 
 LABELS = ("business_type", "location", "disambiguation", "noise")
@@ -67,6 +68,7 @@ COMPOUND_BIZ = (
     "partners", "industries", "enterprises", "international",
     "rental", "dealership", "garage", "autohaus",
 )
+# Patterns of places in names (fixed values).
 PREPOSITION = "(?iu)\\b(in|de|del|da|at|near|von|im|en|af|v|w)\\s+[A-ZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝ]"
 SEPARATED = "[-/|–]\\s*[A-ZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝ][a-z]{2,}"
 
@@ -113,7 +115,7 @@ def compound_scan(golden_rows: DataFrame) -> DataFrame:
     short_alt = F.length("alt_name") <= F.length("base_name")
     long_name = F.when(short_alt, F.col("base_name")).otherwise(F.col("alt_name"))
     rows = golden_rows.where("conflict_type = 'subset'").select("id", F.when(short_alt, F.col("alt_name")).otherwise(F.col("base_name")).alias("short_name"), long_name.alias("long_name"), "extra_content")
-    rows = rows.withColumn("biz", biz_matches(F.col("extra_content"))).withColumn("location", location_reason(F.col("extra_content"), F.col("long_name")))
+    rows = once(rows, {"biz": biz_matches(F.col("extra_content")), "location": location_reason(F.col("extra_content"), F.col("long_name"))})
     kind = F.when((F.size("biz") > 0) & F.col("location").isNotNull(), "candidate").when(F.size("biz") > 0, "biz_only").otherwise("none")
     return rows.withColumn("kind", kind)
 
@@ -148,3 +150,32 @@ def sanitize(raw: Column, labels: tuple[str, ...] = LABELS, default: str = "disa
 
 def selection_action(label: Column) -> Column:
     return F.when(label == "business_type", "keep_longer").otherwise("keep_shorter")
+
+
+def relation(short_name: Column, long_name: Column, extra: Column) -> Column:
+    """How a longer name relates to a shorter one, by rule: the default of the pair classifier. compound (trade and
+    place), business (trade only), place, other; none where nothing is added."""
+    trade, place = F.size(biz_matches(extra)) > 0, location_reason(extra, long_name).isNotNull()
+    return F.when(F.coalesce(F.trim(extra), F.lit("")) == "", "none").when(trade & place, "compound").when(trade, "business").when(place, "place").otherwise("other")
+
+
+def construct(short_name: Column, long_name: Column, extra: Column) -> Column:
+    """A name built from the shorter one and what says its trade in the longer one, in the longer one's order and
+    spelling; null where there is no such word."""
+    trades = biz_matches(extra)
+    core = word_set(F.lower(short_name))
+    words = F.filter(tokens(long_name), lambda w: F.exists(word_set(F.lower(w)), lambda x: F.array_contains(core, x) | F.array_contains(trades, x)))
+    return F.when(F.size(trades) > 0, F.array_join(words, " "))
+
+
+def rule_predictor(batch):
+    """The default predictor of the model adapter, free of any model: id, extra_content -> id, predicted."""
+    import pandas as pd
+
+    noise, biz = set(NOISE), set(BIZ_FULL)
+
+    def label(text: str | None) -> str:
+        words = set((text or "").lower().split())
+        return "noise" if words & noise else "business_type" if words & biz else "disambiguation"
+
+    return pd.DataFrame({"id": batch["id"], "predicted": batch["extra_content"].map(label)})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as t
+from tallyframe.functions.once import once
 from tallyframe.operators.names import same, with_forms
 from tallyframe.operators.profile import share_of_all
 
@@ -70,13 +71,19 @@ def good_apostrophes(c: Column) -> Column:
 
 def branded(c: Column) -> Column:
     """A small letter before a capital inside a word that is not all capitals."""
-    return F.exists(tokens(c), lambda w: (latin_of(w) != "") & (latin_of(w) != F.upper(latin_of(w))) & w.rlike(f"{LOWER}{UPPER}"))
+    return F.exists(F.filter(tokens(c), lambda w: w.rlike(f"{LOWER}{UPPER}")), lambda w: (latin_of(w) != "") & (latin_of(w) != F.upper(latin_of(w))))
 
 
-def word_score(w: Column, i: Column) -> Column:
+def word_facts(w: Column) -> Column:
+    """What the score of a word looks at, computed once a word."""
     latin = latin_of(w)
-    lower, upper = latin == F.lower(latin), latin == F.upper(latin)
     bare = F.regexp_replace(F.lower(w), "['.,;:!?]+$", "")
+    return F.struct(w.alias("w"), latin.alias("latin"), F.lower(latin).alias("low"), F.upper(latin).alias("up"), bare.isin(*PARTICLES).alias("particle"), w.rlike(APOSTROPHE).alias("marked"))
+
+
+def word_score(f: Column, i: Column) -> Column:
+    w, latin = f["w"], f["latin"]
+    lower, upper = latin == f["low"], latin == f["up"]
 
     def before(mark: str) -> Column:
         return F.when(F.instr(w, mark) > 1, F.substring_index(w, mark, 1))
@@ -89,21 +96,23 @@ def word_score(w: Column, i: Column) -> Column:
         return F.when((F.length(before(mark)) > 2) & w.rlike(f"^[^{mark}]+{mark}{UPPER}"), -3).otherwise(0)
 
     particle = F.when(lower, 2).when(upper, -1).otherwise(1)
-    content = F.when(upper & (F.length(latin) > 4), -1).when(upper, 3).when(F.substring(latin, 1, 1).rlike(UPPER) & (F.substring(latin, 2, 1 << 20) == F.lower(F.substring(latin, 2, 1 << 20))), 2).otherwise(0)
-    own = F.when(bare.isin(*PARTICLES) & (i > 0), particle).otherwise(content)
+    content = F.when(upper & (F.length(latin) > 4), -1).when(upper, 3).when(latin.rlike(f"^{UPPER}") & (F.substring(latin, 2, 1 << 20) == F.substring(f["low"], 2, 1 << 20)), 2).otherwise(0)
+    own = F.when(f["particle"] & (i > 0), particle).otherwise(content)
     marks = ("'", "’")
-    return F.when(latin == "", 0).otherwise(own + elision(marks[0]) + elision(marks[1]) + shouted(marks[0]) + shouted(marks[1]))
+    extra = F.when(f["marked"], elision(marks[0]) + elision(marks[1]) + shouted(marks[0]) + shouted(marks[1])).otherwise(0)
+    return F.when(latin == "", 0).otherwise(own + extra)
 
 
 def casing_score(c: Column) -> Column:
     """Points for title case, small particles and short capitals; minus for shouting and misplaced capitals."""
-    words = F.aggregate(F.transform(tokens(c), word_score), F.lit(0), lambda s, x: s + x)
+    words = F.aggregate(F.transform(F.transform(tokens(c), word_facts), word_score), F.lit(0), lambda s, x: s + x)
     latin = latin_of(c)
     bonus = F.when(t.has_cjk(c) & (latin != "") & latin.rlike(f"^{UPPER}+$"), 5).otherwise(0)
     return F.coalesce(words + bonus, F.lit(0))
 
 
-def with_scores(df: DataFrame) -> DataFrame:
+def with_scores(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """Adds the scores of both names, each computed once; null for rows that do not meet `where`."""
     out = {}
     for s in ("alt", "base"):
         c = F.col(f"{s}_name")
@@ -122,7 +131,7 @@ def with_scores(df: DataFrame) -> DataFrame:
             f"{s}_title": c.rlike("(?<![A-Za-z])[A-Z][A-Za-z]{3,}"),
             f"{s}_casing": casing_score(c),
         }
-    return df.withColumns(out)
+    return once(df, {k: c if where is None else F.when(where, c) for k, c in out.items()})
 
 
 def chosen(side: str, reason: str) -> Column:
@@ -184,14 +193,16 @@ def conflict_type() -> Column:
 
 def golden(df: DataFrame, engine: str = "arrow") -> DataFrame:
     """Adds conflict_type, golden_name, golden_source, golden_reason and extra_content."""
-    out = with_scores(with_forms(df, engine)).withColumn("conflict_type", conflict_type())
-    out = out.withColumn("_written", select_normalized()).withColumn("_subset", select_subset())
+    out = once(with_forms(df, engine), {"conflict_type": conflict_type()})
     kind = F.col("conflict_type")
+    written = kind.isin("casing", "normalized")
+    out = with_scores(out, written)
+    out = once(out, {"_written": F.when(written, select_normalized()), "_subset": F.when(kind == "subset", select_subset())})
     whole = F.struct(F.col("alt_name").alias("name"), F.lit("both").alias("source"), F.lit("agreement").alias("reason"))
     open_pair = F.struct(F.lit("").alias("name"), F.lit("abstain").alias("source"), F.lit("genuinely_different").alias("reason"))
     pick = lambda f, tag: F.struct(F.col(f"{f}.name").alias("name"), F.col(f"{f}.source").alias("source"), F.concat(tag, F.lit(":"), F.col(f"{f}.reason")).alias("reason"))
     result = F.when(kind == "agreement", whole).when(kind.isin("casing", "normalized"), pick("_written", kind)).when(kind == "subset", pick("_subset", kind)).otherwise(open_pair)
-    out = out.withColumn("_golden", result)
+    out = once(out, {"_golden": result})
     return out.select(*df.columns, "conflict_type", F.col("_golden.name").alias("golden_name"), F.col("_golden.source").alias("golden_source"), F.col("_golden.reason").alias("golden_reason"), F.when(kind == "subset", F.col("_subset.extra")).otherwise("").alias("extra_content"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as t
+from tallyframe.functions.once import once
 from tallyframe.operators.profile import both_sides, share_of, share_of_all
 
 # Patterns of what longer names add (fixed values).
@@ -26,15 +27,19 @@ SIDES = ("alt", "base")
 
 
 def with_forms(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    """Adds {alt,base}_{nc,ns,conj,spell,sorted,hira}: the forms that the classes compare."""
-    out = df.withColumns({f"{s}_fold": t.fold(F.col(f"{s}_name"), engine) for s in SIDES})
-    out = out.withColumns({f"{s}_nc": t.l2(F.col(f"{s}_fold")) for s in SIDES})
+    """Adds {alt,base}_{nc,ns,conj,spell,sorted,hira} and typo: the forms that the classes compare, each computed once."""
+    name = lambda s, form: F.col(f"{s}_{form}")
+    both = lambda form: {f"{s}_{k}": c for s in SIDES for k, c in form(s).items()}
+    if engine == "arrow":
+        out = df.withColumns(both(lambda s: {"fold": t.fold(name(s, "name"), engine)}))
+        out = out.withColumns(both(lambda s: {"kana": t.fold(t.kata_to_hira(name(s, "fold")), engine)}))
+    else:  # Latin text has no kana
+        out = once(df, both(lambda s: {"fold": t.fold(name(s, "name"), engine)}))
     amp = lambda s: t.squeezed(t.letters(F.replace(F.lower(f"{s}_fold"), F.lit("&"), F.lit(" and "))))
-    forms = {}
-    for s in SIDES:
-        nc = F.col(f"{s}_nc")
-        forms |= {f"{s}_ns": t.nospace(nc), f"{s}_conj": t.conjoined(amp(s)), f"{s}_spell": t.americanised(nc), f"{s}_sorted": t.sorted_tokens(nc), f"{s}_hira": t.l2(t.fold(t.kata_to_hira(F.col(f"{s}_fold")), engine)) if engine == "arrow" else t.kata_to_hira(nc)}
-    return out.withColumns(forms).withColumn("typo", t.is_typo(F.col("alt_nc"), F.col("base_nc")))
+    hira = lambda s: t.l2(name(s, "kana")) if engine == "arrow" else t.kata_to_hira(t.l2(name(s, "fold")))
+    out = once(out, both(lambda s: {"nc": t.l2(name(s, "fold")), "conj": t.conjoined(amp(s)), "hira": hira(s)}))
+    forms = both(lambda s: {"ns": t.nospace(name(s, "nc")), "spell": t.americanised(name(s, "nc")), "sorted": t.sorted_tokens(name(s, "nc"))})
+    return once(out, forms | {"typo": t.is_typo(F.col("alt_nc"), F.col("base_nc"))}).drop(*[f"{s}_{k}" for s in SIDES for k in ("fold", "kana")])
 
 
 def same(form: str, spaced: bool = True) -> Column:
@@ -52,6 +57,7 @@ def tier1() -> Column:
 
 
 def equivalence_tags() -> Column:
+    """What makes two names equivalent; empty where no single thing does."""
     a, b = F.lower("alt_name"), F.lower("base_name")
     bare = lambda c: F.regexp_replace(c, "[^\\p{L}\\p{N}_\\s]", "")
     da, db = bare(a), bare(b)
@@ -66,26 +72,29 @@ def equivalence_tags() -> Column:
         "word_reorder": apart & (F.col("alt_sorted") == F.col("base_sorted")),
         "script_form": apart & (F.col("alt_hira") == F.col("base_hira")),
     }
-    found = F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
-    return F.when(F.size(found) > 0, found).when(F.col("typo"), F.array(F.lit("typo"))).otherwise(F.array(F.lit("minor_variant")))
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
 
 
 def subset_tags() -> Column:
+    """What the longer name adds; empty where it has no class of its own."""
     alt_long = F.length("alt_nc") >= F.length("base_nc")
     pick = lambda c: (F.when(alt_long, F.col(f"alt_{c}")).otherwise(F.col(f"base_{c}")), F.when(alt_long, F.col(f"base_{c}")).otherwise(F.col(f"alt_{c}")))
     (long, short), (long_nc, short_nc) = pick("name"), pick("nc")
     more = t.excess(long_nc, short_nc)
     only = lambda p: long.rlike(p) & ~short.rlike(p)
     tags = {"parenthetical": only(BRACKETS), "biz_suffix": only(BIZ_SUFFIX), "seo_junk": only(SEO), "branch_suffix": more.rlike(BRANCH), "facility_suffix": more.rlike(FACILITY)}
-    found = F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("descriptor")))
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
 
 
 def classified(df: DataFrame, engine: str = "arrow") -> DataFrame:
     """Adds tier1 and tier2 (an array of tags, empty where the class has none); agreement rows are left out."""
-    out = with_forms(df.where(F.col("alt_name").isNull() | F.col("base_name").isNull() | (F.col("alt_name") != F.col("base_name"))), engine).withColumn("tier1", tier1())
-    none = F.array().cast("array<string>")
-    return out.withColumn("tier2", F.when(F.col("tier1") == "normalization_equivalent", equivalence_tags()).when(F.col("tier1") == "subset", subset_tags()).otherwise(none))
+    apart = df.where(F.col("alt_name").isNull() | F.col("base_name").isNull() | (F.col("alt_name") != F.col("base_name")))
+    out = once(with_forms(apart, engine), {"tier1": tier1()})
+    tier, none = F.col("tier1"), F.array().cast("array<string>")
+    tags = F.when(tier == "normalization_equivalent", equivalence_tags()).when(tier == "subset", subset_tags()).otherwise(none)
+    rest = F.when(tier == "subset", "descriptor").when(F.col("typo"), "typo").otherwise("minor_variant")
+    out = once(out, {"tier2": tags})
+    return out.withColumn("tier2", F.when((F.size("tier2") > 0) | ~tier.isin("normalization_equivalent", "subset"), F.col("tier2")).otherwise(F.array(rest)))
 
 
 def agreement(alt_json: Column, base_json: Column, a: Column, b: Column) -> Column:
@@ -153,30 +162,40 @@ def tag_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
 STAGES = ("S0_raw", "S1_casing", "S2_unicode", "S3_punctuation", "S4_spacing", "S5_conjunction", "S6_spelling", "S7_script", "S8_reorder")
 
 
-def stage_forms(c: Column, profile: str = "full", engine: str = "arrow") -> list[Column]:
-    """The forms S0 to S8 of a column. 'scale' strips '&' before it could become a word, folds y and e at
-    the ends too, joins words before spelling is looked up, and turns kana last."""
-    s0 = F.coalesce(c, F.lit(""))
-    s1 = F.lower(s0)
-    s2 = t.fold(s1, engine)
-    s3 = t.squeezed(t.letters(s2))
-    s4 = t.nospace(s3)
+def with_stages(df: DataFrame, profile: str = "full", engine: str = "arrow") -> DataFrame:
+    """Adds {alt,base}_s0 to _s8: the forms S0 to S8 of both names. 'scale' strips '&' before it could become a word,
+    folds y and e at the ends too, joins words before spelling is looked up, and turns kana last."""
+    stage = lambda s, k: F.col(f"{s}_s{k}")
+    add = lambda make: {f"{s}_{k}": c for s in SIDES for k, c in make(s).items()}
+    low = lambda s: {"s0": F.coalesce(f"{s}_name", F.lit("")), "s1": F.lower(F.coalesce(f"{s}_name", F.lit("")))}
+    folds = {"s2": lambda s: t.fold(stage(s, 1), engine)}
+    if profile == "full" and engine == "arrow":
+        folds["kana"] = lambda s: t.fold(F.lower(t.kata_to_hira(stage(s, 0))), engine)
+    out = once(df, add(low))
+    folded = {f"{s}_{k}": make(s) for s in SIDES for k, make in folds.items()}
+    out = out.withColumns(folded) if engine == "arrow" else once(out, folded)
+    plain = lambda c: t.squeezed(t.letters(c))
     if profile == "full":
-        spaced = lambda x: t.conjoined(t.squeezed(t.letters(F.replace(x, F.lit("&"), F.lit(" and ")))))
-        s5, s6 = t.nospace(spaced(s2)), t.nospace(t.americanised(spaced(s2), engine))
-        s7 = t.nospace(t.americanised(spaced(t.fold(F.lower(t.kata_to_hira(s0)), engine)), engine))
+        spaced = lambda c: t.conjoined(plain(F.replace(c, F.lit("&"), F.lit(" and "))))
+        kana = (lambda s: {"k": spaced(F.col(f"{s}_kana"))}) if engine == "arrow" else (lambda s: {})
+        out = once(out, add(lambda s: {"s3": plain(stage(s, 2)), "c": spaced(stage(s, 2)), **kana(s)}))
+        joined = lambda s: {"s4": t.nospace(stage(s, 3)), "s5": t.nospace(F.col(f"{s}_c")), "s6": t.nospace(t.americanised(F.col(f"{s}_c")))}
+        out = once(out, add(joined))
+        # Latin text has no kana, so S7 is S6 there
+        out = once(out, add(lambda s: {"s7": t.nospace(t.americanised(F.col(f"{s}_k"))) if engine == "arrow" else stage(s, 6)}))
     else:
-        s5 = t.nospace(F.regexp_replace(s3, f"(?<![^ ])({'|'.join(t.CONJUNCTIONS + t.INNER_CONJUNCTIONS)})(?![^ ])", "and"))
+        one = lambda c: F.regexp_replace(c, f"(?<![^ ])({'|'.join(t.CONJUNCTIONS + t.INNER_CONJUNCTIONS)})(?![^ ])", "and")
         table = F.create_map(*[F.lit(x) for pair in t.SPELLING.items() for x in pair])
-        s6 = F.coalesce(F.try_element_at(table, s5), s5)
-        s7 = t.kata_to_hira(s6)
-    return [s0, s1, s2, s3, s4, s5, s6, s7, t.sorted_chars(s7)]
+        out = once(out, add(lambda s: {"s3": plain(stage(s, 2))}))
+        out = once(out, add(lambda s: {"s4": t.nospace(stage(s, 3)), "s5": t.nospace(one(stage(s, 3)))}))
+        out = once(out, add(lambda s: {"s6": F.coalesce(F.try_element_at(table, stage(s, 5)), stage(s, 5))}))
+        out = once(out, add(lambda s: {"s7": t.kata_to_hira(stage(s, 6))}))
+    return once(out, add(lambda s: {"s8": t.sorted_chars(stage(s, 7))})).select(*df.columns, *[f"{s}_s{k}" for s in SIDES for k in range(len(STAGES))])
 
 
-def first_equal(profile: str = "full", engine: str = "arrow") -> Column:
-    """Index of the first stage with equal forms; null if none."""
-    forms = zip(stage_forms(F.col("alt_name"), profile, engine), stage_forms(F.col("base_name"), profile, engine), strict=True)
-    return F.coalesce(*[F.when(a == b, k) for k, (a, b) in enumerate(forms)])
+def first_equal() -> Column:
+    """Index of the first stage with equal forms; null if none. Needs with_stages()."""
+    return F.coalesce(*[F.when(F.col(f"alt_s{k}") == F.col(f"base_s{k}"), k) for k in range(len(STAGES))])
 
 
 def staircase(df: DataFrame, profile: str = "full", engine: str = "arrow") -> DataFrame:
@@ -185,15 +204,14 @@ def staircase(df: DataFrame, profile: str = "full", engine: str = "arrow") -> Da
     full: every stage counts on its own, and S9 takes typos off what S8 leaves. scale: a row that a
     stage resolves stays resolved.
     """
-    a, b = stage_forms(F.col("alt_name"), profile, engine), stage_forms(F.col("base_name"), profile, engine)
-    both = df.select(*[x.alias(f"a{k}") for k, x in enumerate(a)], *[x.alias(f"b{k}") for k, x in enumerate(b)])
-    apart = [F.col(f"a{k}") != F.col(f"b{k}") for k in range(len(STAGES))]
+    both = with_stages(df, profile, engine)
+    apart = [F.col(f"alt_s{k}") != F.col(f"base_s{k}") for k in range(len(STAGES))]
     if profile == "scale":
         apart = [reduce(lambda x, y: x & y, apart[: k + 1]) for k in range(len(STAGES))]
     names, tests = list(STAGES), list(apart)
     if profile == "full":
         names.append("S9_typo")
-        tests.append(apart[-1] & ~t.is_typo(F.col("a7"), F.col("b7")))
+        tests.append(apart[-1] & ~t.is_typo(F.col("alt_s7"), F.col("base_s7")))
     wide = both.agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"c{k}") for k, x in enumerate(tests)])
     rows = wide.select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("o"), F.lit(s).alias("stage"), F.col(f"c{k}").alias("conflicts")) for k, s in enumerate(names)])))
     prev = F.lag("conflicts").over(Window.orderBy("o"))  # a row per stage
@@ -203,10 +221,45 @@ def staircase(df: DataFrame, profile: str = "full", engine: str = "arrow") -> Da
 
 def scale_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
     """Outcome of all pairs in the scale profile: what resolves, and of the rest subset, typo or different."""
-    a, b = stage_forms(F.col("alt_name"), "scale", engine), stage_forms(F.col("base_name"), "scale", engine)
-    rows = df.select(*[(x == y).alias(f"e{k}") for k, (x, y) in enumerate(zip(a, b, strict=True))], a[3].alias("a3"), b[3].alias("b3"), F.col("alt_name"), F.col("base_name"))
-    equal = reduce(lambda x, y: x | y, [F.col(f"e{k}") for k in range(1, len(STAGES))])
-    inside = F.contains(F.col("a3"), F.col("b3")) | F.contains(F.col("b3"), F.col("a3"))  # empty is inside anything here
-    outcome = F.when(F.col("e0"), "agreement").when(equal, "resolved").when(inside, "subset").when(t.is_typo(F.col("a3"), F.col("b3")), "typo").otherwise("different")
+    rows = with_stages(df, "scale", engine)
+    first, a3, b3 = first_equal(), F.col("alt_s3"), F.col("base_s3")
+    inside = F.contains(a3, b3) | F.contains(b3, a3)  # empty is inside anything here
+    outcome = F.when(first == 0, "agreement").when(first.isNotNull(), "resolved").when(inside, "subset").when(t.is_typo(a3, b3), "typo").otherwise("different")
     counts = rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("row_count"))
     return share_of_all(counts)
+
+
+def inflation(outcomes: DataFrame) -> DataFrame:
+    """raw_conflicts, different and how many times more there are of the first: from counts of scale_summary()."""
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("outcome").isin(*kinds), F.col("row_count"))), F.lit(0))
+    raw = F.coalesce(F.sum(F.when(F.col("outcome") != "agreement", F.col("row_count"))), F.lit(0))
+    counts = outcomes.agg(raw.alias("raw_conflicts"), of("different").alias("different"))
+    return counts.withColumn("inflation", F.round(F.col("raw_conflicts") / F.greatest(F.col("different"), F.lit(1)), 1))
+
+
+#: Order in which classes are listed (fixed values).
+TIER_ORDER = ("genuinely_different", "subset", "normalization_equivalent", "casing_only")
+
+
+def conflict_export(df: DataFrame, engine: str = "arrow") -> DataFrame:
+    """Disagreements with their labels for review: by class, the greatest difference of length first, then by id."""
+    rows = classified(df, engine).select("id", "alt_name", "base_name", "tier1", F.array_join("tier2", "|").alias("tags"), F.abs(F.length("alt_name") - F.length("base_name")).cast("long").alias("length_gap"))
+    rank = F.coalesce(*[F.when(F.col("tier1") == name, k) for k, name in enumerate(TIER_ORDER)])
+    return rows.orderBy(rank, F.desc_nulls_last("length_gap"), "id")
+
+
+def agreement_export(df: DataFrame) -> DataFrame:
+    """Agreements with a label of how they are written, by id."""
+    low = F.col("alt_name") == F.lower("alt_name")
+    label = F.when(F.col("alt_name") == "", "empty").when(low & (F.col("alt_name") == F.upper("alt_name")), "no_case").when(low, "lower").when(F.col("alt_name") == F.upper("alt_name"), "caps").otherwise("mixed")
+    return df.where("alt_name = base_name").select("id", F.col("alt_name").alias("name"), label.alias("label")).orderBy("id")
+
+
+def unicode_summary(df: DataFrame) -> DataFrame:
+    """Per mark: rows whose alt, base or either name has it, and the ratio of all rows."""
+    kinds = ("dakuten", "handakuten", "thai_tone", "small_kana", "korean", "any_mark")
+    flags = once(df, {s: t.mark_flags(F.col(f"{s}_name")) for s in SIDES})
+    tests = {"alt": lambda k: F.col(f"alt.{k}"), "base": lambda k: F.col(f"base.{k}"), "either": lambda k: F.col(f"alt.{k}") | F.col(f"base.{k}")}
+    wide = flags.agg(F.count("*").alias("n"), *[F.count_if(test(k)).alias(f"{k}__{side}") for k in kinds for side, test in tests.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("mark"), *[F.col(f"{k}__{side}").alias(f"{side}_rows") for side in tests], F.col("n").alias("total_rows")) for k in kinds])
+    return wide.select(F.inline(rows)).withColumn("ratio", F.col("either_rows") / F.when(F.col("total_rows") > 0, F.col("total_rows")))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import nulls
-from tallyframe.operators.profile import both_sides, share_of, share_of_all
+from tallyframe.functions.once import once
+from tallyframe.operators.profile import both_sides, medians, share_of, share_of_all
 
 Rule = Callable[[Column, Column], Column]
 
@@ -53,8 +54,8 @@ CONFIDENCE_RULES: dict[str, Rule] = {k: r for k, r in RULES.items() if k != "S3_
 
 def with_digits(df: DataFrame, a: str = "phones", b: str = "base_phones") -> DataFrame:
     """Adds alt_raw, base_raw (encoded nulls unified), their digits and both_usable."""
-    out = df.withColumn("alt_raw", nulls.null_if_encoded(F.col(a))).withColumn("base_raw", nulls.null_if_encoded(F.col(b)))
-    out = out.withColumn("alt_digits", nulls.digits_only(F.col("alt_raw"))).withColumn("base_digits", nulls.digits_only(F.col("base_raw")))
+    out = once(df, {"alt_raw": nulls.null_if_encoded(F.col(a)), "base_raw": nulls.null_if_encoded(F.col(b))})
+    out = once(out, {"alt_digits": nulls.digits_only(F.col("alt_raw")), "base_digits": nulls.digits_only(F.col("base_raw"))})
     has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     return out.withColumn("alt_usable", has("alt_digits")).withColumn("base_usable", has("base_digits")).withColumn("both_usable", F.col("alt_usable") & F.col("base_usable"))
 
@@ -70,7 +71,7 @@ def first_stage(rules: dict[str, Rule] = RULES) -> Column:
 
 def staged_report(df: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """stage, both_usable_count, conflict_count, conflict_rate, improvement: one aggregation, a row per stage."""
-    staged = with_digits(df).withColumn("at", first_stage(rules))
+    staged = once(with_digits(df), {"at": first_stage(rules)})
     open_after = [F.count_if(F.col("both_usable") & (F.col("at").isNull() | (F.col("at") > k))).alias(f"c{k}") for k in range(2, len(rules) + 2)]
     wide = staged.agg(F.count_if("both_usable").alias("n"), F.count_if(F.col("both_usable") & (F.col("alt_raw") != F.col("base_raw"))).alias("c1"), *open_after)
     names = ["S0_null_normalization", "S1_raw_string", *rules]
@@ -83,7 +84,7 @@ def staged_report(df: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
 
 def residual(df: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """Pairs that no stage resolves, and pairs with one usable side."""
-    staged = with_digits(df).withColumn("at", first_stage(rules))
+    staged = once(with_digits(df), {"at": first_stage(rules)})
     kind = F.when(F.col("both_usable"), "both_present").when(F.col("alt_usable"), "alt_only").when(F.col("base_usable"), "base_only")
     return staged.where(F.col("at").isNull() & (F.col("alt_usable") | F.col("base_usable"))).select("id", kind.alias("residual_type"), "alt_raw", "base_raw", "alt_digits", "base_digits")
 
@@ -93,7 +94,7 @@ def classify(df: DataFrame, rules: dict[str, Rule] = CONFIDENCE_RULES) -> DataFr
     a, b = F.col("alt_digits"), F.col("base_digits")
     equal = reduce(lambda x, y: x | y, [r(a, b) for r in rules.values()])
     kind = F.when(~F.col("alt_usable") & ~F.col("base_usable"), "both_missing").when(~F.col("base_usable"), "alt_only").when(~F.col("alt_usable"), "base_only").when(equal, "resolved").otherwise("true_conflict")
-    return with_digits(df).withColumn("conflict_class", kind)
+    return once(with_digits(df), {"conflict_class": kind})
 
 
 def features(df: DataFrame, a: str = "phones", b: str = "base_phones") -> DataFrame:
@@ -122,16 +123,17 @@ def higher_side(a: Column, b: Column) -> Column:
 def confidence_summary(df: DataFrame) -> DataFrame:
     """Per class: counts, means, median gap, and which side is more confident."""
     a, b = F.col("confidence"), F.col("base_confidence")
-    return classify(df).groupBy("conflict_class").agg(
+    rows = classify(df)
+    out = rows.groupBy("conflict_class").agg(
         F.count("*").alias("row_count"),
         F.avg(a).alias("avg_alt"),
         F.avg(b).alias("avg_base"),
         F.avg(a - b).alias("avg_diff"),
-        F.median(F.abs(a - b)).alias("median_gap"),
         F.count_if(a > b).alias("alt_higher"),
         F.count_if(b > a).alias("base_higher"),
         F.count_if(a == b).alias("tied"),
     )
+    return out.join(F.broadcast(medians(rows, ["conflict_class"], F.abs(a - b), "median_gap")), "conflict_class")  # five classes
 
 
 def confidence_detail(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.profile import both_sides, share_of_all
+
 ENTRY = "array<struct<dataset:string,property:string>>"
 EXISTENCE = "/properties/existence"
 
@@ -27,11 +29,19 @@ def property_values(df: DataFrame, alt: str = "sources", base: str = "base_sourc
     return by_side(exploded(df, alt), exploded(df, base)).groupBy("side", "property").agg(F.count("*").alias("entry_count"))
 
 
+def entries(column: str) -> Column:
+    """The entries of a row that have a dataset."""
+    return F.filter(F.from_json(F.coalesce(F.col(column), F.lit("[]")), ENTRY), lambda x: x["dataset"].isNotNull())
+
+
+def counts_for(x: Column) -> Column:
+    return x["property"].isNull() | (x["property"] != EXISTENCE)
+
+
 def contributors(df: DataFrame, alt: str = "sources", base: str = "base_sources") -> DataFrame:
-    """Histogram per side: how many rows have so many contributing entries."""
-    own = F.count_if(F.col("property").isNull() | (F.col("property") != EXISTENCE))
-    per_row = by_side(exploded(df, alt), exploded(df, base)).groupBy("side", "id").agg(own.alias("attr_contributors"))
-    return per_row.groupBy("side", "attr_contributors").agg(F.count("*").alias("row_count"))
+    """Histogram per side: how many rows with entries have so many contributing ones; counted within the row."""
+    sides = both_sides(df.select(entries(alt).alias("a"), entries(base).alias("b")), "a", "b").where(F.size("value") > 0)
+    return sides.groupBy("side", F.size(F.filter("value", counts_for)).cast("long").alias("attr_contributors")).agg(F.count("*").alias("row_count"))
 
 
 def provider_counts(df: DataFrame, alt: str = "sources", base: str = "base_sources") -> DataFrame:
@@ -41,16 +51,13 @@ def provider_counts(df: DataFrame, alt: str = "sources", base: str = "base_sourc
     return counts.crossJoin(F.broadcast(total)).select("side", "dataset", "row_count", (F.col("row_count") / F.col("n")).alias("ratio"))  # one row
 
 
-def primary(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The provider of each row: its first contributing entry by (property, nulls last; dataset)."""
-    order = Window.partitionBy("id").orderBy(F.asc_nulls_last("property"), "dataset")
-    return contributing(exploded(df, column)).withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", F.col("dataset").alias(name))
+def primary(column: str) -> Column:
+    """The provider of a row: its first contributing entry by (property, nulls last; dataset), found within the row."""
+    keys = F.transform(F.filter(entries(column), counts_for), lambda x: F.struct(x["property"].isNull().alias("last"), x["property"].alias("property"), x["dataset"].alias("dataset")))
+    return F.array_min(keys)["dataset"]
 
 
 def pairings(df: DataFrame, alt: str = "sources", base: str = "base_sources") -> DataFrame:
-    """Cross-tabulation of base and alt providers, 'none' where there is none."""
-    joined = df.select("id").join(primary(df, base, "b"), "id", "left").join(primary(df, alt, "a"), "id", "left")
-    counts = joined.groupBy(F.coalesce("b", F.lit("none")).alias("base_provider"), F.coalesce("a", F.lit("none")).alias("alt_provider")).agg(F.count("*").alias("row_count"))
-    from tallyframe.operators.profile import share_of_all
-
-    return share_of_all(counts)
+    """Cross-tabulation of base and alt providers, 'none' where there is none: one scan and one aggregation."""
+    own = lambda c, name: F.coalesce(primary(c), F.lit("none")).alias(name)
+    return share_of_all(df.groupBy(own(base, "base_provider"), own(alt, "alt_provider")).agg(F.count("*").alias("row_count")))

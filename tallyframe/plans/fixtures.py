@@ -1,4 +1,4 @@
-"""Pair tables made from the base tables by SQL that reads the same in Spark and in the oracle's engine."""
+"""Pair tables made from whole base tables by SQL that reads the same in Spark and in the oracle's engine."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 NAME_PAIRS = """
 WITH d AS (
   SELECT doc_id, CAST(doc_id % 10 AS INT) AS kind, source,
-         trim(substr(split_part(text, chr(10), 1), 1, 36)) AS n
-  FROM documents WHERE length(split_part(text, chr(10), 1)) >= 12
+         trim(split_part(coalesce(text, ''), chr(10), 1)) AS n
+  FROM documents
 )
 SELECT concat('p', lpad(CAST(doc_id AS STRING), 8, '0')) AS id,
   n AS alt_name,
@@ -58,16 +58,10 @@ def from_table(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFr
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, alt_name, base_name"""
+    """id, alt_name, base_name: the whole first lines of all documents, and what a second source makes of them."""
     return from_table(spark, sf_dir, NAME_PAIRS, "documents")
 
 
-def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, alt_name, base_name of all documents with their whole first lines, for queries that have no SQL."""
-    sql = NAME_PAIRS.replace("trim(substr(split_part(text, chr(10), 1), 1, 36))", "trim(split_part(coalesce(text, ''), chr(10), 1))").replace(" WHERE length(split_part(text, chr(10), 1)) >= 12", "")
-    return from_table(spark, sf_dir, sql, "documents")
-
-
 def phone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, phones, base_phones, confidence, base_confidence, sources"""
     return from_table(spark, sf_dir, PHONE_PAIRS, "customer")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from tallyframe.functions import json as js
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
 from tallyframe.operators import extra, golden, names, pairing, phones, profile, providers
-from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, name_pairs, phone_pairs, whole_pairs
+from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
 
@@ -259,16 +260,31 @@ register("scale_summary", lambda s, d: names.scale_summary(name_pairs(s, d), ENG
 
 def flat_records(s: SparkSession, d: str) -> DataFrame:
     turns = s.read.parquet(f"{d}/conversations.parquet")
-    return turns.select(F.col("conv_id").alias("id"), F.substring("text", 1, 36).alias("name"), F.col("turn").alias("position"), F.col("role").alias("provider"))
+    return turns.select(F.col("conv_id").alias("id"), F.col("text").alias("name"), F.col("turn").alias("position"), F.col("role").alias("provider"))
 
 
-register("pair_up", lambda s, d: pairing.pair_up(flat_records(s, d)), "WITH r AS (SELECT conv_id AS id, substr(text, 1, 36) AS name, turn, role FROM conversations WHERE trim(coalesce(substr(text, 1, 36), '')) <> '') SELECT a.id, a.name AS alt_name, a.role AS alt_provider, b.name AS base_name, b.role AS base_provider FROM r a JOIN r b ON a.id = b.id AND a.turn < b.turn")
+register("pair_up", lambda s, d: pairing.pair_up(flat_records(s, d)), "WITH r AS (SELECT conv_id AS id, text AS name, turn, role FROM conversations WHERE trim(coalesce(text, '')) <> '') SELECT a.id, a.name AS alt_name, a.role AS alt_provider, b.name AS base_name, b.role AS base_provider FROM r a JOIN r b ON a.id = b.id AND a.turn < b.turn")
 register("hash_sample_names", lambda s, d: ev.stratified(name_pairs(s, d), t.squeezed(F.lower("alt_name")) != t.squeezed(F.lower("base_name")), (160, 40), "names"), f"{N}, x AS (SELECT *, trim(regexp_replace(lower(alt_name), '\\s+', ' ', 'g')) <> trim(regexp_replace(lower(base_name), '\\s+', ' ', 'g')) AS c FROM np) SELECT * FROM (SELECT id, alt_name, base_name, 'conflict' AS sample_type FROM x WHERE c ORDER BY md5(concat(id, 'names')), id LIMIT 160) UNION ALL SELECT * FROM (SELECT id, alt_name, base_name, 'match' FROM x WHERE NOT c ORDER BY md5(concat(id, 'names')), id LIMIT 40)")
 
 # --- JSON -----------------------------------------------------------------------------------------
 register("json_primary", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid")), "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events")
 
 
+JSON_ROWS = """SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 11 = 0 THEN concat('{"primary":', c_custkey, ',"common":null}') ELSE concat('{"primary":"', c_name, '","x":1}') END AS names,
+  CASE WHEN c_custkey % 7 = 1 THEN NULL WHEN c_custkey % 5 = 1 THEN concat('[', c_name) WHEN c_custkey % 11 = 1 THEN '[]' ELSE concat('[{"freeform":"', c_name, '","locality":"', lower(c_mktsegment), '"', CASE WHEN c_custkey % 2 = 0 THEN ',"region":"R"' ELSE '' END, '}]') END AS addresses
+FROM customer"""
+
+
+def json_fields(s: SparkSession, d: str) -> DataFrame:
+    rows = from_table(s, d, JSON_ROWS, "customer")
+    place = lambda k: js.field(F.col("addresses"), js.PATHS[k], "null").alias(k)
+    return rows.select("id", js.field(F.col("names"), js.PATHS["primary"]).alias("primary_name"), place("freeform"), place("locality"), place("region"))
+
+
+register("json_fields", json_fields, f"WITH j AS ({JSON_ROWS}) SELECT id, CASE WHEN json_valid(names) THEN json_extract_string(names, '$.primary') ELSE names END AS primary_name, " + ", ".join(f"CASE WHEN json_valid(addresses) THEN json_extract_string(addresses, '{js.PATHS[k]}') END AS {k}" for k in ("freeform", "locality", "region")) + " FROM j")
+
+
 def json_pairs(s: SparkSession, d: str) -> DataFrame:
     """Names as JSON: the primary of one side, and an added field on every third row."""
     p = name_pairs(s, d)
@@ -307,26 +323,42 @@ y AS (SELECT *, CASE WHEN ex <> '' THEN ex ELSE replace(ln, ' ', '') END AS extr
 z AS (SELECT *, CASE WHEN length(bare) <= 6 OR len({_words("bare")}) <= 1 THEN 'short_name_too_generic' WHEN list_has_any({_words("extra")}, {_biz}) THEN 'has_business_type' ELSE 'prefer_core_name' END AS reason FROM y)"""
 register("conflict_type_summary", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).groupBy("conflict_type").agg(F.count("*").alias("row_count")), f"{FORMS}, ct AS (SELECT {CT} AS conflict_type FROM f) SELECT conflict_type, count(*) AS row_count FROM ct GROUP BY 1")
 register("golden_subset_rules", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", "golden_name", "golden_source", "golden_reason", "extra_content"), f"{SUB} SELECT id, CASE WHEN reason = 'prefer_core_name' THEN sh ELSE lo END AS golden_name, CASE WHEN (reason = 'prefer_core_name') = alt_short THEN 'alt' ELSE 'base' END AS golden_source, 'subset:' || reason AS golden_reason, extra AS extra_content FROM z")
-register("golden_summary", lambda s, d: golden.golden_summary(whole_pairs(s, d), ENGINE))
+register("golden_summary", lambda s, d: golden.golden_summary(name_pairs(s, d), ENGINE))
 _set = lambda c: f"regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+')"
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + "]"
 _title = "upper(substr(w, 1, 1)) || substr(w, 2)"
 _own = f"list_filter({_set('extra')}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$'))"
 register(
     "extra_rule_classify",
-    lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", extra.rule_label(F.col("extra_content"), F.greatest("alt_name", "base_name")).alias("label")),
-    f"{SUB} SELECT id, CASE WHEN list_has_any({_set('extra')}, {_list(extra.NOISE)}) OR regexp_matches(extra, '#[0-9]{{3,}}') THEN 'noise' WHEN list_has_any({_set('extra')}, {_list(extra.BIZ_FULL)}) THEN 'business_type' WHEN len({_own}) BETWEEN 1 AND 4 AND len(list_filter({_own}, lambda w: list_contains({_set('greatest(alt_name, base_name)')}, {_title}))) / len({_own})::DOUBLE >= 0.6 THEN 'location' ELSE 'disambiguation' END AS label FROM z",
+    lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", extra.rule_label(F.col("extra_content"), F.when(F.length("alt_name") <= F.length("base_name"), F.col("base_name")).otherwise(F.col("alt_name"))).alias("label")),
+    f"{SUB} SELECT id, CASE WHEN list_has_any({_set('extra')}, {_list(extra.NOISE)}) OR regexp_matches(extra, '#[0-9]{{3,}}') THEN 'noise' WHEN list_has_any({_set('extra')}, {_list(extra.BIZ_FULL)}) THEN 'business_type' WHEN len({_own}) BETWEEN 1 AND 4 AND len(list_filter({_own}, lambda w: list_contains({_set('CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END')}, {_title}))) / len({_own})::DOUBLE >= 0.6 THEN 'location' ELSE 'disambiguation' END AS label FROM z",
 )
 _prep = extra.PREPOSITION.replace("(?iu)", "(?i)")
 _nouns = f"list_filter(list_filter({_set('extra')}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$')), lambda w: NOT list_contains({_list(extra.COMPOUND_BIZ)}, w) AND list_contains({_set('ll')}, {_title}))"
+_scan = f"{SUB}, m AS (SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z), o AS (SELECT id, len(list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})) AS n_biz, CASE WHEN regexp_matches(extra, '{_prep}') THEN 'spatial_prep' WHEN regexp_matches(extra, '{extra.SEPARATED}') THEN 'sep_cap' WHEN len({_nouns}) > 0 THEN 'proper_noun:' || list_extract({_nouns}, 1) END AS location FROM m)"
 register(
     "compound_scan",
     lambda s, d: extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", "kind", "location", F.size("biz").cast("long").alias("n_biz")),
-    f"{SUB}, m AS (SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z), o AS (SELECT id, len(list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})) AS n_biz, CASE WHEN regexp_matches(extra, '{_prep}') THEN 'spatial_prep' WHEN regexp_matches(extra, '{extra.SEPARATED}') THEN 'sep_cap' WHEN len({_nouns}) > 0 THEN 'proper_noun:' || list_extract({_nouns}, 1) END AS location FROM m) SELECT id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN 'candidate' WHEN n_biz > 0 THEN 'biz_only' ELSE 'none' END AS kind, location, CAST(n_biz AS BIGINT) AS n_biz FROM o",
+    _scan + " SELECT id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN 'candidate' WHEN n_biz > 0 THEN 'biz_only' ELSE 'none' END AS kind, location, CAST(n_biz AS BIGINT) AS n_biz FROM o",
 )
 register("faithfulness", lambda s, d: name_pairs(s, d).select("id", extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("latin")).alias("faithful"), extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("cjk")).alias("by_character")), f"{N} SELECT id, len(list_filter({_words('''regexp_replace(lower(base_name), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(alt_name), w))) = 0 AS faithful, len(list_filter(string_split(base_name, ''), lambda c: trim(c) <> '' AND NOT contains(alt_name, c))) = 0 AS by_character FROM np")
-register("relation_router", lambda s, d: extra.compound_scan(golden.golden(whole_pairs(s, d), ENGINE)).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")))
-register("unicode_audit", lambda s, d: whole_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"))
+register("relation_router", lambda s, d: extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")), f"{_scan}, fa AS (SELECT id, len(list_filter({_words('''regexp_replace(lower(CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END), w))) = 0 AS faithful FROM z) SELECT o.id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN CASE WHEN faithful THEN 'construct' ELSE 'abstain_unfaithful' END ELSE 'keep_shorter' END AS action FROM o JOIN fa ON o.id = fa.id")
+_marks = {k: p for k, p in t.MARK_CLASSES.items()} | {"any_mark": "|".join(t.MARK_CLASSES.values())}
+register("unicode_audit", lambda s, d: name_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"), f"{N} SELECT id, " + ", ".join(f"regexp_matches(alt_name, '{p}') AS {k}" for k, p in _marks.items()) + " FROM np")
+
+
+def marked_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Names with marks of several scripts: the fixture's names with a word by the last digit of the id."""
+    return from_table(s, d, MARKED, "documents")
+
+
+MARKED = NAME_PAIRS.rstrip().removesuffix("FROM d") + ", CASE kind WHEN 0 THEN 'ガーデン' WHEN 1 THEN 'パン' WHEN 2 THEN 'ห้อง' WHEN 3 THEN 'ゃ' WHEN 4 THEN '한국' WHEN 5 THEN '日本' ELSE '' END AS extra FROM d"
+MARKED = f"SELECT id, concat(alt_name, ' ', extra) AS alt_name, CASE WHEN extra IN ('ガーデン', '한국') THEN base_name ELSE concat(base_name, extra) END AS base_name FROM ({MARKED}) q"
+register("unicode_summary", lambda s, d: names.unicode_summary(marked_pairs(s, d)), f"WITH np AS ({MARKED}), w AS (" + " UNION ALL ".join(f"SELECT '{k}' AS mark, count(*) FILTER (WHERE regexp_matches(alt_name, '{p}')) AS alt_rows, count(*) FILTER (WHERE regexp_matches(base_name, '{p}')) AS base_rows, count(*) FILTER (WHERE regexp_matches(alt_name, '{p}') OR regexp_matches(base_name, '{p}')) AS either_rows, count(*) AS total_rows FROM np" for k, p in _marks.items()) + ") SELECT *, either_rows / nullif(total_rows, 0)::DOUBLE AS ratio FROM w")
+register("conflict_export", lambda s, d: names.conflict_export(name_pairs(s, d), ENGINE).select("id", "alt_name", "base_name", "tier1", "length_gap"), f"{T} SELECT id, alt_name, base_name, tier1, CAST(abs(length(alt_name) - length(base_name)) AS BIGINT) AS length_gap FROM t1")
+register("agreement_export", lambda s, d: names.agreement_export(name_pairs(s, d)), f"{N} SELECT id, alt_name AS name, CASE WHEN alt_name = '' THEN 'empty' WHEN alt_name = lower(alt_name) AND alt_name = replace(upper(alt_name), 'ẞ', 'SS') THEN 'no_case' WHEN alt_name = lower(alt_name) THEN 'lower' WHEN alt_name = replace(upper(alt_name), 'ẞ', 'SS') THEN 'caps' ELSE 'mixed' END AS label FROM np WHERE alt_name = base_name")
+register("top_values", lambda s, d: profile.top_values(s.read.parquet(f"{d}/documents.parquet"), "source"), "SELECT source, count(*) AS row_count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 15")
+register("inflation", lambda s, d: names.inflation(names.scale_summary(name_pairs(s, d), ENGINE)), ORACLE_SQL["scale_summary"].replace("SELECT outcome, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM o GROUP BY 1", "SELECT count(*) FILTER (WHERE outcome <> 'agreement') AS raw_conflicts, count(*) FILTER (WHERE outcome = 'different') AS different, round(count(*) FILTER (WHERE outcome <> 'agreement') / greatest(count(*) FILTER (WHERE outcome = 'different'), 1)::DOUBLE, 1) AS inflation FROM o"))
 
 
 # --- evaluation: votes are three fixed functions of the labels ------------------------------------
@@ -347,7 +379,12 @@ register("class_accuracy", lambda s, d: ev.class_accuracy(voted(s, d), "truth",
 register("selection_accuracy", lambda s, d: ev.accuracy(voted(s, d).select(extra.selection_action(F.col("truth")).alias("t"), F.when(F.col("vote").isNotNull(), extra.selection_action(F.col("vote"))).alias("p")), "t", "p"), f"{V}, s AS (SELECT truth = 'business_type' AS t, CASE WHEN vote IS NOT NULL THEN vote = 'business_type' END AS p FROM vote), a AS (SELECT count(*) AS row_count, count(p) AS answered, count(*) FILTER (WHERE t = p) AS correct FROM s) SELECT *, correct / nullif(answered, 0)::DOUBLE AS accuracy, row_count - answered AS abstained FROM a")
 register("confusion_matrix", lambda s, d: ev.confusion(s.read.parquet(f"{d}/labels.parquet"), "quality", "toxic", [0, 1, 2]), "SELECT c.actual, count(*) FILTER (WHERE toxic = 0) AS pred_0, count(*) FILTER (WHERE toxic = 1) AS pred_1, count(*) FILTER (WHERE toxic = 2) AS pred_2 FROM (SELECT unnest(['0', '1', '2']) AS actual) c LEFT JOIN labels l ON CAST(l.quality AS VARCHAR) = c.actual GROUP BY 1")
 register("mode_class", lambda s, d: ev.mode(voted(s, d), "truth"), f"{V} SELECT truth, count(*) AS row_count FROM vote GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
-register("hash_split", lambda s, d: ev.hash_split(s.read.parquet(f"{d}/labels.parquet"), "doc_id", 0.6)[0], "SELECT * FROM labels WHERE CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.6")
+def both_parts(s: SparkSession, d: str) -> DataFrame:
+    train, test = ev.hash_split(s.read.parquet(f"{d}/labels.parquet"), "doc_id", 0.6)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+register("hash_split", both_parts, "SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.6 THEN 'train' ELSE 'test' END AS part FROM labels")
 register("label_sanitizer", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", extra.sanitize(F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Business Type", "it is noise-ish", "LOCATION", "no idea"))), (F.col("event_id") % 4 + 1).cast("int")), F.lit(" "))).alias("label")), "SELECT event_id, list_extract(['business_type', 'noise', 'location', 'disambiguation'], CAST(event_id % 4 AS INT) + 1) AS label FROM events")
 
 
@@ -360,15 +397,47 @@ def _predicted(s: SparkSession, d: str) -> DataFrame:
     return ev.predict(name_pairs(s, d).select("id", "alt_name"), rule, "id string, predicted string")
 
 
+_found = lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", "extra_content")
+_has = lambda words: f"list_has_any(string_split(lower(extra), ' '), {_list(words)})"
+register("rule_predictor", lambda s, d: ev.predict(_found(s, d), extra.rule_predictor, "id string, predicted string"), f"{SUB} SELECT id, CASE WHEN {_has(extra.NOISE)} THEN 'noise' WHEN {_has(extra.BIZ_FULL)} THEN 'business_type' ELSE 'disambiguation' END AS predicted FROM z")
 register("model_adapter", _predicted, f"{N} SELECT id, CASE WHEN length(alt_name) > 30 THEN 'long' ELSE 'short' END AS predicted FROM np")
 
 
 def tfidf_lr(s: SparkSession, d: str) -> DataFrame:
-    rows = whole_pairs(s, d).select("id", F.col("base_name").alias("text"), F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other").alias("label"))
+    rows = name_pairs(s, d).select("id", F.col("base_name").alias("text"), F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other").alias("label"))
     train, test = ev.hash_split(rows, "id", 0.6)
     out = ev.ngram_model(train, "text", "label").transform(test.withColumn("weight", F.lit(1.0)))
     return ev.class_accuracy(out.select("y", "prediction"), "y", "prediction")
 
 
 register("tfidf_lr", tfidf_lr)
+
+
+# --- several models: predictions that are three fixed functions of the labels, two of them with gaps
+def models(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows = s.read.parquet(f"{d}/labels.parquet")
+    name = lambda c: F.element_at(F.array(*map(F.lit, extra.LABELS)), (F.pmod(c, F.lit(4)) + 1).cast("int"))
+    made = {"a": (name(F.col("doc_id")), "true"), "b": (name(F.col("doc_id") + F.col("quality")), "doc_id % 9 <> 0"), "c": (name(F.floor(F.col("doc_id") / 3)), "doc_id % 7 <> 0")}
+    return {k: rows.where(test).select("doc_id", c.alias("predicted")) for k, (c, test) in made.items()}
+
+
+def aligned(s: SparkSession, d: str) -> DataFrame:
+    return ev.align(models(s, d), ["doc_id"]).withColumn("truth", F.element_at(F.array(*map(F.lit, extra.LABELS)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
+
+
+A = f"""WITH al AS (SELECT a.doc_id, a.p AS pred_a, b.p AS pred_b, c.p AS pred_c, {_name("a.doc_id")} AS truth FROM (SELECT doc_id, min({_name("doc_id")}) AS p FROM labels GROUP BY 1) a
+JOIN (SELECT doc_id, min({_name("doc_id + quality")}) AS p FROM labels WHERE doc_id % 9 <> 0 GROUP BY 1) b ON a.doc_id = b.doc_id JOIN (SELECT doc_id, min({_name("doc_id // 3")}) AS p FROM labels WHERE doc_id % 7 <> 0 GROUP BY 1) c ON a.doc_id = c.doc_id)"""
+_top = "CASE WHEN pred_a = pred_b AND pred_b = pred_c THEN 3 WHEN pred_a = pred_b OR pred_a = pred_c OR pred_b = pred_c THEN 2 ELSE 1 END"
+_vote = "CASE WHEN pred_a = pred_b OR pred_a = pred_c THEN pred_a WHEN pred_b = pred_c THEN pred_b WHEN 'business_type' IN (pred_a, pred_b, pred_c) THEN 'business_type' ELSE least(pred_a, pred_b, pred_c) END"
+register("ensemble_align", lambda s, d: aligned(s, d), f"{A} SELECT * FROM al")
+register("agreement_histogram", lambda s, d: ev.agreement_histogram(aligned(s, d)), f"{A} SELECT CAST({_top} AS BIGINT) AS agreeing, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM al GROUP BY 1")
+register("coverage_at", lambda s, d: ev.coverage_at(aligned(s, d), "truth", [0.3, 0.6, 0.9]), f"{A}, v AS (SELECT truth, {_vote} AS vote, {_top} / 3.0::DOUBLE AS share FROM al), w AS (" + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS threshold, count(*) AS row_count, count(*) FILTER (WHERE share >= {x}) AS answered, count(*) FILTER (WHERE share >= {x} AND vote = truth) AS correct FROM v" for x in (0.3, 0.6, 0.9)) + ") SELECT *, answered / nullif(row_count, 0)::DOUBLE AS coverage, correct / nullif(answered, 0)::DOUBLE AS accuracy FROM w")
+register("exact_match", lambda s, d: ev.exact_match(aligned(s, d), "pred_b", "pred_c", F.col("pred_a") == "noise"), f"{A}, w AS (SELECT count(*) FILTER (WHERE pred_a = 'noise') AS masked, count(*) FILTER (WHERE pred_a = 'noise' AND pred_b = pred_c) AS matched FROM al) SELECT *, matched / nullif(masked, 0)::DOUBLE AS ratio FROM w")
+register("recorded_predictions", lambda s, d: ev.recorded(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), models(s, d)["b"], ["doc_id"]), f"SELECT l.doc_id, coalesce(m.p, 'error') AS predicted FROM labels l LEFT JOIN (SELECT doc_id, min({_name('doc_id + quality')}) AS p FROM labels WHERE doc_id % 9 <> 0 GROUP BY 1) m ON l.doc_id = m.doc_id")
+_point = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '{0}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+register("nested_split", lambda s, d: ev.nested_split(s.read.parquet(f"{d}/labels.parquet"), "doc_id", cap=50).select("doc_id", "part"), f"WITH p AS (SELECT doc_id, CASE WHEN {_point.replace('{0}', '42')} >= 0.6 THEN 'test' WHEN {_point.replace('{0}', '42sub')} < 0.75 THEN 'fit' ELSE 'tune' END AS part FROM labels), k AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM p WHERE part = 'fit') q ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 50) SELECT doc_id, CASE WHEN part = 'fit' AND doc_id NOT IN (SELECT doc_id FROM k) THEN 'spare' ELSE part END AS part FROM p")
+register("conformed", lambda s, d: profile.conform(s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.expr("nullif(toxic, 0)").alias("actual")), {"correct_answer": -1, "note": ""}, {"actual": "correct_answer"}), "SELECT doc_id, coalesce(CAST(nullif(toxic, 0) AS INTEGER), -1) AS correct_answer, '' AS note FROM labels")
+register("latency", lambda s, d: ev.latency(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("double").alias("latency_s"))).select(ppm("rows_per_min").alias("rows_per_min"), ppm("mean_s").alias("mean_s"), "min_s", "max_s"), f"SELECT {PPM.format('60 * count(*) / sum(l_linenumber)::DOUBLE')} AS rows_per_min, {PPM.format('avg(l_linenumber::DOUBLE)')} AS mean_s, min(l_linenumber)::DOUBLE AS min_s, max(l_linenumber)::DOUBLE AS max_s FROM lineitem")
+register("sessions", lambda s, d: stream.sessions(s.read.parquet(f"{d}/events.parquet")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "row_count"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS row_count FROM n GROUP BY user_id, k")
+register("known_candidates", lambda s, d: extra.known(extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", "short_name", "long_name"), name_pairs(s, d).where("substr(id, -2, 1) IN ('1', '2', '3')").select(F.upper("alt_name").alias("short_name"), F.col("base_name").alias("long_name"))).select("id", "is_known"), f"{SUB}, m AS (SELECT id, CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END AS s, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS l FROM z), k AS (SELECT DISTINCT lower(trim(replace(upper(alt_name), 'ẞ', 'SS'))) AS ks, lower(trim(base_name)) AS kl FROM np WHERE substr(id, -2, 1) IN ('1', '2', '3')) SELECT id, ks IS NOT NULL AS is_known FROM m LEFT JOIN k ON lower(trim(s)) = ks AND lower(trim(l)) = kl")
 register("event_label_counts", lambda s, d: stream.label_counts(s.read.parquet(f"{d}/events.parquet"), F.col("event_type")), "SELECT date_trunc('hour', ts) AS start, event_type AS label, count(*) AS row_count FROM events GROUP BY 1, 2")

@@ -36,7 +36,7 @@ def present(spark: SparkSession, paths: dict[str, str], least: int = 2) -> dict[
 
 def write_report(df: DataFrame, path: str) -> None:
     """A report (a small aggregate) as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_table(df: DataFrame, path: str, *partition: str) -> None:
@@ -50,3 +50,13 @@ def write_text(df: DataFrame, path: str) -> None:
 def read_program(spark: SparkSession, path: str) -> dict:
     """A model's JSON program (instructions and demonstrations)."""
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))  # a configuration file
+
+
+def write_program(spark: SparkSession, program: dict, path: str) -> None:
+    """The counterpart of read_program: one JSON text, through Spark's own file systems."""
+    spark.createDataFrame([(json.dumps(program, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_model(model, path: str) -> None:
+    """A fitted pipeline of pyspark.ml."""
+    model.write().overwrite().save(path)

@@ -1,4 +1,4 @@
-"""Cases of many scripts, invariants, and the native fold against the Arrow fold."""
+"""Fixed cases of many scripts, invariants, and the native fold against the Arrow fold."""
 
 import pytest
 from hypothesis import given, settings

@@ -43,4 +43,4 @@ def test_queries_without_sql_read_whole_first_lines(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert registry.QUERIES["unicode_audit"](spark, SF).count() == docs.count()
     want = sorted((r["text"] or "").split("\n")[0].strip(" ") for r in docs.collect())
-    assert sorted(r["alt_name"] for r in fixtures.whole_pairs(spark, SF).collect()) == want
+    assert sorted(r["alt_name"] for r in fixtures.name_pairs(spark, SF).collect()) == want
