@@ -15,20 +15,21 @@ are written. Equal vectors are one entry with their smallest ids (as many as an
 Recall is measured against brute force in the tests (at least 0.9 at ten neighbours).
 Hashing sees directions only; for vectors of unlike norms recall can be lower, distances stay exact.
 
-Cases: vectors that are null, zero, of another width than most, or hold null or non-finite components
-take no part; ties go to the smaller vec_id; repeated rows of one vec_id count once; fewer candidates
+Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of unlike
+widths have no distance, so each width is searched on its own; ties go to the smaller vec_id; repeated rows of one vec_id count once; fewer candidates
 than ten give fewer rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tallyframe.llm.common import Cut, map_columns, ready, table
 
@@ -97,11 +98,12 @@ class Hashes:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part, once each."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and vector of the rows that take part; single precision stays single, as it is half to move."""
+    single = df.schema["embedding"].dataType.elementType == FloatType()
+    v = F.transform("embedding", lambda x: x.cast("float" if single else "double"))
     rows = df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
-    fine = rows.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0))
-    return fine
+    infinite = lambda x: F.abs(x) == F.lit(float("inf"))
+    return rows.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | infinite(x)) & F.exists("vector", lambda x: x != 0))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -208,13 +210,18 @@ def fitted(index: DataFrame, wanted: DataFrame, width: int, n: int, k: int, tabl
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, target: int = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each query but itself."""
     spark = ready(vectors.sparkSession)
-    rows = clean(vectors)
-    shape = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width = shape[0]["w"] if shape else 1
-    cut, out = Cut(spark), ("query_id", "rank", "vec_id", "score")
+    cut, rows, asked = Cut(spark), clean(vectors), clean(queries)
+    # a table of embeddings has a few widths, mostly one
+    widths = sorted(r["w"] for r in asked.select(F.size("vector").alias("w")).distinct().collect()) or [1]
+    each = [nearest_of_width(rows, asked, w, k, tables, probes, target, cut) for w in widths]
+    return reduce(DataFrame.unionByName, each)
+
+
+def nearest_of_width(rows: DataFrame, asked: DataFrame, width: int, k: int, tables: int, probes: int, target: int, cut: Cut) -> DataFrame:
+    out = ("query_id", "rank", "vec_id", "score")
     index = cut(distinct_vectors(rows.where(F.size("vector") == width), k + 1))
     n = index.count()  # copies fill no buckets
-    wanted = cut(clean(queries).where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector"))
+    wanted = cut(asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector"))
     hashes, probes = fitted(index, wanted, width, n, k, tables, probes, target, cut)
     found = search(index, wanted, hashes, probes, k, cut).select(*out)
     if not hashes.axes:

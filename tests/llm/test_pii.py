@@ -104,7 +104,7 @@ def planted(n, seed=4):
         value, hit, decoy = {
             0: (f"mail me {word()}{digits(2)}@mail.example.com", None, None),
             1: (f"call +1 {national()}", None, None),
-            2: (f"card {card(True)}", None, None),
+            2: (f"card {card(True)}" if i % 20 == 2 else card(True), None, None),
             3: (f"server {r.randint(1, 223)}.{r.randint(0, 255)}.{r.randint(0, 255)}.7", None, None),
             4: ("order", None, card(False)) if i % 20 == 4 else ("lot", None, "#" + card(False)),
             5: ("version", None, f"{r.randint(256, 999)}.{digits(1)}.{digits(2)}.{digits(1)}"),
