@@ -25,3 +25,13 @@ def test_conversations(spark):
     assert got[4]["turns_sha256"] == hashlib.sha256("judge\né🙂\n".encode()).hexdigest() and got[4]["loss_chars"] == 0
     assert got[None]["n_turns"] == 1
     assert C.read_back(C.format_turns(df.limit(0))).count() == 0
+
+
+def test_very_long_turns_keep_their_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "q" * 500_000), (1, 1, "assistant", "word " * 200_000), (2, 0, "user", None), (2, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"segments": F.lit("x"), "legal": F.lit(1)})
+    got = {r["conv_id"]: r for r in C.read_back(C.format_turns(df)).collect()}
+    assert got[1]["loss_sha256"] == hashlib.sha256(("word " * 200_000).encode()).hexdigest() and got[1]["valid"]
+    assert got[2]["loss_chars"] == 0 and got[2]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\n\n").hexdigest()

@@ -50,3 +50,13 @@ def test_query_digests(spark):
     assert rows[6]["media_sha256"] == rows[7]["media_sha256"]
     table = M.packets(M.mux_texts(docs(spark, AWKWARD[:4])))
     assert table.count() == 4 and M.packets(M.mux_texts(docs(spark, []))).count() == 0
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    from pyspark.sql import functions as F
+
+    long = "é" * 2_000_000
+    d = docs(spark, ["a", None, long]).withColumns({"media": F.lit(1), "raw": F.lit(2), "n_bytes": F.lit(3), "payload_sha256": F.lit("x")})
+    rows = {r["doc_id"]: r for r in M.media_digests(M.mux_texts(d)).collect()}
+    assert [rows[i]["n_bytes"] for i in range(3)] == [1, 0, 4_000_000]
+    assert rows[2]["payload_sha256"] == hashlib.sha256(M.payload_of(long.encode())).hexdigest()

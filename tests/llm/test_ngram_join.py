@@ -102,3 +102,11 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     left = sorted(r["_row"] for r in J.drop_near_copies(df).collect())
     assert left == ["a", "e", "f", "g", "h", "i"]
     assert J.drop_near_copies(df.where(F.lit(False))).count() == 0
+
+
+def test_query_on_whole_documents_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    ids = [r["doc_id"] for r in rows]
+    want = {ids[i]: (n, ids[c]) for i, (n, c) in brute([r["text"] for r in rows], 3, 90, 100).items()}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.op7_ngram_jaccard(spark, sf).collect()} == want

@@ -52,8 +52,24 @@ def test_sums_over_the_cluster_are_those_in_memory(spark):
 
 
 def test_columns_with_names_of_its_own_pass(spark):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    texts = [("foul nasty " if i % 2 else "kind gentle ") + f"w{i}" for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
+    texts = [("foul nasty " if i % 2 else "kind gentle ") + f"w{i}" for i in range(150)]
     d = docs(spark, texts).selectExpr("*", "'s' AS score", "1 AS buckets", "2 AS _body")
     out = X.keep_clean(d, labels)
-    assert out.columns == d.columns and 0 < out.count() < 40 and {r["score"] for r in out.collect()} == {"s"}
+    assert out.columns == d.columns and 0 < out.count() < 150 and {r["score"] for r in out.collect()} == {"s"}
+
+
+def test_scores_against_plain_python(spark):
+    """Every document of a table, scored word by word from the fitted model."""
+    import math
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = X.fit(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in X.score(d, model).collect()}
+    for r in d.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        places = {zlib.crc32(w.encode()) & X.BUCKETS - 1 for x in words if (w := x.strip(X.STRIP).lower())}
+        g = model["bias"] + sum(model["weights"].get(p, 0.0) for p in places)
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-(model["slope"] * g + model["intercept"])))) < 1e-9

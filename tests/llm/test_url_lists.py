@@ -47,3 +47,13 @@ def test_empty(spark):
     caps = spark.createDataFrame([(1, "http://a.b", 3)], "page_id long, url string, fetched long")
     none = U.intervals(spark.createDataFrame([], "key string, at long, action string, category string"))
     assert U.as_of(caps, none).first()["blocked"] is False and U.as_of(caps.limit(0), none).count() == 0
+
+
+def test_clashing_columns_and_a_very_long_url(spark):
+    from pyspark.sql import functions as F
+
+    url = "http://" + "a." * 120 + "example.com/" + "p" * 100_000
+    caps = spark.createDataFrame([(1, url, 3), (2, "http://example.com/" + "p" * 100_000, 3)], "page_id long, url string, fetched long").withColumns({"list_key": F.lit("x"), "category": F.lit("y"), "valid_from": F.lit(1), "depth": F.lit(2), "key": F.lit(3)})
+    changes = spark.createDataFrame([("example.com", 1, "add", "spam", "z")], "key string, at long, action string, category string, url string")
+    rows = U.as_of(caps, U.intervals(changes)).orderBy("page_id").collect()
+    assert [(r["page_id"], r["list_key"], r["blocked"]) for r in rows] == [(1, "example.com", True), (2, "example.com", True)]
