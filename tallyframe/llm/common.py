@@ -24,7 +24,8 @@ from tallyframe.session import ready
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one slice of a batch in Python; a single longer row is a slice of its own.
 SLICE_BYTES = 4 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: it takes the place of the shuffle files behind it, and Arrow batches stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * SLICE_BYTES)}
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -55,12 +56,14 @@ class Cut:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")  # the table takes the place of the shuffle files behind it
+        before = {k: self.spark.conf.get(k) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         _made.append((self.spark, path))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
