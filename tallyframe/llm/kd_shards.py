@@ -37,6 +37,8 @@ FIRST_BITS = 8
 STEPS = (54, 46, 34, ROW_BITS, 11, 0)
 TOLERANCE = 2e-3
 GROUP_LIMIT = 2e-2
+#: One in HEAVY of all rows makes a group of equal texts large.
+HEAVY = 1000
 #: Documents that one group of the slot numbering holds on average.
 RUN = 2000
 
@@ -60,12 +62,19 @@ def coordinates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[v.cast("long").alias(k) for k, v in values.items()], F.xxhash64(text, F.lit(3)).alias("text_hash"), row.alias("row_hash"))
 
 
-def together(base: DataFrame) -> DataFrame:
-    """Gives all rows of one text the values of its row with the least id; only texts that occur again are joined."""
-    values = ("by_source", "by_lang", "by_id")
-    groups = base.groupBy("text_hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("by_id", "by_source", "by_lang")).alias("first")).where("n > 1").drop("n")
-    joined = base.join(groups, ["text_hash", "size"], "left")
-    return joined.select("doc_id", "size", "text_crc32", "by_size", *[F.coalesce(F.col("first")[v], F.col(v)).alias(v) for v in values], "text_hash", "row_hash")
+def together(base: DataFrame, cut: Cut) -> DataFrame:
+    """Gives all rows of one text the values of its row with the least id; only texts that occur again are joined.
+
+    Groups of a thousandth of all rows and more, a thousand at most, are broadcast, so none meets in one task.
+    """
+    values, key = ("by_source", "by_lang", "by_id"), ["text_hash", "size"]
+    groups = cut(base.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("by_id", "by_source", "by_lang")).alias("first")).where("n > 1"))
+    heavy = F.col("n") * HEAVY >= base.count()
+    large, small = F.broadcast(groups.where(heavy).drop("n")), groups.where(~heavy).drop("n")
+    joined = base.join(large, key).unionByName(base.join(large, key, "left_anti").join(small, key, "left"))
+    out = cut(joined.select("doc_id", "size", "text_crc32", "by_size", *[F.coalesce(F.col("first")[v], F.col(v)).alias(v) for v in values], "text_hash", "row_hash"))
+    cut.drop(groups)
+    return out
 
 
 def scaled(base: DataFrame, least: int, most: int) -> DataFrame:
@@ -185,7 +194,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document."""
     cut = Cut(docs.sparkSession)
     single = cut(coordinates(docs))
-    base = cut(together(single))
+    base = together(single, cut)
     cut.drop(single)
     ends = base.agg(F.min("by_id").alias("a"), F.max("by_id").alias("b")).first()
     rows = scaled(base, ends["a"] or 0, ends["b"] or 0)

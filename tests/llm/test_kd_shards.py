@@ -49,8 +49,9 @@ def test_median_search_opens_intervals_and_groups_only_when_heavy():
     assert light.cut == 0 and light.lo == 0  # cut at the nearer end of the group
 
 
-def test_copies_stay_together_and_repeated_rows_are_cut(spark):
-    texts = [f"text {i} " + "x" * (i * 37 % 400) for i in range(900)] + [f"copy {i % 40}" for i in range(200)]
+def test_copies_stay_together_and_repeated_rows_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(K, "HEAVY", 300)  # both ways of joining are in use
+    texts = [f"text {i} " + "x" * (i * 37 % 400) for i in range(900)] + [f"copy {i % 40 if i % 3 else 0}" for i in range(200)]
     df = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5)).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))
     rows = K.shard_documents(df, 5).collect()
     check(rows, texts, 5)
@@ -67,9 +68,9 @@ def test_tree_against_one_made_in_memory(spark):
     """Every leaf's rows are what cutting the same coordinates at weighted medians in memory gives, cut for cut."""
     texts = [f"{i} " + "word " * (i * 7919 % 50) for i in range(600)]
     df = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") * F.col("doc_id")) % 7))
-    base = K.coordinates(df)
     cut = Cut(spark)
-    placed = K.kd_leaves(cut(K.scaled(K.together(base), 0, 599)), 6, cut).collect()
+    base = cut(K.coordinates(df))
+    placed = K.kd_leaves(cut(K.scaled(K.together(base, cut), 0, 599)), 6, cut).collect()
     rows = [(r["size"], tuple(r[d] for d in K.DIMENSIONS), r["node"]) for r in placed]
 
     def leaves(part, low, shards):
