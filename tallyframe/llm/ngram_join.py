@@ -24,7 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -300,49 +300,61 @@ def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame | None:
-    """(id, component) of the class representatives that have links."""
-    tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    remaining = cut(tokens.join(often, "t", "left_semi").groupBy("id", "m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m")).select("id"))
-    sets = cut(full_sets(docs, remaining, k))
-    rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
-    sigs = cut(rows.select("sig", "id"))
+def linked_groups(sigs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut, likely: Callable[[DataFrame, DataFrame, Bound], DataFrame] = plausible) -> DataFrame:
+    """(id, component) of ids that links reach, from written tables (sig, id) and (id, h, bits), which are dropped.
+
+    Pairs that share a signature are looked at in three rounds; `likely` thins them before whole sets are compared.
+    """
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
     shared = cut(sigs.join(firsts, "sig"))
-    cut.drop(sigs, remaining)
+    cut.drop(sigs)
 
     # round one: the smallest id that shares a signature
     one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    parts = [linked(plausible(one, sets, bound), sets, bound, cut)]
+    parts = [linked(likely(one, sets, bound), sets, bound, cut)]
     before = found = components(parts[0], cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    two = plausible(apart.join(one, ["a", "b"], "left_anti"), sets, bound)
+    two = likely(apart.join(one, ["a", "b"], "left_anti"), sets, bound)
     parts.append(linked(two, sets, bound, cut))
     found = components(reduce(DataFrame.unionByName, parts), cut)
     # round three: all pairs that are still apart
     at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
     split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
-    three = plausible(apart_in_groups(at.join(split, "sig"), sets, bound), sets, bound)
+    three = likely(apart_in_groups(at.join(split, "sig"), sets, bound), sets, bound)
     parts.append(linked(three, sets, bound, cut))
     out = components(reduce(DataFrame.unionByName, parts), cut)
     cut.drop(shared, sets, one, before, found, *parts)
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame:
+    """(id, component) of the class representatives that have links."""
+    tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
+    remaining = cut(tokens.join(often, "t", "left_semi").groupBy("id", "m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m")).select("id"))
+    sets = cut(full_sets(docs, remaining, k))
+    rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
+    sigs = cut(rows.select("sig", "id"))
+    cut.drop(remaining)
+    return linked_groups(sigs, sets, bound, cut)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, prints_of: Callable[..., DataFrame] = fingerprints, find: Callable[..., DataFrame] = class_components) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+
+    prints_of names each set and gives what the filter of `find` reads; find links the classes of equal sets.
+    """
     spark = ready(docs.sparkSession)
     cut, bound = Cut(spark), Bound(part, whole)
-    wide = cut(fingerprints(docs, k, bound))
+    wide = cut(prints_of(docs, k, bound))
     prints = cut(wide.drop("prefix", "m"))
     key = ["fp_a", "fp_b", "n"]
     classes = cut(wide.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("m").alias("m")))
     cut.drop(wide)
-    found = class_components(docs, classes, k, bound, cut)
+    found = find(docs, classes, k, bound, cut)
     named = cut(classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")))
     cut.drop(classes, found)
     out = prints.select("doc_id", *key).join(named, key, "left")

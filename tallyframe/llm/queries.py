@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.ann import op3_cross_polytope
+from tallyframe.llm.bottom_k import op13_bottom_k
 from tallyframe.llm.chat import op8_chat_fsm
 from tallyframe.llm.exponion import op11_exponion_codes
 from tallyframe.llm.kd_shards import op6_kd_shards
@@ -19,6 +20,6 @@ from tallyframe.llm.runs import op12_harmonic_runs
 from tallyframe.llm.toxicity import op2_toxicity_nnpu
 from tallyframe.llm.url_lists import OP5_SQL, op5_url_asof
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_ipf, op2_toxicity_nnpu, op3_cross_polytope, op4_pack_ffd, op5_url_asof, op6_kd_shards, op7_ngram_jaccard, op8_chat_fsm, op9_pii_boosted, op10_matroska, op11_exponion_codes, op12_harmonic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_ipf, op2_toxicity_nnpu, op3_cross_polytope, op4_pack_ffd, op5_url_asof, op6_kd_shards, op7_ngram_jaccard, op8_chat_fsm, op9_pii_boosted, op10_matroska, op11_exponion_codes, op12_harmonic_runs, op13_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_asof": OP5_SQL}
