@@ -1,16 +1,16 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union sketches, exact Jaccard.
 
-A document's set holds the hashes of its shingles; equal sets are one class. Its sketch is its smallest hashes.
-1. Lists. The LIST smallest hashes are retained. Of a linked pair, at least `overlap(n)` are retained by
-   both: for sets whose union fits the sketch this is the threshold itself, for others the bound below
-   which the count of a random sample falls with a chance under CHANCE (Hoeffding's, which holds for draws
-   without replacement). So a class of whose values fewer occur elsewhere has no partner and leaves, and of the
-   others, c in number, only the c - overlap + 1 that fewest classes retain go to inverted lists: two linked
-   classes still meet in one, and values that a large share of the corpus retains make no long lists.
+A document's set holds the hashes of its shingles; equal sets are one class. Its sketch is its K smallest hashes.
+1. Lists. Of a linked pair, at least `overlap(n)` hashes are in both sketches: for sets whose union fits a
+   sketch this is the threshold itself, for others the bound below which the count of a random sample falls
+   with a chance under CHANCE (Hoeffding's, which holds for draws without replacement). So a class of whose
+   values fewer occur elsewhere has no partner and leaves, and of the others, c in number, only the
+   c - overlap + 1 that fewest classes retain go to inverted lists: two linked classes still meet in
+   one, and values that a large share of the corpus retains make no long lists.
 2. Estimates. Classes of one list that are not yet in one component (three rounds, as in the n-gram join:
-   first holders, firsts of lists, the rest in blocks) are compared by the union's sketch, the SKETCH
+   first holders, firsts of lists, the rest in blocks) are compared by size and by the union's sketch, the K
    smallest hashes of both sketches: too few of them in both, again by that bound, rule a pair out.
-3. What is left is compared on full sets, in integers.
+3. What is left is compared on full sets, in integers; only documents of these pairs are read again.
 
 A link is lost only if a hash behaves worse than one draw in 1e15; the tests compare with brute force.
 
@@ -22,6 +22,7 @@ no component and kept null; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Cut, map_columns, table, text_of
-from tallyframe.llm.ngram_join import K1, Bound, full_sets, jaccard_components, linked_groups, mixed, shingle_sets, signed
+from tallyframe.llm.ngram_join import K1, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, shingle_sets, signed, verified
 
-#: Hashes of a set that go to inverted lists, and hashes of a union by which its similarity is estimated.
-LIST, SKETCH = 64, 256
+#: Hashes of a sketch.
+K = 64
 CHANCE = 1e-15
 
 
@@ -52,52 +53,81 @@ def least_of_sample(size: int, part: int, whole: int) -> int:
 
 
 def overlap(n: int, bound: Bound) -> int:
-    """How many retained hashes a set of n shares with any partner."""
-    if n * bound.whole // bound.part <= LIST:
+    """How many hashes the sketch of a set of n shares with that of any partner."""
+    if n * bound.whole // bound.part <= K:
         return bound.need(n)  # both sketches hold their whole sets
-    return min(bound.need(n), least_of_sample(LIST, bound.part, bound.whole))
+    return min(bound.need(n), least_of_sample(K, bound.part, bound.whole))
 
 
 def sketches(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
-    """doc_id, n, two sums that name the set, m = overlap(n) and the lower halves of the retained hashes."""
+    """doc_id, n, two sums that name the set, m = overlap(n) and the sketch."""
 
     def run(ids: pa.Array, texts: pa.Array) -> list:
         rows = []
         for x in shingle_sets(texts, k):
             n = len(x)
-            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), x[:LIST].astype(np.uint32).view(np.int32)))
+            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), signed(x[:K])))
         return [ids, *(list(c) for c in zip(*rows, strict=True))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<int>", rows=1000, raw=True)
-
-
-def estimated(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs (a, b) that sizes and the sketch of the union do not rule out."""
-    ordered = F.transform(F.slice("h", 1, SKETCH), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # hashes are sorted without a sign
-    marks = sets.select("id", F.size("h").alias("n"), ordered.alias("s"))
-    side = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sized = (bound.whole * F.col("n_a") >= bound.part * F.col("n_b")) & (bound.whole * F.col("n_b") >= bound.part * F.col("n_a"))
-    seen = both.where(sized).withColumns({"common": F.array_intersect("s_a", "s_b"), "union": F.sort_array(F.array_union("s_a", "s_b"))})
-    last = F.element_at("union", F.least(F.size("union"), F.lit(SKETCH)))
-    whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
-    # the common hashes are sorted: in the union's sketch are those before the first that is beyond its last
+    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<long>", rows=1000, raw=True)
+
+
+def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
+    """Pairs (a, b) that sizes and the sketch of the union, from marks (id, n, bits), do not rule out."""
+    size = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    side = lambda x: marks.select(F.col("id").alias(x), F.col("bits").alias(f"s_{x}"))
+    sized = pairs.join(size("b"), "b").join(size("a"), "a").where((bound.whole * F.col("n_a") >= bound.part * F.col("n_b")) & (bound.whole * F.col("n_b") >= bound.part * F.col("n_a")))
+    both = sized.join(side("b"), "b").join(side("a"), "a")
+    seen = both.withColumns({"common": F.array_intersect("s_a", "s_b"), "union": F.sort_array(F.array_union("s_a", "s_b"))})
+    last = F.element_at("union", F.least(F.size("union"), F.lit(K)))
+    whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
     inside = F.size(F.filter("common", lambda x: x <= last))
-    enough = F.when(whole, bound.whole * F.size("common") >= bound.part * F.size("union")).otherwise(inside >= least_of_sample(SKETCH, bound.part, bound.whole))
+    enough = F.when(whole, bound.whole * F.size("common") >= bound.part * F.size("union")).otherwise(inside >= least_of_sample(K, bound.part, bound.whole))
     return seen.where(enough).select("a", "b")
 
 
+def sketch_near(bound: Bound) -> Callable[[int, np.ndarray, np.ndarray, pa.ListArray], np.ndarray]:
+    """Which rows j of a group the sketch of the union with row i does not rule out: `estimated`, for many rows."""
+    least = least_of_sample(K, bound.part, bound.whole)
+
+    def near(i: int, j: np.ndarray, n: np.ndarray, marks: pa.ListArray) -> np.ndarray:
+        flat, ends = marks.flatten().to_numpy(), np.cumsum(marks.value_lengths().to_numpy())
+        held = np.diff(ends, prepend=0)
+        own = flat[ends[i] - held[i] : ends[i]]
+        at = np.minimum(ends[j] - held[j], len(flat) - 1)[:, None] + np.arange(K)
+        there = np.arange(K) < held[j][:, None]
+        x = flat[np.minimum(at, len(flat) - 1)]
+        below = np.searchsorted(own, x, side="right")
+        both = there & (own[np.maximum(below, 1) - 1] == x)
+        common = np.cumsum(both, axis=1)
+        place = np.arange(1, K + 1) + below - common  # in the union, from 1
+        enough = (both & (place <= K)).sum(axis=1) >= least
+        total = common[:, -1]
+        exact = bound.whole * total >= bound.part * (n[i] + n[j] - total)
+        return np.where((n[i] <= K) & (n[j] <= K), exact, enough)
+
+    return near
+
+
 def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame:
     """(id, component) of the class representatives that have links."""
     tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     held = tokens.join(often, "t").groupBy("id", "m").agg(F.collect_list(F.struct("c", "t")).alias("l")).where(F.size("l") >= F.col("m"))
-    lists = cut(held.select("id", F.slice(F.sort_array("l"), F.lit(1), F.size("l") - F.col("m") + 1)["t"].alias("l")))
-    sets = cut(full_sets(docs, lists.select("id"), k))
-    sigs = cut(lists.select(F.explode(F.array_distinct(F.col("l").cast("array<bigint>"))).alias("sig"), "id"))
-    cut.drop(lists)
-    return linked_groups(sigs, sets, bound, cut, estimated)
+    sigs = cut(held.select(F.explode(F.slice(F.sort_array("l"), F.lit(1), F.size("l") - F.col("m") + 1)["t"]).alias("sig"), "id"))
+    # the upper halves of the hashes, in their order: hashes are sorted without a sign
+    upper = F.transform("prefix", lambda x: (F.shiftrightunsigned(x, 32) - F.lit(1 << 31)).cast("int"))
+    marks = cut(classes.join(sigs.select("id").distinct(), "id", "left_semi").select("id", "n", upper.alias("bits")))
+
+    def link(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        few = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k).select("id", "h"))
+        return verified(pairs, few, bound, cut)
+
+    out = linked_groups(sigs, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks, bound, sketch_near(bound)), link, cut)
+    cut.drop(marks)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:

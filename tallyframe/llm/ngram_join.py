@@ -238,6 +238,11 @@ def linked(pairs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut) -> DataFra
     """Those of the plausible pairs (a, b) that reach the threshold on their whole sets."""
     pairs = cut(pairs)
     few = cut(held(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets))
+    return verified(pairs, few, bound, cut)
+
+
+def verified(pairs: DataFrame, few: DataFrame, bound: Bound, cut: Cut) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (id, h) reach the threshold; both written tables are dropped."""
     left = pairs.join(few.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b")
     both = left.join(few.select(F.col("id").alias("a"), F.col("h").alias("h_a")), "a")
     common = F.size(F.array_intersect("h_a", "h_b"))
@@ -247,18 +252,32 @@ def linked(pairs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut) -> DataFra
     return out
 
 
-def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+def parity_marks(sets: DataFrame) -> DataFrame:
+    """id, n and a quarter of the places of the parity sketch: parities of coarser places are sums of the finer ones."""
+    quarter = PARITY // 256
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("bits")[i + j * quarter] for j in range(4)]) for i in range(quarter)]
+    return sets.select("id", F.size("h").alias("n"), F.array(*folded).alias("bits"))
+
+
+def parity_near(bound: Bound) -> Callable[[int, np.ndarray, np.ndarray, pa.ListArray], np.ndarray]:
+    """Which rows j of a group parity sketches do not rule out as partners of row i."""
+
+    def near(i: int, j: np.ndarray, n: np.ndarray, marks: pa.ListArray) -> np.ndarray:
+        bits = marks.flatten().to_numpy().view(np.uint64).reshape(len(n), -1)  # bitwise_count takes absolute values of signed numbers
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+        return (bound.whole + bound.part) * differ.astype(np.int64) <= (bound.whole - bound.part) * (n[i] + n[j])
+
+    return near
+
+
+def apart_in_groups(rows: DataFrame, marks: DataFrame, bound: Bound, near: Callable[[int, np.ndarray, np.ndarray, pa.ListArray], np.ndarray]) -> DataFrame:
     """Plausible pairs of rows (sig, id, component, c) that share a signature but no component.
 
     c is the group's size. Groups of more than BLOCK rows are cut into blocks, and each two blocks are one
-    piece of work; pairs are compared by size and parity sketch where they stand, and only plausible ones
-    are written.
+    piece of work; pairs are compared by size and by marks (id, n, bits) where they stand, and only those that
+    `near` lets pass are written.
     """
     part, whole = bound.part, bound.whole
-    # a quarter of the places is enough here: parities of coarser places are sums of the finer ones
-    quarter = PARITY // 256
-    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("bits")[i + j * quarter] for j in range(4)]) for i in range(quarter)]
-    marks = sets.select("id", F.size("h").alias("n"), F.array(*folded).alias("bits"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
     placed = rows.join(marks, "id").select("sig", "id", "component", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -266,15 +285,13 @@ def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame
 
     def compare(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids, comp, n, own = (g[c].to_numpy() for c in ("id", "component", "n", "own"))
-        bits = g["bits"].flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)  # bitwise_count takes absolute values of signed numbers
         cross = g["lo"][0] != g["hi"][0]
         out_a, out_b = [], []
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
             j = j[(comp[j] != comp[i]) & (whole * n[i] >= part * n[j]) & (whole * n[j] >= part * n[i]) & ((own[j] != own[i]) if cross else True)]
             if len(j):
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                j = j[(whole + part) * differ.astype(np.int64) <= (whole - part) * (n[i] + n[j])]
+                j = j[near(i, j, n, g["bits"])]
                 out_a.append(np.minimum(ids[i], ids[j]))
                 out_b.append(np.maximum(ids[i], ids[j]))
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
@@ -300,10 +317,14 @@ def apart_in_groups(rows: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_groups(sigs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut, likely: Callable[[DataFrame, DataFrame, Bound], DataFrame] = plausible) -> DataFrame:
-    """(id, component) of ids that links reach, from written tables (sig, id) and (id, h, bits), which are dropped.
+Pairs = Callable[[DataFrame], DataFrame]
 
-    Pairs that share a signature are looked at in three rounds; `likely` thins them before whole sets are compared.
+
+def linked_groups(sigs: DataFrame, likely: Pairs, apart: Pairs, link: Pairs, cut: Cut) -> DataFrame:
+    """(id, component) of ids that links reach, from a written table (sig, id), which is dropped.
+
+    Pairs (a, b) that share a signature are looked at in three rounds. `likely` thins them, `link` writes those that
+    are links; `apart` makes pairs of rows (sig, id, component, c) that share a signature and no component.
     """
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
     shared = cut(sigs.join(firsts, "sig"))
@@ -311,22 +332,22 @@ def linked_groups(sigs: DataFrame, sets: DataFrame, bound: Bound, cut: Cut, like
 
     # round one: the smallest id that shares a signature
     one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    parts = [linked(likely(one, sets, bound), sets, bound, cut)]
+    parts = [link(likely(one))]
     before = found = components(parts[0], cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    two = likely(apart.join(one, ["a", "b"], "left_anti"), sets, bound)
-    parts.append(linked(two, sets, bound, cut))
+    stars = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    two = likely(stars.join(one, ["a", "b"], "left_anti"))
+    parts.append(link(two))
     found = components(reduce(DataFrame.unionByName, parts), cut)
     # round three: all pairs that are still apart
     at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
     split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
-    three = likely(apart_in_groups(at.join(split, "sig"), sets, bound), sets, bound)
-    parts.append(linked(three, sets, bound, cut))
+    three = likely(apart(at.join(split, "sig")))
+    parts.append(link(three))
     out = components(reduce(DataFrame.unionByName, parts), cut)
-    cut.drop(shared, sets, one, before, found, *parts)
+    cut.drop(shared, one, before, found, *parts)
     return out
 
 
@@ -339,7 +360,10 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
     sigs = cut(rows.select("sig", "id"))
     cut.drop(remaining)
-    return linked_groups(sigs, sets, bound, cut)
+    in_groups = lambda rows: apart_in_groups(rows, parity_marks(sets), bound, parity_near(bound))
+    out = linked_groups(sigs, lambda pairs: plausible(pairs, sets, bound), in_groups, lambda pairs: linked(pairs, sets, bound, cut), cut)
+    cut.drop(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, prints_of: Callable[..., DataFrame] = fingerprints, find: Callable[..., DataFrame] = class_components) -> DataFrame:
