@@ -1,18 +1,43 @@
-"""From flat records to pairs: all unordered pairs of records of one id, by one shuffle."""
+"""From flat records to pairs: all unordered pairs of records of one id, in blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Records of an id that are kept together; those of an id with more are dealt into blocks.
+BLOCK = 512
 
-def pair_up(flat: DataFrame, key: str = "id", name: str = "name", order: str = "position", provider: str = "provider") -> DataFrame:
-    """key, alt_name, alt_provider, base_name, base_provider for every two records of an id, in their order.
 
-    Blank names go first; ids with one record left give no pair. An id's records meet in one task, as its
-    pairs are the result: ids are entities with a few records each.
+def dealt(flat: DataFrame, key: str, name: str, order: str, provider: str, block: int) -> DataFrame:
+    """id, lo, hi, own, r: every record in each piece of work that it takes part in.
+
+    Records are counted by id first. An id with more than `block` is dealt into blocks by a hash, and any two blocks
+    (or a block with itself) are one piece, so a piece holds about 2 * block records at most, whatever the id's number.
     """
     kept = flat.where(F.trim(F.coalesce(F.col(name), F.lit(""))) != "")
-    groups = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(provider).alias("p")))).alias("r")).where(F.size("r") > 1)
-    first = groups.select(key, "r", F.posexplode("r").alias("i", "a"))
-    return first.select(key, "a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b")).select(key, F.col("a.n").alias("alt_name"), F.col("a.p").alias("alt_provider"), F.col("b.n").alias("base_name"), F.col("b.p").alias("base_provider"))
+    kept = kept.select(F.col(key).alias("id"), F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(provider).alias("p")).alias("r"))
+    counts = kept.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    own = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
+    # ids of many records are few: a small side is broadcast at run time, a skewed partition of a larger join is split
+    placed = kept.join(counts.select("id", blocks.alias("blocks")), "id").select("id", "r", own.alias("own"), "blocks")
+    each = placed.select("id", "r", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return each.select("id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r")
+
+
+def pair_up(flat: DataFrame, key: str = "id", name: str = "name", order: str = "position", provider: str = "provider", block: int = BLOCK) -> DataFrame:
+    """key, alt_name, alt_provider, base_name, base_provider for every two records of an id, in their order.
+
+    Blank names go first; ids with one record left, and records without id, give no pair. Records of one position go
+    by name and provider; equal records pair like others. An id's pairs are quadratic in its records, as they are the
+    result; the work is cut into triangles and rectangles of `block` records a side.
+    """
+    rows = dealt(flat, key, name, order, provider, block)
+    groups = rows.groupBy("id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("r", "own"))).alias("x"))
+    right = F.filter("x", lambda e: e.own == F.col("hi"))
+    first = groups.select("id", "lo", "hi", "x", right.alias("right"), F.posexplode("x").alias("i", "a"))
+    others = F.when(F.col("lo") == F.col("hi"), F.slice("x", F.col("i") + 2, F.size("x"))).when(F.col("a.own") == F.col("lo"), F.col("right"))
+    pairs = first.select("id", F.col("a.r").alias("a"), F.explode(others).alias("b")).select("id", "a", F.col("b.r").alias("b"))
+    pairs = pairs.select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select(F.col("id").alias(key), F.col("a.n").alias("alt_name"), F.col("a.p").alias("alt_provider"), F.col("b.n").alias("base_name"), F.col("b.p").alias("base_provider"))

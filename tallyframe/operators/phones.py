@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import nulls
 from tallyframe.functions.once import once
-from tallyframe.operators.profile import both_sides, medians, share_of, share_of_all
+from tallyframe.operators.order_stats import medians, percentiles
+from tallyframe.operators.profile import both_sides, share_of, share_of_all
 
 Rule = Callable[[Column, Column], Column]
 
@@ -136,6 +137,11 @@ def confidence_summary(df: DataFrame) -> DataFrame:
     return out.join(F.broadcast(medians(rows, ["conflict_class"], F.abs(a - b), "median_gap")), "conflict_class")  # five classes
 
 
+def confidence_percentiles(df: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per side and class: the confidences at shares of the rows."""
+    return percentiles(both_sides(classify(df), "confidence", "base_confidence", "conflict_class"), ["side", "conflict_class"], F.col("value"), shares)
+
+
 def confidence_detail(df: DataFrame) -> DataFrame:
     a, b = F.col("confidence"), F.col("base_confidence")
     open_rows = classify(df).where(F.col("conflict_class").isin("true_conflict", "alt_only", "base_only"))

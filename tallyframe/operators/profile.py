@@ -96,18 +96,6 @@ def distribution(df: DataFrame, by: list[str], within: list[str] | None = None)
     return share_of(counts, *within) if within else share_of_all(counts)
 
 
-def medians(df: DataFrame, by: list[str], value: Column, name: str = "median") -> DataFrame:
-    """The exact median of a value by group: values are counted before they are ordered, so a group costs its distinct
-    values and sorts them with spilling; null where a group has no value."""
-    counts = df.select(*by, value.cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_n"))
-    up = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    # the middle value, or the two middle ones: 1-based places (n + 1) div 2 and n div 2 + 1
-    at = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    return placed.groupBy(*by).agg(((F.max(F.when(at(low), F.col("_v"))) + F.max(F.when(at(high), F.col("_v")))) / 2).alias(name))
-
-
 def conform(df: DataFrame, defaults: dict, renames: dict[str, str] | None = None) -> DataFrame:
     """Inputs of many writers in one form: old names become new ones where the new one is missing, missing columns are
     added, and nulls filled, all with the defaults."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import json as js
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
-from tallyframe.operators import extra, golden, names, pairing, phones, profile, providers
+from tallyframe.operators import extra, golden, names, order_stats, pairing, phones, profile, providers
 from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
@@ -87,6 +87,13 @@ register(
     f"""{C} SELECT conflict_class, count(*) AS row_count, {PPM.format("avg(confidence)")} AS avg_alt, {PPM.format("avg(base_confidence)")} AS avg_base, {PPM.format("avg(confidence - base_confidence)")} AS avg_diff, {PPM.format("median(abs(confidence - base_confidence))")} AS median_gap,
 count(*) FILTER (WHERE confidence > base_confidence) AS alt_higher, count(*) FILTER (WHERE base_confidence > confidence) AS base_higher, count(*) FILTER (WHERE confidence = base_confidence) AS tied FROM c GROUP BY 1""",
 )
+_shares = {"p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+register(
+    "phone_conf_percentiles",
+    lambda s, d: phones.confidence_percentiles(phone_pairs(s, d), _shares),
+    f"{C}, v AS (SELECT 'alt' AS side, conflict_class, confidence AS x FROM c UNION ALL SELECT 'base', conflict_class, base_confidence FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY side, conflict_class ORDER BY x) AS k, count(*) OVER (PARTITION BY side, conflict_class) AS n FROM v) SELECT side, conflict_class, "
+    + ", ".join(f"max(CASE WHEN k = greatest(ceil(n * {p}::DOUBLE), 1) THEN x END) AS {name}" for name, p in _shares.items()) + " FROM r GROUP BY 1, 2",
+)
 register(
     "phone_conf_detail",
     lambda s, d: phones.confidence_detail(phone_pairs(s, d)),
@@ -264,6 +271,13 @@ def flat_records(s: SparkSession, d: str) -> DataFrame:
 
 
 register("pair_up", lambda s, d: pairing.pair_up(flat_records(s, d)), "WITH r AS (SELECT conv_id AS id, text AS name, turn, role FROM conversations WHERE trim(coalesce(text, '')) <> '') SELECT a.id, a.name AS alt_name, a.role AS alt_provider, b.name AS base_name, b.role AS base_provider FROM r a JOIN r b ON a.id = b.id AND a.turn < b.turn")
+# one id holds half of the records and more than a block
+_half = "CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE s_nationkey END"
+register(
+    "pair_up_hot",
+    lambda s, d: pairing.pair_up(s.read.parquet(f"{d}/supplier.parquet").select(F.expr(_half).cast("long").alias("id"), F.col("s_suppkey").alias("position"), F.col("s_name").alias("name"), F.lower("s_name").alias("provider")), block=16),
+    f"WITH r AS (SELECT CAST({_half} AS BIGINT) AS id, s_suppkey AS k, s_name AS n, lower(s_name) AS p FROM supplier) SELECT a.id, a.n AS alt_name, a.p AS alt_provider, b.n AS base_name, b.p AS base_provider FROM r a JOIN r b ON a.id = b.id AND a.k < b.k",
+)
 register("hash_sample_names", lambda s, d: ev.stratified(name_pairs(s, d), t.squeezed(F.lower("alt_name")) != t.squeezed(F.lower("base_name")), (160, 40), "names"), f"{N}, x AS (SELECT *, trim(regexp_replace(lower(alt_name), '\\s+', ' ', 'g')) <> trim(regexp_replace(lower(base_name), '\\s+', ' ', 'g')) AS c FROM np) SELECT * FROM (SELECT id, alt_name, base_name, 'conflict' AS sample_type FROM x WHERE c ORDER BY md5(concat(id, 'names')), id LIMIT 160) UNION ALL SELECT * FROM (SELECT id, alt_name, base_name, 'match' FROM x WHERE NOT c ORDER BY md5(concat(id, 'names')), id LIMIT 40)")
 
 # --- JSON -----------------------------------------------------------------------------------------
@@ -385,6 +399,8 @@ def both_parts(s: SparkSession, d: str) -> DataFrame:
 
 
 register("hash_split", both_parts, "SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.6 THEN 'train' ELSE 'test' END AS part FROM labels")
+_places = "SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id) AS k, floor(count(*) OVER () * 0.6::DOUBLE) AS t FROM labels"
+register("exact_split", lambda s, d: order_stats.exact_split(s.read.parquet(f"{d}/labels.parquet"), "doc_id", 0.6, 80, 0.75).select("doc_id", "part"), f"SELECT doc_id, CASE WHEN k > t THEN 'test' WHEN k > least(t, 80) THEN 'spare' WHEN k > floor(least(t, 80) * 0.75::DOUBLE) THEN 'tune' ELSE 'fit' END AS part FROM ({_places}) p")
 register("label_sanitizer", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", extra.sanitize(F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Business Type", "it is noise-ish", "LOCATION", "no idea"))), (F.col("event_id") % 4 + 1).cast("int")), F.lit(" "))).alias("label")), "SELECT event_id, list_extract(['business_type', 'noise', 'location', 'disambiguation'], CAST(event_id % 4 AS INT) + 1) AS label FROM events")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
-from tallyframe.operators import extra, names, pairing, phones, profile
+from tallyframe.operators import extra, names, order_stats, pairing, phones, profile
 from tallyframe.plans import registry
 from tallyframe.sources import files
 
@@ -40,7 +40,7 @@ def test_medians(spark):
 
     values = {"a": [1.0, 5.0, 2.0, 2.0], "b": [3.0], "c": [None, None], "d": [1.0, 2.0, 9.0, None]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
-    got = {r["k"]: r["median"] for r in profile.medians(df, ["k"], F.col("v")).collect()}
+    got = {r["k"]: r["median"] for r in order_stats.medians(df, ["k"], F.col("v")).collect()}
     assert got == {k: statistics.median(x) if (x := [v for v in vs if v is not None]) else None for k, vs in values.items()}
 
 
