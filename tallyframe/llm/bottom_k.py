@@ -9,7 +9,9 @@ A document's set holds the hashes of its shingles; equal sets are one class. Its
    one, and values that a large share of the corpus retains make no long lists.
 2. Estimates. Classes of one list that are not yet in one component (three rounds, as in the n-gram join:
    first holders, firsts of lists, the rest in blocks) are compared by size and by the union's sketch, the K
-   smallest hashes of both sketches: too few of them in both, again by that bound, rule a pair out.
+   smallest hashes of both sketches: too few of them in both, again by that bound, rule a pair out. Inside
+   blocks, where pairs are not yet rows, parities of the sets come first: they differ in no more places than
+   the sets in hashes, so they rule out what a sample of K must let pass, and never a link.
 3. What is left is compared on full sets, in integers; only documents of these pairs are read again.
 
 A link is lost only if a hash behaves worse than one draw in 1e15; the tests compare with brute force.
@@ -22,7 +24,6 @@ no component and kept null; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Cut, map_columns, table, text_of
-from tallyframe.llm.ngram_join import K1, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, shingle_sets, signed, verified
+from tallyframe.llm.ngram_join import K1, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, parity, parity_near, shingle_sets, signed, verified
 
 #: Hashes of a sketch.
 K = 64
@@ -60,23 +61,23 @@ def overlap(n: int, bound: Bound) -> int:
 
 
 def sketches(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
-    """doc_id, n, two sums that name the set, m = overlap(n) and the sketch."""
+    """doc_id, n, two sums that name the set, m = overlap(n), the sketch and the parity of the tokens on 512 places."""
 
     def run(ids: pa.Array, texts: pa.Array) -> list:
         rows = []
         for x in shingle_sets(texts, k):
             n = len(x)
-            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), signed(x[:K])))
+            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), signed(x[:K]), np.bitwise_xor.reduce(parity(x).reshape(4, -1), axis=0)))
         return [ids, *(list(c) for c in zip(*rows, strict=True))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<long>", rows=1000, raw=True)
+    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<long>, bits array<long>", rows=1000, raw=True)
 
 
 def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs (a, b) that sizes and the sketch of the union, from marks (id, n, bits), do not rule out."""
+    """Pairs (a, b) that sizes and the sketch of the union, from marks (id, n, s), do not rule out."""
     size = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
-    side = lambda x: marks.select(F.col("id").alias(x), F.col("bits").alias(f"s_{x}"))
+    side = lambda x: marks.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
     sized = pairs.join(size("b"), "b").join(size("a"), "a").where((bound.whole * F.col("n_a") >= bound.part * F.col("n_b")) & (bound.whole * F.col("n_b") >= bound.part * F.col("n_a")))
     both = sized.join(side("b"), "b").join(side("a"), "a")
     seen = both.withColumns({"common": F.array_intersect("s_a", "s_b"), "union": F.sort_array(F.array_union("s_a", "s_b"))})
@@ -87,29 +88,6 @@ def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
     return seen.where(enough).select("a", "b")
 
 
-def sketch_near(bound: Bound) -> Callable[[int, np.ndarray, np.ndarray, pa.ListArray], np.ndarray]:
-    """Which rows j of a group the sketch of the union with row i does not rule out: `estimated`, for many rows."""
-    least = least_of_sample(K, bound.part, bound.whole)
-
-    def near(i: int, j: np.ndarray, n: np.ndarray, marks: pa.ListArray) -> np.ndarray:
-        flat, ends = marks.flatten().to_numpy(), np.cumsum(marks.value_lengths().to_numpy())
-        held = np.diff(ends, prepend=0)
-        own = flat[ends[i] - held[i] : ends[i]]
-        at = np.minimum(ends[j] - held[j], len(flat) - 1)[:, None] + np.arange(K)
-        there = np.arange(K) < held[j][:, None]
-        x = flat[np.minimum(at, len(flat) - 1)]
-        below = np.searchsorted(own, x, side="right")
-        both = there & (own[np.maximum(below, 1) - 1] == x)
-        common = np.cumsum(both, axis=1)
-        place = np.arange(1, K + 1) + below - common  # in the union, from 1
-        enough = (both & (place <= K)).sum(axis=1) >= least
-        total = common[:, -1]
-        exact = bound.whole * total >= bound.part * (n[i] + n[j] - total)
-        return np.where((n[i] <= K) & (n[j] <= K), exact, enough)
-
-    return near
-
-
 def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame:
     """(id, component) of the class representatives that have links."""
     tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
@@ -118,14 +96,14 @@ def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, c
     sigs = cut(held.select(F.explode(F.slice(F.sort_array("l"), F.lit(1), F.size("l") - F.col("m") + 1)["t"]).alias("sig"), "id"))
     # the upper halves of the hashes, in their order: hashes are sorted without a sign
     upper = F.transform("prefix", lambda x: (F.shiftrightunsigned(x, 32) - F.lit(1 << 31)).cast("int"))
-    marks = cut(classes.join(sigs.select("id").distinct(), "id", "left_semi").select("id", "n", upper.alias("bits")))
+    marks = cut(classes.join(sigs.select("id").distinct(), "id", "left_semi").select("id", F.col("n").cast("int").alias("n"), "bits", upper.alias("s")))
 
     def link(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         few = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k).select("id", "h"))
         return verified(pairs, few, bound, cut)
 
-    out = linked_groups(sigs, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks, bound, sketch_near(bound)), link, cut)
+    out = linked_groups(sigs, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks.select("id", "n", "bits"), bound, parity_near(bound)), link, cut)
     cut.drop(marks)
     return out
 

@@ -374,9 +374,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, part: int = 80, whole: int =
     spark = ready(docs.sparkSession)
     cut, bound = Cut(spark), Bound(part, whole)
     wide = cut(prints_of(docs, k, bound))
-    prints = cut(wide.drop("prefix", "m"))
+    prints = cut(wide.select("doc_id", "fp_a", "fp_b", "n"))
     key = ["fp_a", "fp_b", "n"]
-    classes = cut(wide.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("m").alias("m")))
+    more = [c for c in wide.columns if c not in ("doc_id", *key)]
+    classes = wide.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by(F.struct(*more), "doc_id").alias("x"))
+    classes = cut(classes.select(*key, "id", "x.*"))
     cut.drop(wide)
     found = find(docs, classes, k, bound, cut)
     named = cut(classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")))

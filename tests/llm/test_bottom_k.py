@@ -56,25 +56,6 @@ def test_bound_of_a_sample():
     assert B.least_of_sample(64, 80, 100) > 15 and B.least_of_sample(256, 80, 100) > 140 and B.least_of_sample(64, 100, 100) == 64
 
 
-def test_union_sketches_in_groups_are_those_of_two_sets():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(6)
-    bound = J.Bound(80, 100)
-    pool = np.unique(rng.integers(-(1 << 31), 1 << 31, 400)).astype(np.int32)
-    sets = [np.sort(rng.choice(pool, size, replace=False)) for size in [1, 2, 5, 30, 50, 63, 64, 65, 80, 100, 300] * 4]
-    sets += [np.unique(np.where(rng.random(len(s)) < 0.1, rng.choice(pool, len(s)), s)) for s in sets]
-    n = np.asarray([len(s) for s in sets])
-    marks = pa.array([s[: B.K] for s in sets], pa.list_(pa.int32()))
-    near, least = B.sketch_near(bound), B.least_of_sample(B.K, 80, 100)
-    for i, x in enumerate(sets):
-        got = near(i, np.arange(len(sets)), n, marks)
-        for j, y in enumerate(sets):
-            both, union = np.intersect1d(x, y), np.union1d(x, y)
-            want = 100 * len(both) >= 80 * len(union) if max(len(x), len(y)) <= B.K else len(np.intersect1d(union[: B.K], both)) >= least
-            assert got[j] == want
-
-
 def test_nothing_and_rows_without_id(spark):
     assert B.near_duplicates(docs(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "A b\tC"), (3, None), (4, "")], "doc_id long, text string")
