@@ -1,7 +1,7 @@
 """Normalised forms of multilingual names as Column functions.
 
-Only the Unicode fold leaves the JVM: `fold` has an Arrow engine that is right for every script and a
-native engine for Latin text (precomposed letters and combining marks), which stays in generated code.
+`fold` decomposes and composes inside the JVM, with the Unicode library that Spark ships for its collations;
+its Arrow engine says the same with Python's tables and is what the tests compare with.
 """
 
 from __future__ import annotations
@@ -49,26 +49,19 @@ def _fold_arrow(s: pd.Series) -> pd.Series:
     return s.map(lambda x: fold_text(x) if isinstance(x, str) else None)
 
 
-def _latin() -> tuple[str, str, dict[str, str]]:
-    """From the Unicode tables: letters of U+00A0 to U+024F that fold to one character, and those that fold to more."""
-    one, many = {}, {}
-    for x in map(chr, range(0xA0, 0x250)):
-        y = fold_text(x)
-        if y != x:
-            (one if len(y) == 1 else many)[x] = y
-    return "".join(one), "".join(one.values()), many
+def _unicode(step: str, c: Column, compatible: bool) -> Column:
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(step), c, F.lit(compatible))
 
 
-_ONE, _TO, _MANY = _latin()
+def fold(c: Column, engine: str = "native") -> Column:
+    """Compatibility forms become plain ones, Latin marks go, everything else is composed again; plain ASCII passes untouched.
 
-
-def fold(c: Column, engine: str = "arrow") -> Column:
+    What stays of a decomposed text when marks go is still in canonical order, so one composition ends it.
+    """
     if engine == "arrow":
         return _fold_arrow(c)
-    out = F.translate(c, _ONE, _TO)
-    for x, y in _MANY.items():
-        out = F.replace(out, F.lit(x), F.lit(y))
-    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(out, f"[{MARKS}]", "")).otherwise(c)
+    plain = F.regexp_replace(_unicode("decompose", c, True), f"[{MARKS}]", "")
+    return F.when(c.rlike("[^\\x00-\\x7F]"), _unicode("compose", plain, False)).otherwise(c)
 
 
 def squeezed(c: Column) -> Column:
@@ -84,8 +77,12 @@ def l2(c: Column) -> Column:
     return squeezed(letters(F.lower(c)))
 
 
-def norm_compare(c: Column, engine: str = "arrow") -> Column:
-    return l2(fold(c, engine))
+def norm_compare(c: Column) -> Column:
+    return l2(fold(c))
+
+
+#: Katakana that have a hiragana of their own.
+KATAKANA = "[\u30A1-\u30F6]"
 
 
 def kata_to_hira(c: Column) -> Column:
@@ -99,24 +96,19 @@ def conjoined(c: Column) -> Column:
     return F.regexp_replace(outer, f"(?<= )({'|'.join(INNER_CONJUNCTIONS)})(?= )", "and")
 
 
-def norm_conj(c: Column, engine: str = "arrow") -> Column:
-    spaced = F.replace(F.lower(fold(c, engine)), F.lit("&"), F.lit(" and "))
+def norm_conj(c: Column) -> Column:
+    spaced = F.replace(F.lower(fold(c)), F.lit("&"), F.lit(" and "))
     return conjoined(squeezed(letters(spaced)))
 
 
-def americanised(c: Column, engine: str = "native") -> Column:
-    """Words with single spaces in American spelling. An Arrow column can't stand in a lambda, so there
-    each spelling is a replacement of its own."""
-    if engine == "arrow":
-        for british, american in SPELLING.items():
-            c = F.regexp_replace(c, f"(?<![^ ]){british}(?![^ ])", american)
-        return c
+def americanised(c: Column) -> Column:
+    """Words with single spaces in American spelling."""
     table = F.create_map(*[F.lit(x) for pair in SPELLING.items() for x in pair])
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
-def norm_spelling(c: Column, engine: str = "arrow") -> Column:
-    return americanised(norm_compare(c, engine), engine)
+def norm_spelling(c: Column) -> Column:
+    return americanised(norm_compare(c))
 
 
 def nospace(c: Column) -> Column:

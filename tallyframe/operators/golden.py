@@ -5,6 +5,8 @@ All rules are expressions over per-side scores; scores are computed once per sid
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +114,8 @@ def casing_score(c: Column) -> Column:
 
 
 def with_scores(df: DataFrame, where: Column | None = None) -> DataFrame:
-    """Adds the scores of both names, each computed once; null for rows that do not meet `where`."""
+    """Adds the scores of both names, each computed once; null for rows that do not meet `where`. Casing, the dearest,
+    is scored where the scores before it decide nothing, and null elsewhere."""
     out = {}
     for s in ("alt", "base"):
         c = F.col(f"{s}_name")
@@ -129,9 +132,10 @@ def with_scores(df: DataFrame, where: Column | None = None) -> DataFrame:
             f"{s}_number": c.rlike("\\s[0-9]+\\s*$"),
             f"{s}_small": c.rlike("(?<![A-Za-z])[a-z]{4,}(?![A-Za-z])"),
             f"{s}_title": c.rlike("(?<![A-Za-z])[A-Z][A-Za-z]{3,}"),
-            f"{s}_casing": casing_score(c),
         }
-    return once(df, {k: c if where is None else F.when(where, c) for k, c in out.items()})
+    df = once(df, {k: c if where is None else F.when(where, c) for k, c in out.items()})
+    tied = reduce(lambda x, y: x & y, [~F.coalesce(test, F.lit(False)) for test, _ in before_casing()], F.lit(True) if where is None else where)
+    return once(df, {f"{s}_casing": F.when(tied, casing_score(F.col(f"{s}_name"))) for s in ("alt", "base")})
 
 
 def chosen(side: str, reason: str) -> Column:
@@ -139,26 +143,28 @@ def chosen(side: str, reason: str) -> Column:
     return F.struct(name.alias("name"), F.lit(side).alias("source"), F.lit(reason).alias("reason"))
 
 
-def select_normalized() -> Column:
-    """The better written of two equivalent names: struct of name, source and reason. Needs with_scores()."""
-    steps: list[tuple[Column, Column]] = []
+def more(form: str, reason: str) -> list[tuple[Column, Column]]:
+    return [(F.col(f"{a}_{form}") > F.col(f"{b}_{form}"), chosen(a, reason)) for a, b in (("alt", "base"), ("base", "alt"))]
 
-    def more(form: str, reason: str) -> None:
-        for a, b in (("alt", "base"), ("base", "alt")):
-            steps.append((F.col(f"{a}_{form}") > F.col(f"{b}_{form}"), chosen(a, reason)))
 
-    for form, reason in (("brand", "branded_casing"), ("apos", "has_apostrophe"), ("acc", "has_accents"), ("dot", "has_nakaguro")):
-        more(form, reason)
+def before_casing() -> list[tuple[Column, Column]]:
+    """The tests that come before casing, in order, with what each selects."""
+    steps = [step for form, reason in (("brand", "branded_casing"), ("apos", "has_apostrophe"), ("acc", "has_accents"), ("dot", "has_nakaguro")) for step in more(form, reason)]
     for a, b in (("alt", "base"), ("base", "alt")):
         steps.append(((F.col(f"{a}_periods") > 0) & (F.col(f"{b}_periods") == 0), chosen(a, "has_periods")))
     for a, b in (("alt", "base"), ("base", "alt")):
         steps.append(((F.col("alt_periods") > 0) & (F.col("base_periods") > 0) & (F.col(f"{a}_tight") > F.col(f"{a}_loose")) & (F.col(f"{b}_loose") > F.col(f"{b}_tight")), chosen(a, "compact_abbreviation")))
-    more("dash", "has_compound_dash")
+    steps += more("dash", "has_compound_dash")
     for few, many in (("alt", "base"), ("base", "alt")):
         fewer = F.col(f"{few}_spaces") < F.col(f"{many}_spaces")
         steps.append((fewer & F.col(f"{many}_number") & ~F.col(f"{few}_number"), chosen(many, "prefer_spaced_number")))
         steps.append((fewer & ~(F.col(f"{few}_small") & F.col(f"{many}_title")), chosen(few, "prefer_compound")))
-    more("casing", "better_casing")
+    return steps
+
+
+def select_normalized() -> Column:
+    """The better written of two equivalent names: struct of name, source and reason. Needs with_scores()."""
+    steps = before_casing() + more("casing", "better_casing")
     for a, b in (("alt", "base"), ("base", "alt")):
         steps.append((F.length(f"{a}_name") < F.length(f"{b}_name"), chosen(a, "shorter")))
     out = F.when(*steps[0])
@@ -191,9 +197,20 @@ def conflict_type() -> Column:
     return F.when(a.isNull() | b.isNull(), "different").when(a == b, "agreement").when(F.lower(a) == F.lower(b), "casing").when(equal, "normalized").when(inside, "subset").otherwise("different")
 
 
-def golden(df: DataFrame, engine: str = "arrow") -> DataFrame:
+def typed(df: DataFrame) -> DataFrame:
+    """Adds the forms and conflict_type, and selects nothing."""
+    return once(with_forms(df), {"conflict_type": conflict_type()})
+
+
+def golden_subsets(df: DataFrame) -> DataFrame:
+    """The rows of golden() whose one name holds the other, without scoring how names are written."""
+    out = once(typed(df).where("conflict_type = 'subset'"), {"_subset": select_subset()})
+    return out.select(*df.columns, "conflict_type", F.col("_subset.name").alias("golden_name"), F.col("_subset.source").alias("golden_source"), F.concat(F.lit("subset:"), F.col("_subset.reason")).alias("golden_reason"), F.col("_subset.extra").alias("extra_content"))
+
+
+def golden(df: DataFrame) -> DataFrame:
     """Adds conflict_type, golden_name, golden_source, golden_reason and extra_content."""
-    out = once(with_forms(df, engine), {"conflict_type": conflict_type()})
+    out = typed(df)
     kind = F.col("conflict_type")
     written = kind.isin("casing", "normalized")
     out = with_scores(out, written)
@@ -206,5 +223,5 @@ def golden(df: DataFrame, engine: str = "arrow") -> DataFrame:
     return out.select(*df.columns, "conflict_type", F.col("_golden.name").alias("golden_name"), F.col("_golden.source").alias("golden_source"), F.col("_golden.reason").alias("golden_reason"), F.when(kind == "subset", F.col("_subset.extra")).otherwise("").alias("extra_content"))
 
 
-def golden_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    return share_of_all(golden(df, engine).groupBy("conflict_type", "golden_source", "golden_reason").agg(F.count("*").alias("row_count")))
+def golden_summary(df: DataFrame) -> DataFrame:
+    return share_of_all(golden(df).groupBy("conflict_type", "golden_source", "golden_reason").agg(F.count("*").alias("row_count")))

@@ -26,20 +26,21 @@ PLAIN_SUFFIX = r",?\s+(llc|l\.l\.c\.|inc|inc\.|corp|corp\.|ltd|ltd\.|co\.|compan
 SIDES = ("alt", "base")
 
 
-def with_forms(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    """Adds {alt,base}_{nc,ns,conj,spell,sorted,hira} and typo: the forms that the classes compare, each computed once."""
+def with_forms(df: DataFrame) -> DataFrame:
+    """Adds {alt,base}_{nc,ns,conj,spell,sorted,hira} and typo: the forms that the classes compare, each computed once.
+
+    Names with text whose first form is equal are decided by it: their later forms are null.
+    """
     name = lambda s, form: F.col(f"{s}_{form}")
     both = lambda form: {f"{s}_{k}": c for s in SIDES for k, c in form(s).items()}
-    if engine == "arrow":
-        out = df.withColumns(both(lambda s: {"fold": t.fold(name(s, "name"), engine)}))
-        out = out.withColumns(both(lambda s: {"kana": t.fold(t.kata_to_hira(name(s, "fold")), engine)}))
-    else:  # Latin text has no kana
-        out = once(df, both(lambda s: {"fold": t.fold(name(s, "name"), engine)}))
+    out = once(df, both(lambda s: {"fold": t.fold(name(s, "name"))}))
+    out = once(out, both(lambda s: {"nc": t.l2(name(s, "fold"))}))
+    is_open = ~F.coalesce((F.col("alt_nc") == F.col("base_nc")) & (F.length("alt_nc") > 0), F.lit(False))
     amp = lambda s: t.squeezed(t.letters(F.replace(F.lower(f"{s}_fold"), F.lit("&"), F.lit(" and "))))
-    hira = lambda s: t.l2(name(s, "kana")) if engine == "arrow" else t.kata_to_hira(t.l2(name(s, "fold")))
-    out = once(out, both(lambda s: {"nc": t.l2(name(s, "fold")), "conj": t.conjoined(amp(s)), "hira": hira(s)}))
-    forms = both(lambda s: {"ns": t.nospace(name(s, "nc")), "spell": t.americanised(name(s, "nc")), "sorted": t.sorted_tokens(name(s, "nc"))})
-    return once(out, forms | {"typo": t.is_typo(F.col("alt_nc"), F.col("base_nc"))}).drop(*[f"{s}_{k}" for s in SIDES for k in ("fold", "kana")])
+    kana = lambda s: F.when(name(s, "fold").rlike(t.KATAKANA), t.l2(t.fold(t.kata_to_hira(name(s, "fold"))))).otherwise(name(s, "nc"))
+    forms = both(lambda s: {"conj": t.conjoined(amp(s)), "hira": kana(s), "spell": t.americanised(name(s, "nc")), "sorted": t.sorted_tokens(name(s, "nc"))})
+    out = once(out, both(lambda s: {"ns": t.nospace(name(s, "nc"))}) | {k: F.when(is_open, c) for k, c in forms.items()})
+    return once(out, {"typo": t.is_typo(F.col("alt_nc"), F.col("base_nc"))}).drop("alt_fold", "base_fold")
 
 
 def same(form: str, spaced: bool = True) -> Column:
@@ -86,10 +87,10 @@ def subset_tags() -> Column:
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
 
 
-def classified(df: DataFrame, engine: str = "arrow") -> DataFrame:
+def classified(df: DataFrame) -> DataFrame:
     """Adds tier1 and tier2 (an array of tags, empty where the class has none); agreement rows are left out."""
     apart = df.where(F.col("alt_name").isNull() | F.col("base_name").isNull() | (F.col("alt_name") != F.col("base_name")))
-    out = once(with_forms(apart, engine), {"tier1": tier1()})
+    out = once(with_forms(apart), {"tier1": tier1()})
     tier, none = F.col("tier1"), F.array().cast("array<string>")
     tags = F.when(tier == "normalization_equivalent", equivalence_tags()).when(tier == "subset", subset_tags()).otherwise(none)
     rest = F.when(tier == "subset", "descriptor").when(F.col("typo"), "typo").otherwise("minor_variant")
@@ -146,43 +147,38 @@ def casing(a: Column, b: Column) -> Column:
     return F.when((x == "caps") & (y != "caps"), "alt_all_caps").when((y == "caps") & (x != "caps"), "base_all_caps").when((x == "lower") & (y != "lower"), "alt_all_lower").when((y == "lower") & (x != "lower"), "base_all_lower").when((x == "mixed") & (y == "mixed"), "both_mixed").otherwise("same_extreme")
 
 
-def casing_patterns(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    only = classified(df, engine).where("tier1 = 'casing_only'")
+def casing_patterns(df: DataFrame) -> DataFrame:
+    only = classified(df).where("tier1 = 'casing_only'")
     return share_of_all(only.groupBy(casing(F.col("alt_name"), F.col("base_name")).alias("pattern")).agg(F.count("*").alias("row_count")))
 
 
-def tier1_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    return share_of_all(classified(df, engine).groupBy("tier1").agg(F.count("*").alias("row_count")))
+def tier1_summary(df: DataFrame) -> DataFrame:
+    return share_of_all(classified(df).groupBy("tier1").agg(F.count("*").alias("row_count")))
 
 
-def tag_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    return classified(df, engine).select("tier1", F.explode("tier2").alias("tag")).groupBy("tier1", "tag").agg(F.count("*").alias("row_count"))
+def tag_summary(df: DataFrame) -> DataFrame:
+    return classified(df).select("tier1", F.explode("tier2").alias("tag")).groupBy("tier1", "tag").agg(F.count("*").alias("row_count"))
 
 
 STAGES = ("S0_raw", "S1_casing", "S2_unicode", "S3_punctuation", "S4_spacing", "S5_conjunction", "S6_spelling", "S7_script", "S8_reorder")
 
 
-def with_stages(df: DataFrame, profile: str = "full", engine: str = "arrow") -> DataFrame:
+def with_stages(df: DataFrame, profile: str = "full") -> DataFrame:
     """Adds {alt,base}_s0 to _s8: the forms S0 to S8 of both names. 'scale' strips '&' before it could become a word,
-    folds y and e at the ends too, joins words before spelling is looked up, and turns kana last."""
+    folds y and e at the ends too, joins words before spelling is looked up, and turns kana last. S8 is S7 where that is
+    equal on both sides, else its characters sorted."""
     stage = lambda s, k: F.col(f"{s}_s{k}")
     add = lambda make: {f"{s}_{k}": c for s in SIDES for k, c in make(s).items()}
     low = lambda s: {"s0": F.coalesce(f"{s}_name", F.lit("")), "s1": F.lower(F.coalesce(f"{s}_name", F.lit("")))}
-    folds = {"s2": lambda s: t.fold(stage(s, 1), engine)}
-    if profile == "full" and engine == "arrow":
-        folds["kana"] = lambda s: t.fold(F.lower(t.kata_to_hira(stage(s, 0))), engine)
     out = once(df, add(low))
-    folded = {f"{s}_{k}": make(s) for s in SIDES for k, make in folds.items()}
-    out = out.withColumns(folded) if engine == "arrow" else once(out, folded)
+    out = once(out, add(lambda s: {"s2": t.fold(stage(s, 1))}))
     plain = lambda c: t.squeezed(t.letters(c))
     if profile == "full":
         spaced = lambda c: t.conjoined(plain(F.replace(c, F.lit("&"), F.lit(" and "))))
-        kana = (lambda s: {"k": spaced(F.col(f"{s}_kana"))}) if engine == "arrow" else (lambda s: {})
-        out = once(out, add(lambda s: {"s3": plain(stage(s, 2)), "c": spaced(stage(s, 2)), **kana(s)}))
-        joined = lambda s: {"s4": t.nospace(stage(s, 3)), "s5": t.nospace(F.col(f"{s}_c")), "s6": t.nospace(t.americanised(F.col(f"{s}_c")))}
-        out = once(out, add(joined))
-        # Latin text has no kana, so S7 is S6 there
-        out = once(out, add(lambda s: {"s7": t.nospace(t.americanised(F.col(f"{s}_k"))) if engine == "arrow" else stage(s, 6)}))
+        out = once(out, add(lambda s: {"s3": plain(stage(s, 2)), "c": spaced(stage(s, 2))}))
+        out = once(out, add(lambda s: {"s4": t.nospace(stage(s, 3)), "s5": t.nospace(F.col(f"{s}_c")), "s6": t.nospace(t.americanised(F.col(f"{s}_c")))}))
+        kana = lambda s: t.nospace(t.americanised(spaced(t.fold(F.lower(t.kata_to_hira(stage(s, 0)))))))
+        out = once(out, add(lambda s: {"s7": F.when(stage(s, 0).rlike(t.KATAKANA), kana(s)).otherwise(stage(s, 6))}))  # without katakana S7 is S6
     else:
         one = lambda c: F.regexp_replace(c, f"(?<![^ ])({'|'.join(t.CONJUNCTIONS + t.INNER_CONJUNCTIONS)})(?![^ ])", "and")
         table = F.create_map(*[F.lit(x) for pair in t.SPELLING.items() for x in pair])
@@ -190,7 +186,8 @@ def with_stages(df: DataFrame, profile: str = "full", engine: str = "arrow") ->
         out = once(out, add(lambda s: {"s4": t.nospace(stage(s, 3)), "s5": t.nospace(one(stage(s, 3)))}))
         out = once(out, add(lambda s: {"s6": F.coalesce(F.try_element_at(table, stage(s, 5)), stage(s, 5))}))
         out = once(out, add(lambda s: {"s7": t.kata_to_hira(stage(s, 6))}))
-    return once(out, add(lambda s: {"s8": t.sorted_chars(stage(s, 7))})).select(*df.columns, *[f"{s}_s{k}" for s in SIDES for k in range(len(STAGES))])
+    last = F.col("alt_s7") == F.col("base_s7")  # equal forms stay equal when sorted, and need not be
+    return once(out, add(lambda s: {"s8": F.when(last, stage(s, 7)).otherwise(t.sorted_chars(stage(s, 7)))})).select(*df.columns, *[f"{s}_s{k}" for s in SIDES for k in range(len(STAGES))])
 
 
 def first_equal() -> Column:
@@ -198,13 +195,13 @@ def first_equal() -> Column:
     return F.coalesce(*[F.when(F.col(f"alt_s{k}") == F.col(f"base_s{k}"), k) for k in range(len(STAGES))])
 
 
-def staircase(df: DataFrame, profile: str = "full", engine: str = "arrow") -> DataFrame:
+def staircase(df: DataFrame, profile: str = "full") -> DataFrame:
     """stage, conflicts, total, rate, improvement.
 
     full: every stage counts on its own, and S9 takes typos off what S8 leaves. scale: a row that a
     stage resolves stays resolved.
     """
-    both = with_stages(df, profile, engine)
+    both = with_stages(df, profile)
     apart = [F.col(f"alt_s{k}") != F.col(f"base_s{k}") for k in range(len(STAGES))]
     if profile == "scale":
         apart = [reduce(lambda x, y: x & y, apart[: k + 1]) for k in range(len(STAGES))]
@@ -219,9 +216,9 @@ def staircase(df: DataFrame, profile: str = "full", engine: str = "arrow") -> Da
     return rows.select("stage", "conflicts", F.col("n").alias("total"), (F.col("conflicts") / F.when(F.col("n") > 0, F.col("n"))).alias("rate"), better.alias("improvement"))
 
 
-def scale_summary(df: DataFrame, engine: str = "arrow") -> DataFrame:
+def scale_summary(df: DataFrame) -> DataFrame:
     """Outcome of all pairs in the scale profile: what resolves, and of the rest subset, typo or different."""
-    rows = with_stages(df, "scale", engine)
+    rows = with_stages(df, "scale")
     first, a3, b3 = first_equal(), F.col("alt_s3"), F.col("base_s3")
     inside = F.contains(a3, b3) | F.contains(b3, a3)  # empty is inside anything here
     outcome = F.when(first == 0, "agreement").when(first.isNotNull(), "resolved").when(inside, "subset").when(t.is_typo(a3, b3), "typo").otherwise("different")
@@ -241,9 +238,9 @@ def inflation(outcomes: DataFrame) -> DataFrame:
 TIER_ORDER = ("genuinely_different", "subset", "normalization_equivalent", "casing_only")
 
 
-def conflict_export(df: DataFrame, engine: str = "arrow") -> DataFrame:
+def conflict_export(df: DataFrame) -> DataFrame:
     """Disagreements with their labels for review: by class, the greatest difference of length first, then by id."""
-    rows = classified(df, engine).select("id", "alt_name", "base_name", "tier1", F.array_join("tier2", "|").alias("tags"), F.abs(F.length("alt_name") - F.length("base_name")).cast("long").alias("length_gap"))
+    rows = classified(df).select("id", "alt_name", "base_name", "tier1", F.array_join("tier2", "|").alias("tags"), F.abs(F.length("alt_name") - F.length("base_name")).cast("long").alias("length_gap"))
     rank = F.coalesce(*[F.when(F.col("tier1") == name, k) for k, name in enumerate(TIER_ORDER)])
     return rows.orderBy(rank, F.desc_nulls_last("length_gap"), "id")
 

@@ -18,8 +18,6 @@ from tallyframe.streaming import labels as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: The pair fixture holds Latin text only, for which the native fold is right (see the tests).
-ENGINE = "native"
 
 
 def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -200,15 +198,19 @@ def form_query(form: str, spark_form: Callable[[Column], Column], sql: str) -> N
     register(form, run, f"{N} SELECT id, {sql.format('alt_name')} AS alt_form, {sql.format('base_name')} AS base_form FROM np")
 
 
-form_query("name_norm_compare", lambda c: t.norm_compare(c, ENGINE), NC)
-form_query("name_norm_conj", lambda c: t.norm_conj(c, ENGINE), CONJ.replace("{0}", AMP))
-form_query("name_norm_spelling", lambda c: t.norm_spelling(c, ENGINE), SPELL.replace("{0}", NC))
-form_query("name_sorted_tokens", lambda c: t.sorted_tokens(t.norm_compare(c, ENGINE)), TOKENS.replace("{0}", NC))
-register("name_fold_arrow", lambda s, d: name_pairs(s, d).select("id", t.fold(F.col("alt_name")).alias("alt_form"), t.fold(F.col("base_name")).alias("base_form")), f"{N} SELECT id, strip_accents(alt_name) AS alt_form, strip_accents(base_name) AS base_form FROM np")
-register("name_typo", lambda s, d: names.with_forms(name_pairs(s, d), ENGINE).select("id", "typo"), f"{FORMS} SELECT id, typo FROM f")
-register("name_subset", lambda s, d: names.with_forms(name_pairs(s, d), ENGINE).select("id", t.is_subset(F.col("alt_nc"), F.col("base_nc")).alias("inside")), f"{FORMS} SELECT id, {SUBSET.format(a='a_nc', b='b_nc')} AS inside FROM f")
-register("name_tier1", lambda s, d: names.classified(name_pairs(s, d), ENGINE).select("id", "tier1"), f"{T} SELECT id, tier1 FROM t1")
-register("name_tier1_summary", lambda s, d: names.tier1_summary(name_pairs(s, d), ENGINE), f"{T} SELECT tier1, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM t1 GROUP BY 1")
+form_query("name_norm_compare", lambda c: t.norm_compare(c), NC)
+form_query("name_norm_conj", lambda c: t.norm_conj(c), CONJ.replace("{0}", AMP))
+form_query("name_norm_spelling", lambda c: t.norm_spelling(c), SPELL.replace("{0}", NC))
+form_query("name_sorted_tokens", lambda c: t.sorted_tokens(t.norm_compare(c)), TOKENS.replace("{0}", NC))
+register("name_fold_arrow", lambda s, d: name_pairs(s, d).select("id", t.fold(F.col("alt_name"), "arrow").alias("alt_form"), t.fold(F.col("base_name"), "arrow").alias("base_form")), f"{N} SELECT id, strip_accents(alt_name) AS alt_form, strip_accents(base_name) AS base_form FROM np")
+# words of several scripts after each name, and what their fold is
+_scripts = {"ｶﾞｰﾃﾞﾝ": "ガーデン", "ＡＢＣ①": "ABC1", "ﬁﬂ": "fifl", "\u1112\u1161\u11ab\u1100\u116e\u11a8": "한국", "ห้อง": "ห้อง", "ハ\u309aン": "パン", "Й\u0301": "И", "ệ": "e", "㍿": "株式会社", "日本": "日本"}
+_case = lambda xs: "CASE CAST(CAST(substr(id, -1, 1) AS INT) AS INT) " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(xs)) + " END"
+register("name_fold_scripts", lambda s, d: name_pairs(s, d).select("id", t.fold(F.concat("alt_name", F.lit(" "), F.expr(_case(_scripts)))).alias("form")), f"{N} SELECT id, concat(strip_accents(alt_name), ' ', {_case(_scripts.values())}) AS form FROM np")
+register("name_typo", lambda s, d: names.with_forms(name_pairs(s, d)).select("id", "typo"), f"{FORMS} SELECT id, typo FROM f")
+register("name_subset", lambda s, d: names.with_forms(name_pairs(s, d)).select("id", t.is_subset(F.col("alt_nc"), F.col("base_nc")).alias("inside")), f"{FORMS} SELECT id, {SUBSET.format(a='a_nc', b='b_nc')} AS inside FROM f")
+register("name_tier1", lambda s, d: names.classified(name_pairs(s, d)).select("id", "tier1"), f"{T} SELECT id, tier1 FROM t1")
+register("name_tier1_summary", lambda s, d: names.tier1_summary(name_pairs(s, d)), f"{T} SELECT tier1, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM t1 GROUP BY 1")
 _suffix = names.BIZ_SUFFIX
 _long = "CASE WHEN length(a_nc) >= length(b_nc) THEN {0} ELSE {1} END"
 _x = {"l": _long.format("alt_name", "base_name"), "s": _long.format("base_name", "alt_name"), "ln": _long.format("a_nc", "b_nc"), "sn": _long.format("b_nc", "a_nc")}
@@ -224,7 +226,7 @@ n AS (SELECT id, tier1, typo, list_filter([CASE WHEN la <> lb AND (da <> la OR d
  list_filter([CASE WHEN {_only(names.BRACKETS)} THEN 'parenthetical' END, CASE WHEN {_only(_suffix)} THEN 'biz_suffix' END, CASE WHEN {_only(names.SEO)} THEN 'seo_junk' END,
  CASE WHEN regexp_matches(more, '{_jp}') OR regexp_matches(more, '(?i)\\b(branch|store|outlet|location|mall|plaza|center|centre)\\b') THEN 'branch_suffix' END, CASE WHEN regexp_matches(more, '{names.FACILITY}') THEN 'facility_suffix' END], lambda z: z IS NOT NULL) AS sub FROM h),
 tags AS (SELECT tier1, unnest(CASE WHEN tier1 = 'normalization_equivalent' THEN CASE WHEN len(eq) > 0 THEN eq WHEN typo THEN ['typo'] ELSE ['minor_variant'] END WHEN tier1 = 'subset' THEN CASE WHEN len(sub) > 0 THEN sub ELSE ['descriptor'] END ELSE [] END) AS tag FROM n)"""
-register("name_subtags", lambda s, d: names.tag_summary(name_pairs(s, d), ENGINE), f"{TAGS} SELECT tier1, tag, count(*) AS row_count FROM tags GROUP BY 1, 2")
+register("name_subtags", lambda s, d: names.tag_summary(name_pairs(s, d)), f"{TAGS} SELECT tier1, tag, count(*) AS row_count FROM tags GROUP BY 1, 2")
 FLAGS = f"""{N}, v AS (SELECT id, 'alt' AS side, alt_name AS c FROM np UNION ALL SELECT id, 'base', base_name FROM np),
 w AS (SELECT id, side, {I.format("length(c)")} AS chars, {I.format("len(string_split(trim(c), ' '))")} AS words, c = replace(upper(c), 'ẞ', 'SS') AND c <> lower(c) AS all_caps, c = lower(c) AND c <> upper(c) AS all_lower, regexp_matches(c, '[\\s#-]+[0-9]{{3,}}\\s*$') AS trailing_number,
 regexp_matches(lower(c), '{names.PLAIN_SUFFIX}') AS biz_suffix, regexp_matches(c, '{names.SEO}') AS seo, len(string_split(trim(c), ' ')) > 8 AS excessive FROM v WHERE c IS NOT NULL)"""
@@ -233,7 +235,7 @@ register("name_structure", lambda s, d: names.structure_summary(name_pairs(s, d)
 register("name_len_dist", lambda s, d: names.length_distribution(name_pairs(s, d)), f"{FLAGS} SELECT side, CASE WHEN chars <= 5 THEN '1-5' WHEN chars <= 10 THEN '6-10' WHEN chars <= 20 THEN '11-20' WHEN chars <= 30 THEN '21-30' WHEN chars <= 50 THEN '31-50' ELSE '>50' END AS bucket, count(*) AS row_count, count(*) / (sum(count(*)) OVER (PARTITION BY side))::DOUBLE AS ratio FROM w GROUP BY 1, 2")
 register("name_wordcount_dist", lambda s, d: names.word_distribution(name_pairs(s, d)), f"{FLAGS} SELECT side, words, count(*) AS row_count, count(*) / (sum(count(*)) OVER (PARTITION BY side))::DOUBLE AS ratio FROM w GROUP BY 1, 2")
 _kind = "CASE WHEN {0} = replace(upper({0}), 'ẞ', 'SS') AND {0} <> lower({0}) THEN 'caps' WHEN {0} = lower({0}) AND {0} <> upper({0}) THEN 'lower' ELSE 'mixed' END"
-register("name_casing", lambda s, d: names.casing_patterns(name_pairs(s, d), ENGINE), f"{T}, k AS (SELECT {_kind.format('alt_name')} AS x, {_kind.format('base_name')} AS y FROM t1 WHERE tier1 = 'casing_only') SELECT CASE WHEN x = 'caps' AND y <> 'caps' THEN 'alt_all_caps' WHEN y = 'caps' AND x <> 'caps' THEN 'base_all_caps' WHEN x = 'lower' AND y <> 'lower' THEN 'alt_all_lower' WHEN y = 'lower' AND x <> 'lower' THEN 'base_all_lower' WHEN x = 'mixed' AND y = 'mixed' THEN 'both_mixed' ELSE 'same_extreme' END AS pattern, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM k GROUP BY 1")
+register("name_casing", lambda s, d: names.casing_patterns(name_pairs(s, d)), f"{T}, k AS (SELECT {_kind.format('alt_name')} AS x, {_kind.format('base_name')} AS y FROM t1 WHERE tier1 = 'casing_only') SELECT CASE WHEN x = 'caps' AND y <> 'caps' THEN 'alt_all_caps' WHEN y = 'caps' AND x <> 'caps' THEN 'base_all_caps' WHEN x = 'lower' AND y <> 'lower' THEN 'alt_all_lower' WHEN y = 'lower' AND x <> 'lower' THEN 'base_all_lower' WHEN x = 'mixed' AND y = 'mixed' THEN 'both_mixed' ELSE 'same_extreme' END AS pattern, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM k GROUP BY 1")
 
 _low = "lower({0})"
 _s2 = "strip_accents(lower({0}))"
@@ -259,10 +261,10 @@ def _stairs_sql(forms: list[str], profile_name: str) -> str:
 SELECT stage, conflicts, total, conflicts / nullif(total, 0)::DOUBLE AS rate, CASE WHEN lag(conflicts) OVER (ORDER BY o) = 0 THEN 0.0::DOUBLE ELSE (lag(conflicts) OVER (ORDER BY o) - conflicts) / (lag(conflicts) OVER (ORDER BY o))::DOUBLE END AS improvement FROM r"""
 
 
-register("name_staircase_full", lambda s, d: names.staircase(name_pairs(s, d), "full", ENGINE), _stairs_sql(_full, "full"))
-register("name_staircase_scale", lambda s, d: names.staircase(name_pairs(s, d), "scale", ENGINE), _stairs_sql(_scale, "scale"))
+register("name_staircase_full", lambda s, d: names.staircase(name_pairs(s, d), "full"), _stairs_sql(_full, "full"))
+register("name_staircase_scale", lambda s, d: names.staircase(name_pairs(s, d), "scale"), _stairs_sql(_scale, "scale"))
 _eq = " OR ".join([f"{f.format('alt_name')} = {f.format('base_name')}" for f in _scale[1:]] + [f"{CHARS.format(_s6_scale).format('alt_name')} = {CHARS.format(_s6_scale).format('base_name')}"])
-register("scale_summary", lambda s, d: names.scale_summary(name_pairs(s, d), ENGINE), f"{N}, f AS (SELECT *, {_s3.format('alt_name')} AS a, {_s3.format('base_name')} AS b FROM np), o AS (SELECT CASE WHEN alt_name = base_name THEN 'agreement' WHEN {_eq} THEN 'resolved' WHEN contains(a, b) OR contains(b, a) THEN 'subset' WHEN {TYPO.format(a='a', b='b')} THEN 'typo' ELSE 'different' END AS outcome FROM f) SELECT outcome, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM o GROUP BY 1")
+register("scale_summary", lambda s, d: names.scale_summary(name_pairs(s, d)), f"{N}, f AS (SELECT *, {_s3.format('alt_name')} AS a, {_s3.format('base_name')} AS b FROM np), o AS (SELECT CASE WHEN alt_name = base_name THEN 'agreement' WHEN {_eq} THEN 'resolved' WHEN contains(a, b) OR contains(b, a) THEN 'subset' WHEN {TYPO.format(a='a', b='b')} THEN 'typo' ELSE 'different' END AS outcome FROM f) SELECT outcome, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM o GROUP BY 1")
 
 
 def flat_records(s: SparkSession, d: str) -> DataFrame:
@@ -335,16 +337,16 @@ q AS (SELECT id, CASE WHEN length(a_ns) <= length(b_ns) THEN alt_name ELSE base_
 x AS (SELECT *, trim(CASE WHEN strpos(ln, sn) > 0 THEN substr(ln, 1, strpos(ln, sn) - 1) || substr(ln, strpos(ln, sn) + length(sn)) ELSE ln END) AS ex FROM q),
 y AS (SELECT *, CASE WHEN ex <> '' THEN ex ELSE replace(ln, ' ', '') END AS extra, trim(regexp_replace(trim(regexp_replace(sh, '\\s*[\\(（【\\[].*?[\\)）】\\]]', '', 'g')), '\\s*\\|.*$', '')) AS bare FROM x),
 z AS (SELECT *, CASE WHEN length(bare) <= 6 OR len({_words("bare")}) <= 1 THEN 'short_name_too_generic' WHEN list_has_any({_words("extra")}, {_biz}) THEN 'has_business_type' ELSE 'prefer_core_name' END AS reason FROM y)"""
-register("conflict_type_summary", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).groupBy("conflict_type").agg(F.count("*").alias("row_count")), f"{FORMS}, ct AS (SELECT {CT} AS conflict_type FROM f) SELECT conflict_type, count(*) AS row_count FROM ct GROUP BY 1")
-register("golden_subset_rules", lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", "golden_name", "golden_source", "golden_reason", "extra_content"), f"{SUB} SELECT id, CASE WHEN reason = 'prefer_core_name' THEN sh ELSE lo END AS golden_name, CASE WHEN (reason = 'prefer_core_name') = alt_short THEN 'alt' ELSE 'base' END AS golden_source, 'subset:' || reason AS golden_reason, extra AS extra_content FROM z")
-register("golden_summary", lambda s, d: golden.golden_summary(name_pairs(s, d), ENGINE))
+register("conflict_type_summary", lambda s, d: golden.typed(name_pairs(s, d)).groupBy("conflict_type").agg(F.count("*").alias("row_count")), f"{FORMS}, ct AS (SELECT {CT} AS conflict_type FROM f) SELECT conflict_type, count(*) AS row_count FROM ct GROUP BY 1")
+register("golden_subset_rules", lambda s, d: golden.golden_subsets(name_pairs(s, d)).select("id", "golden_name", "golden_source", "golden_reason", "extra_content"), f"{SUB} SELECT id, CASE WHEN reason = 'prefer_core_name' THEN sh ELSE lo END AS golden_name, CASE WHEN (reason = 'prefer_core_name') = alt_short THEN 'alt' ELSE 'base' END AS golden_source, 'subset:' || reason AS golden_reason, extra AS extra_content FROM z")
+register("golden_summary", lambda s, d: golden.golden_summary(name_pairs(s, d)))
 _set = lambda c: f"regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+')"
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(words)) + "]"
 _title = "upper(substr(w, 1, 1)) || substr(w, 2)"
 _own = f"list_filter({_set('extra')}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$'))"
 register(
     "extra_rule_classify",
-    lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", extra.rule_label(F.col("extra_content"), F.when(F.length("alt_name") <= F.length("base_name"), F.col("base_name")).otherwise(F.col("alt_name"))).alias("label")),
+    lambda s, d: golden.golden_subsets(name_pairs(s, d)).select("id", extra.rule_label(F.col("extra_content"), F.when(F.length("alt_name") <= F.length("base_name"), F.col("base_name")).otherwise(F.col("alt_name"))).alias("label")),
     f"{SUB} SELECT id, CASE WHEN list_has_any({_set('extra')}, {_list(extra.NOISE)}) OR regexp_matches(extra, '#[0-9]{{3,}}') THEN 'noise' WHEN list_has_any({_set('extra')}, {_list(extra.BIZ_FULL)}) THEN 'business_type' WHEN len({_own}) BETWEEN 1 AND 4 AND len(list_filter({_own}, lambda w: list_contains({_set('CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END')}, {_title}))) / len({_own})::DOUBLE >= 0.6 THEN 'location' ELSE 'disambiguation' END AS label FROM z",
 )
 _prep = extra.PREPOSITION.replace("(?iu)", "(?i)")
@@ -352,11 +354,11 @@ _nouns = f"list_filter(list_filter({_set('extra')}, lambda w: regexp_matches(w,
 _scan = f"{SUB}, m AS (SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z), o AS (SELECT id, len(list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})) AS n_biz, CASE WHEN regexp_matches(extra, '{_prep}') THEN 'spatial_prep' WHEN regexp_matches(extra, '{extra.SEPARATED}') THEN 'sep_cap' WHEN len({_nouns}) > 0 THEN 'proper_noun:' || list_extract({_nouns}, 1) END AS location FROM m)"
 register(
     "compound_scan",
-    lambda s, d: extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", "kind", "location", F.size("biz").cast("long").alias("n_biz")),
+    lambda s, d: extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", "kind", "location", F.size("biz").cast("long").alias("n_biz")),
     _scan + " SELECT id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN 'candidate' WHEN n_biz > 0 THEN 'biz_only' ELSE 'none' END AS kind, location, CAST(n_biz AS BIGINT) AS n_biz FROM o",
 )
 register("faithfulness", lambda s, d: name_pairs(s, d).select("id", extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("latin")).alias("faithful"), extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("cjk")).alias("by_character")), f"{N} SELECT id, len(list_filter({_words('''regexp_replace(lower(base_name), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(alt_name), w))) = 0 AS faithful, len(list_filter(string_split(base_name, ''), lambda c: trim(c) <> '' AND NOT contains(alt_name, c))) = 0 AS by_character FROM np")
-register("relation_router", lambda s, d: extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")), f"{_scan}, fa AS (SELECT id, len(list_filter({_words('''regexp_replace(lower(CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END), w))) = 0 AS faithful FROM z) SELECT o.id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN CASE WHEN faithful THEN 'construct' ELSE 'abstain_unfaithful' END ELSE 'keep_shorter' END AS action FROM o JOIN fa ON o.id = fa.id")
+register("relation_router", lambda s, d: extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")), f"{_scan}, fa AS (SELECT id, len(list_filter({_words('''regexp_replace(lower(CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END), w))) = 0 AS faithful FROM z) SELECT o.id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN CASE WHEN faithful THEN 'construct' ELSE 'abstain_unfaithful' END ELSE 'keep_shorter' END AS action FROM o JOIN fa ON o.id = fa.id")
 _marks = {k: p for k, p in t.MARK_CLASSES.items()} | {"any_mark": "|".join(t.MARK_CLASSES.values())}
 register("unicode_audit", lambda s, d: name_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"), f"{N} SELECT id, " + ", ".join(f"regexp_matches(alt_name, '{p}') AS {k}" for k, p in _marks.items()) + " FROM np")
 
@@ -369,10 +371,10 @@ def marked_pairs(s: SparkSession, d: str) -> DataFrame:
 MARKED = NAME_PAIRS.rstrip().removesuffix("FROM d") + ", CASE kind WHEN 0 THEN 'ガーデン' WHEN 1 THEN 'パン' WHEN 2 THEN 'ห้อง' WHEN 3 THEN 'ゃ' WHEN 4 THEN '한국' WHEN 5 THEN '日本' ELSE '' END AS extra FROM d"
 MARKED = f"SELECT id, concat(alt_name, ' ', extra) AS alt_name, CASE WHEN extra IN ('ガーデン', '한국') THEN base_name ELSE concat(base_name, extra) END AS base_name FROM ({MARKED}) q"
 register("unicode_summary", lambda s, d: names.unicode_summary(marked_pairs(s, d)), f"WITH np AS ({MARKED}), w AS (" + " UNION ALL ".join(f"SELECT '{k}' AS mark, count(*) FILTER (WHERE regexp_matches(alt_name, '{p}')) AS alt_rows, count(*) FILTER (WHERE regexp_matches(base_name, '{p}')) AS base_rows, count(*) FILTER (WHERE regexp_matches(alt_name, '{p}') OR regexp_matches(base_name, '{p}')) AS either_rows, count(*) AS total_rows FROM np" for k, p in _marks.items()) + ") SELECT *, either_rows / nullif(total_rows, 0)::DOUBLE AS ratio FROM w")
-register("conflict_export", lambda s, d: names.conflict_export(name_pairs(s, d), ENGINE).select("id", "alt_name", "base_name", "tier1", "length_gap"), f"{T} SELECT id, alt_name, base_name, tier1, CAST(abs(length(alt_name) - length(base_name)) AS BIGINT) AS length_gap FROM t1")
+register("conflict_export", lambda s, d: names.conflict_export(name_pairs(s, d)).select("id", "alt_name", "base_name", "tier1", "length_gap"), f"{T} SELECT id, alt_name, base_name, tier1, CAST(abs(length(alt_name) - length(base_name)) AS BIGINT) AS length_gap FROM t1")
 register("agreement_export", lambda s, d: names.agreement_export(name_pairs(s, d)), f"{N} SELECT id, alt_name AS name, CASE WHEN alt_name = '' THEN 'empty' WHEN alt_name = lower(alt_name) AND alt_name = replace(upper(alt_name), 'ẞ', 'SS') THEN 'no_case' WHEN alt_name = lower(alt_name) THEN 'lower' WHEN alt_name = replace(upper(alt_name), 'ẞ', 'SS') THEN 'caps' ELSE 'mixed' END AS label FROM np WHERE alt_name = base_name")
 register("top_values", lambda s, d: profile.top_values(s.read.parquet(f"{d}/documents.parquet"), "source"), "SELECT source, count(*) AS row_count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 15")
-register("inflation", lambda s, d: names.inflation(names.scale_summary(name_pairs(s, d), ENGINE)), ORACLE_SQL["scale_summary"].replace("SELECT outcome, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM o GROUP BY 1", "SELECT count(*) FILTER (WHERE outcome <> 'agreement') AS raw_conflicts, count(*) FILTER (WHERE outcome = 'different') AS different, round(count(*) FILTER (WHERE outcome <> 'agreement') / greatest(count(*) FILTER (WHERE outcome = 'different'), 1)::DOUBLE, 1) AS inflation FROM o"))
+register("inflation", lambda s, d: names.inflation(names.scale_summary(name_pairs(s, d))), ORACLE_SQL["scale_summary"].replace("SELECT outcome, count(*) AS row_count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS ratio FROM o GROUP BY 1", "SELECT count(*) FILTER (WHERE outcome <> 'agreement') AS raw_conflicts, count(*) FILTER (WHERE outcome = 'different') AS different, round(count(*) FILTER (WHERE outcome <> 'agreement') / greatest(count(*) FILTER (WHERE outcome = 'different'), 1)::DOUBLE, 1) AS inflation FROM o"))
 
 
 # --- evaluation: votes are three fixed functions of the labels ------------------------------------
@@ -413,7 +415,7 @@ def _predicted(s: SparkSession, d: str) -> DataFrame:
     return ev.predict(name_pairs(s, d).select("id", "alt_name"), rule, "id string, predicted string")
 
 
-_found = lambda s, d: golden.golden(name_pairs(s, d), ENGINE).where("conflict_type = 'subset'").select("id", "extra_content")
+_found = lambda s, d: golden.golden_subsets(name_pairs(s, d)).select("id", "extra_content")
 _has = lambda words: f"list_has_any(string_split(lower(extra), ' '), {_list(words)})"
 register("rule_predictor", lambda s, d: ev.predict(_found(s, d), extra.rule_predictor, "id string, predicted string"), f"{SUB} SELECT id, CASE WHEN {_has(extra.NOISE)} THEN 'noise' WHEN {_has(extra.BIZ_FULL)} THEN 'business_type' ELSE 'disambiguation' END AS predicted FROM z")
 register("model_adapter", _predicted, f"{N} SELECT id, CASE WHEN length(alt_name) > 30 THEN 'long' ELSE 'short' END AS predicted FROM np")
@@ -455,5 +457,5 @@ register("nested_split", lambda s, d: ev.nested_split(s.read.parquet(f"{d}/label
 register("conformed", lambda s, d: profile.conform(s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.expr("nullif(toxic, 0)").alias("actual")), {"correct_answer": -1, "note": ""}, {"actual": "correct_answer"}), "SELECT doc_id, coalesce(CAST(nullif(toxic, 0) AS INTEGER), -1) AS correct_answer, '' AS note FROM labels")
 register("latency", lambda s, d: ev.latency(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("double").alias("latency_s"))).select(ppm("rows_per_min").alias("rows_per_min"), ppm("mean_s").alias("mean_s"), "min_s", "max_s"), f"SELECT {PPM.format('60 * count(*) / sum(l_linenumber)::DOUBLE')} AS rows_per_min, {PPM.format('avg(l_linenumber::DOUBLE)')} AS mean_s, min(l_linenumber)::DOUBLE AS min_s, max(l_linenumber)::DOUBLE AS max_s FROM lineitem")
 register("sessions", lambda s, d: stream.sessions(s.read.parquet(f"{d}/events.parquet")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "row_count"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS row_count FROM n GROUP BY user_id, k")
-register("known_candidates", lambda s, d: extra.known(extra.compound_scan(golden.golden(name_pairs(s, d), ENGINE)).select("id", "short_name", "long_name"), name_pairs(s, d).where("substr(id, -2, 1) IN ('1', '2', '3')").select(F.upper("alt_name").alias("short_name"), F.col("base_name").alias("long_name"))).select("id", "is_known"), f"{SUB}, m AS (SELECT id, CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END AS s, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS l FROM z), k AS (SELECT DISTINCT lower(trim(replace(upper(alt_name), 'ẞ', 'SS'))) AS ks, lower(trim(base_name)) AS kl FROM np WHERE substr(id, -2, 1) IN ('1', '2', '3')) SELECT id, ks IS NOT NULL AS is_known FROM m LEFT JOIN k ON lower(trim(s)) = ks AND lower(trim(l)) = kl")
+register("known_candidates", lambda s, d: extra.known(extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", "short_name", "long_name"), name_pairs(s, d).where("substr(id, -2, 1) IN ('1', '2', '3')").select(F.upper("alt_name").alias("short_name"), F.col("base_name").alias("long_name"))).select("id", "is_known"), f"{SUB}, m AS (SELECT id, CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END AS s, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS l FROM z), k AS (SELECT DISTINCT lower(trim(replace(upper(alt_name), 'ẞ', 'SS'))) AS ks, lower(trim(base_name)) AS kl FROM np WHERE substr(id, -2, 1) IN ('1', '2', '3')) SELECT id, ks IS NOT NULL AS is_known FROM m LEFT JOIN k ON lower(trim(s)) = ks AND lower(trim(l)) = kl")
 register("event_label_counts", lambda s, d: stream.label_counts(s.read.parquet(f"{d}/events.parquet"), F.col("event_type")), "SELECT date_trunc('hour', ts) AS start, event_type AS label, count(*) AS row_count FROM events GROUP BY 1, 2")

@@ -123,11 +123,11 @@ def test_scores_of_words(spark):
 def test_summary_of_the_fixture(spark):
     """golden_summary row by row: the classes that the oracle SQL checks, with reasons from the plain rules."""
     want = Counter()
-    for r in G.golden(name_pairs(spark, SF), "native").collect():
+    for r in G.golden(name_pairs(spark, SF)).collect():
         kind = r["conflict_type"]
         if kind in ("casing", "normalized"):
             source, reason = select(r["alt_name"], r["base_name"])
             assert (r["golden_source"], r["golden_reason"]) == (source, f"{kind}:{reason}"), (r["alt_name"], r["base_name"])
         want[kind, r["golden_source"], r["golden_reason"]] += 1
-    got = G.golden_summary(name_pairs(spark, SF), "native").collect()
+    got = G.golden_summary(name_pairs(spark, SF)).collect()
     assert {(r["conflict_type"], r["golden_source"], r["golden_reason"]): r["row_count"] for r in got} == want
