@@ -4,10 +4,10 @@ A linear model is trained with numpy from confirmed toxic documents (P) and unla
 class-prior-corrected risk  prior*E_P[l(g)] + max(0, E_U[l(-g)] - prior*E_P[l(-g)]):  where the
 bracket turns negative, that step is taken against it. Words enter as presence in BUCKETS hashed
 places. U is every document that training may see, whatever its number: one pass counts in how many of
-them each word of P occurs, words whose share in P differs from that in U (SCREEN standard errors) stay,
-documents are reduced to these words and equal ones are counted, and each training step sums its
-gradient over that table in the cluster. A soft threshold keeps weights of words that tell nothing at
-zero. The samples of labelled rows are bounded (SAMPLE_P, SAMPLE_C: the first by a hash of the id); the
+them each place occurs, all places whose share in P differs from that in U by SCREEN standard errors stay,
+documents are reduced to these and equal ones are counted, and each training step sums its gradient over
+that table in the cluster, in integers, so that the model is the same on any number of partitions. A soft
+threshold keeps weights of words that tell nothing at zero. The samples of labelled rows are bounded (SAMPLE_P, SAMPLE_C: the first by a hash of the id); the
 class prior comes from all training labels. Scores are computed for every whole text.
 
 Cases: null and empty texts have no words and score the base rate; labels that are null are no labels;
@@ -35,9 +35,11 @@ BUCKETS = 1 << BITS
 SAMPLE_P = 4_000
 SAMPLE_C = 4_000
 THRESHOLD = 0.7
-#: Standard errors by which a word's share in P must differ from that in U, and the most words that stay.
+#: Standard errors by which a word's share in P must differ from that in U, and how often P must show a word that speaks for it.
 SCREEN = 3.0
-WORDS = 4096
+LEAST = 3
+#: Sums are taken of integers in this unit.
+UNIT = float(1 << 30)
 STEPS, RATE = 28, 0.35
 STRIP = " .,;:!?\"'()[]*#$%&-"
 
@@ -75,8 +77,23 @@ def featurise(docs: DataFrame, *keep: str) -> DataFrame:
     return map_columns(docs.select("doc_id", *keep, text_of(docs).alias("text")), run, f"{schema}, buckets array<int>", raw=True)
 
 
+def reduced(docs: DataFrame, places: np.ndarray, *keep: str) -> DataFrame:
+    """Kept columns and, of each whole text (the last column), the sorted numbers of the places that it has."""
+    number = np.full(BUCKETS, -1, np.int32)
+    number[places] = np.arange(len(places))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+
+    def run(*columns: pa.Array) -> list:
+        owner, bucket = presence(columns[-1])
+        at = number[bucket]
+        return [*columns[:-1], arrays_of(owner[at >= 0], at[at >= 0], len(columns[-1]))]
+
+    return map_columns(docs.select(*keep, "text"), run, f"{schema}at array<int>", raw=True)
+
+
 class Sparse:
     """Rows of distinct buckets in compressed form, over the buckets seen in training only."""
+
     def __init__(self, rows: list, places: np.ndarray):
         sizes = [len(r) for r in rows]
         flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if rows else np.empty(0, np.int64)
@@ -84,11 +101,18 @@ class Sparse:
         hit = (at < len(places)) & (places[np.minimum(at, max(0, len(places) - 1))] == flat) if len(places) else np.zeros(len(flat), bool)
         self.owner, self.at, self.n = np.repeat(np.arange(len(rows)), sizes)[hit], at[hit], len(rows)
 
+    def some(self, rows: np.ndarray) -> Sparse:
+        """The rows that are marked."""
+        out, number = object.__new__(Sparse), np.cumsum(rows) - 1
+        hit = rows[self.owner]
+        out.owner, out.at, out.n = number[self.owner[hit]], self.at[hit], int(rows.sum())
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.at], minlength=self.n)
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.at, g[self.owner], minlength=width)
+        return np.bincount(self.at, np.rint(g[self.owner] * UNIT), minlength=width) / UNIT
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,7 +141,7 @@ class Listed:
         """Sums over all rows: loss of calling them negative, its gradient by weights and by bias."""
         g = self.u.dot(w) + b
         d = sigmoid(g)
-        return np.logaddexp(0, g).sum(), self.u.back(d, len(w)), d.sum()
+        return np.rint(np.logaddexp(0, g) * UNIT).sum() / UNIT, self.u.back(d, len(w)), np.rint(d * UNIT).sum() / UNIT
 
 
 class Spread:
@@ -128,6 +152,7 @@ class Spread:
 
     def shares(self, places: np.ndarray) -> np.ndarray:
         """In how many documents each place occurs: every task sends a number for each place at most."""
+        places = places.astype(np.int64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(BUCKETS, np.int64), 0
@@ -147,68 +172,69 @@ class Spread:
 
     def narrow(self, places: np.ndarray) -> None:
         """Reduces documents to these places and counts equal ones."""
-        number = np.full(BUCKETS, -1, np.int32)
-        number[places] = np.arange(len(places))
-
-        def run(texts: pa.Array) -> list:
-            owner, bucket = presence(texts)
-            at = number[bucket]
-            return [arrays_of(owner[at >= 0], at[at >= 0], len(texts))]
-
-        patterns = map_columns(self.docs, run, "at array<int>", raw=True)
+        patterns = reduced(self.docs, places)
         self.u = self.cut(patterns.groupBy("at").agg(F.count("*").alias("n")))
 
     def step(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grad, loss, bias = np.zeros(len(w)), 0.0, 0.0
+            grad, loss, bias = np.zeros(len(w), np.int64), 0, 0
+            whole = lambda x: np.rint(x).astype(np.int64)
             for batch in batches:
-                lists, n = batch["at"], batch["n"].to_numpy().astype(np.float64)
-                at, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                g = np.bincount(owner, w[at], minlength=len(n)) + b
-                d = sigmoid(g) * n
-                grad += np.bincount(at, d[owner], minlength=len(w))
-                loss, bias = loss + float((np.logaddexp(0, g) * n).sum()), bias + float(d.sum())
+                for lo, k in slices(batch.columns, 4000):
+                    part = batch.slice(lo, k)
+                    lists, n = part["at"], part["n"].to_numpy()
+                    at, owner = lists.flatten().to_numpy(), np.repeat(np.arange(k), lists.value_lengths().to_numpy())
+                    g = np.bincount(owner, w[at], minlength=k) + b
+                    d = whole(sigmoid(g) * UNIT) * n
+                    np.add.at(grad, at, d[owner])
+                    loss, bias = loss + int((whole(np.logaddexp(0, g) * UNIT) * n).sum()), bias + int(d.sum())
             hit = np.flatnonzero(grad)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, [-1, -2]).astype(np.int32)), pa.array(np.append(grad[hit], [loss, bias]))], ["at", "x"])
 
-        rows = self.u.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        at, x = rows["at"].to_numpy(), rows["x"].to_numpy()
+        sums = self.u.mapInArrow(run, "at int, x long").groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).cast("double").alias("x"))
+        rows = sums.toArrow()
+        at, x = rows["at"].to_numpy(), rows["x"].to_numpy() / UNIT
         grad = np.zeros(len(w))
         grad[at[at >= 0]] = x[at >= 0]
         return float(x[at == -1].sum()), grad, float(x[at == -2].sum())
 
 
-def train_nnpu(rows_p: list, unlabelled: list | Listed | Spread, prior: float, steps: int = STEPS, rate: float = RATE, z: float = 2.0, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias) of the linear model; full-batch Adam with soft thresholding.
+def screened(counts: np.ndarray, n_p: int, shares: np.ndarray, n_u: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, share in U) of the words whose shares in P and U differ by SCREEN standard errors."""
+    q = (shares + 1.0) / (n_u + 2)
+    p = counts / n_p
+    apart = np.abs(p - q) / np.sqrt(q * (1 - q) * (1 / n_p + 1 / max(1, n_u)))
+    places = np.flatnonzero((apart >= SCREEN) & ((p < q) | (counts >= min(LEAST, n_p))))
+    return places, q[places]
+
+
+def train_nnpu(rows_p: list, unlabelled: list, prior: float, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias) of the linear model, from rows of buckets at hand."""
+    every, p, u = np.arange(BUCKETS), Listed(rows_p), Listed(unlabelled)
+    places, q = screened(p.shares(every), p.n, u.shares(every), u.n)
+    u.narrow(places)
+    return places, *descended(Sparse(rows_p, places), u, prior, q, steps, rate)
+
+
+def descended(p: Sparse, u: Listed | Spread, prior: float, q: np.ndarray, steps: int = STEPS, rate: float = RATE, z: float = 2.0) -> tuple[np.ndarray, float]:
+    """(weights, bias) by full-batch Adam with soft thresholding.
 
     A word's threshold is z standard errors of its pull on the risk under chance, so words that are as
     common in U as in P stay at zero whether P holds thirty documents or thousands.
     """
-    u = Listed(unlabelled) if isinstance(unlabelled, list) else unlabelled
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in rows_p:
-        counts[np.asarray(r, dtype=np.int64)] += 1
-    places = np.flatnonzero(counts >= min(least, max(1, len(rows_p))))
-    q = u.shares(places) + 1.0
-    q /= u.n + 2
-    apart = np.abs(counts[places] / len(rows_p) - q) / np.sqrt(q * (1 - q) * (1 / len(rows_p) + 1 / max(1, u.n)))
-    best = np.sort(np.argsort(-apart, kind="stable")[:WORDS])
-    best = best[apart[best] >= SCREEN]
-    places, q = places[best], q[best]
-    u.narrow(places)
-    p, n_u = Sparse(rows_p, places), max(1, u.n)
+    n_u, width = max(1, u.n), len(q)
     sparsity = z * prior * np.sqrt(q * (1 - q) * (1 / p.n + 1 / n_u))
-    w, b = np.zeros(len(places)), float(np.log(prior / (1 - prior + 1e-9)))
-    m, v, mb, vb = np.zeros(len(places)), np.zeros(len(places)), 0.0, 0.0
+    w, b = np.zeros(width), float(np.log(prior / (1 - prior + 1e-9)))
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
         g_p = p.dot(w) + b
         loss, grad, grad_b = u.step(w, b)
-        d_p = sigmoid(g_p) / p.n
-        if loss / n_u - prior * np.logaddexp(0, g_p).mean() >= 0:
-            up, sign = np.full(p.n, -prior / p.n), 1.0  # l'(g) - l'(-g) is -1 for the logistic loss
+        d_p = sigmoid(g_p)
+        if loss / n_u - prior * exact_mean(np.logaddexp(0, g_p)) >= 0:
+            up, sign = np.full(p.n, -prior), 1.0  # l'(g) - l'(-g) is -1 for the logistic loss
         else:  # the corrected part is negative: step against it
             up, sign = prior * d_p, -1.0
-        grad, grad_b = p.back(up, len(places)) + sign * grad / n_u, up.sum() + sign * grad_b / n_u
+        grad, grad_b = p.back(up, width) / p.n + sign * grad / n_u, exact_mean(up) + sign * grad_b / n_u
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -217,11 +243,18 @@ def train_nnpu(rows_p: list, unlabelled: list | Listed | Spread, prior: float, s
         w = w - scale * m / c1
         w = np.sign(w) * np.maximum(0, np.abs(w) - scale * sparsity)
         b -= pace * mb / c1 / (np.sqrt(vb / c2) + 1e-4)
-    return places, w, b
+    return w, b
+
+
+def exact_mean(x: np.ndarray) -> float:
+    """The mean in whole units: the same in any order."""
+    return float(np.rint(x * UNIT).sum() / UNIT / len(x))
 
 
 def calibrate(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve from raw scores to chances (Newton's method, smoothed targets)."""
+    order = np.lexsort((y, g))  # sums of doubles depend on it
+    g, y = g[order], y[order]
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, c = 1.0, 0.0
@@ -262,17 +295,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     in_p, in_c = first_by_hash(seen.where("toxic = 1"), SAMPLE_P).select("doc_id", mark("in_p")), first_by_hash(seen, SAMPLE_C).select("doc_id", mark("in_c"))
     # the samples are bounded by the parameters above, so their ids can be broadcast
     ids = F.broadcast(cut(seen.join(in_p, "doc_id", "left").join(in_c, "doc_id", "left").where("in_p OR in_c")))
-    labelled = featurise(plain.join(ids, "doc_id"), "toxic", "in_p", "in_c").collect()
-    positive = [r["buckets"] for r in labelled if r["in_p"]]
-    if not positive:
+    labelled = cut(plain.join(ids, "doc_id").select("toxic", F.coalesce("in_p", F.lit(False)).alias("in_p"), F.coalesce("in_c", F.lit(False)).alias("in_c"), "text"))
+    every = np.arange(BUCKETS)
+    confirmed = Spread(labelled.where("in_p"), cut)
+    counts = confirmed.shares(every)
+    if not confirmed.n:
         return nothing
     prior = n_p / n
     free = Spread(plain.where(F.coalesce(crc_mod3(F.col("doc_id")), F.lit(0)) != 1), cut)
-    places, w, b = train_nnpu(positive, free, prior)
-    cut.drop(free.u)
-    sample = [r for r in labelled if r["in_c"]] or labelled
-    g = Sparse([r["buckets"] for r in sample], places).dot(w) + b
-    a, c = calibrate(g, np.asarray([r["toxic"] for r in sample]))
+    places, q = screened(counts, confirmed.n, free.shares(every), free.n)
+    free.narrow(places)
+    # of the labelled sample the driver gets the screened places only, as Arrow arrays
+    rows = reduced(labelled, places, "toxic", "in_p", "in_c").toArrow().combine_chunks()
+    lists = rows["at"].combine_chunks()
+    sample = object.__new__(Sparse)
+    sample.n, sample.at = rows.num_rows, lists.flatten().to_numpy().astype(np.int64)
+    sample.owner = np.repeat(np.arange(sample.n), lists.value_lengths().to_numpy())
+    toxic, in_p, in_c = (np.asarray(rows[c].to_pylist()) for c in ("toxic", "in_p", "in_c"))
+    w, b = descended(sample.some(in_p), free, prior, q)
+    cut.drop(free.u, labelled)
+    known = in_c if in_c.any() else np.ones(len(in_c), bool)
+    a, c = calibrate(sample.some(known).dot(w) + b, toxic[known])
     keep = np.flatnonzero(w)
     return {"weights": dict(zip(places[keep].tolist(), w[keep].tolist(), strict=True)), "bias": float(b), "slope": a, "intercept": c, "prior": prior}
 
