@@ -2,11 +2,12 @@
 
 Each table turns a unit vector by a fast pseudo-rotation (three rounds of random signs and a Walsh-
 Hadamard transform) and takes the nearest signed axis; as many such functions are joined (the last on
-fewer coordinates) as make the wanted number of buckets, n / TARGET at most. Queries probe, per table,
-the buckets with the least distance to the next axes, PROBES at least. Fixed numbers would lose
-neighbours as n grows, so both numbers are fitted on every table: SAMPLE queries are searched exactly, and the
-cheapest buckets and probes that find GOAL of their neighbours are taken; all vectors are looked at where
-hashing saves nothing, and for queries that found fewer than asked. Candidates are ranked by
+fewer coordinates) as make the wanted number of buckets. Queries probe, per table, the buckets with the
+least distance to the next axes. Fixed numbers would lose neighbours as n grows, so tables, buckets and
+probes are fitted on every table: SAMPLE queries are compared with all vectors, and of the settings that
+find GOAL of their neighbours the cheapest is taken, a vector's move to its bucket, a query's to a probed
+bucket and a distance having fixed costs. Every table of vectors is hashed; only queries that found fewer
+than asked are compared with all vectors, in blocks. Candidates are ranked by
 the exact Euclidean distance of the original vectors in double precision, inside their buckets: a bucket
 is dealt into groups of about CHUNK vectors and BLOCK queries that all meet each other, so neither a hot
 bucket nor a hot vector meets in one task and no pairs
@@ -23,28 +24,31 @@ than ten give fewer rows; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from tallyframe.llm.common import Cut, map_columns, ready, table
+from tallyframe.llm.common import Cut, map_columns, ready, slices, table
 
-TABLES = 12
-PROBES = 8
+#: Settings that are weighed: numbers of tables, buckets from LEAST_BUCKETS to n / TARGET, at most MOST probes a table.
+TABLES = (1, 2, 4, 8)
+LEAST_BUCKETS = 16
 TARGET = 200
+MOST = 128
 #: Vectors and queries of a bucket that meet in one group.
 CHUNK = 4096
 BLOCK = 1024
 NEAREST = 10
-#: Share of the true neighbours of SAMPLE queries that buckets and probes are fitted to; most probes a table.
+#: Share of the true neighbours of SAMPLE queries that the settings are fitted to.
 GOAL = 0.95
 SAMPLE = 100
-MOST = 128
-MOVE = 1000
+#: Distances that moving a row to a bucket costs.
+MOVE = 500
 SALTS = 16
 
 
@@ -62,7 +66,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """The functions of all tables for vectors of one width; made anew from the seed on every executor."""
 
-    def __init__(self, width: int, buckets: int, tables: int = TABLES, seed: int = 5):
+    def __init__(self, width: int, buckets: int, tables: int = 1, seed: int = 5):
         self.width, self.tables = width, tables
         self.padded = 1 << max(0, (width - 1).bit_length())
         rng = np.random.default_rng(seed)
@@ -115,6 +119,11 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return groups.select(F.element_at("ids", 1).alias("entry"), F.slice("ids", 1, keep).alias("ids"), "vector")
 
 
+def vectors_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
 def search(index: DataFrame, wanted: DataFrame, hashes: Hashes, probes: int, k: int, cut: Cut) -> DataFrame:
     """query_id, rank, vec_id, entry, score: the k nearest among what the probed buckets of each query hold."""
     tables, width = hashes.tables, hashes.width
@@ -139,11 +148,11 @@ def search(index: DataFrame, wanted: DataFrame, hashes: Hashes, probes: int, k:
     inside = placed.join(sizes, ["t", "code"]).join(index, "entry").select("entry", "ids", "vector", "t", "code", part("entry", "chunks").alias("chunk"), each("blocks").alias("block"))
     outside = asked.join(sizes, ["t", "code"]).join(wanted, "query_id").select("query_id", "vector", "t", "code", part("query_id", "blocks").alias("block"), each("chunks").alias("chunk"))
 
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            x, v = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (left, right))
-            ids, entries, asks = left["ids"].tolist(), left["entry"].tolist(), right["query_id"].tolist()
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            x, v = (vectors_of(side["vector"], width) for side in (left, right))
+            ids, entries, asks = left["ids"].to_pylist(), left["entry"].to_pylist(), right["query_id"].to_pylist()
             last = min(k, len(x) - 1)
             xx, vv = (x**2).sum(axis=1), (v**2).sum(axis=1)
             for lo in range(0, len(v), 64):
@@ -157,10 +166,11 @@ def search(index: DataFrame, wanted: DataFrame, hashes: Hashes, probes: int, k:
                     q = asks[lo + i]
                     best = sorted((s, int(c), entries[j]) for s, j in zip(d.tolist(), near.tolist()) for c in ids[j] if c != q)[:k]
                     found += [(q, c, e, s) for s, c, e in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "entry", "score"]).astype({"query_id": "int64", "vec_id": "int64", "entry": "int64", "score": "float64"})
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "entry", "score"])
 
     key = ["t", "code", "chunk", "block"]
-    near = inside.groupBy(*key).cogroup(outside.groupBy(*key)).applyInPandas(rerank, "query_id long, vec_id long, entry long, score double")
+    near = inside.groupBy(*key).cogroup(outside.groupBy(*key)).applyInArrow(rerank, "query_id long, vec_id long, entry long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min(F.struct("score", "entry")).alias("b")).select("query_id", "vec_id", "b.entry", "b.score")
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "entry", "score")
@@ -175,58 +185,70 @@ def depths(hashes: Hashes, asks: np.ndarray, owner: np.ndarray, x: np.ndarray, m
     return out
 
 
-def fitted(index: DataFrame, wanted: DataFrame, width: int, n: int, k: int, tables: int, probes: int, target: int, cut: Cut) -> tuple[Hashes, int]:
-    """Hashes and probes that find the share GOAL of the true neighbours of SAMPLE queries at the least cost.
+def neighbours_of_sample(index: DataFrame, asks: np.ndarray, k: int) -> DataFrame:
+    """q (the number of the query), vector, score: the k nearest entries other than itself of at most SAMPLE queries.
 
-    The neighbours of the sample are searched exactly. Where buckets of n / target rows want more than MOST
-    probes, or many, larger buckets are weighed against them; where probing would look at as many vectors as
-    there are, all are looked at.
+    The queries go to every task, and each task sends its k nearest of each.
     """
-    whole = Hashes(width, 1, 1)
-    buckets = 1 << max(0, round(math.log2(max(1, n / target))))
-    if tables * probes >= buckets:
-        return whole, 1
-    sample = cut(wanted.orderBy(F.xxhash64("query_id", F.lit(7)), "query_id").limit(SAMPLE))
-    true = search(index, sample, whole, 1, k, cut).join(index.select("entry", "vector"), "entry").select("query_id", "vector").collect()
-    asks = sample.collect()
+    shared, width = index.sparkSession.sparkContext.broadcast(asks), asks.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        best, rows = np.full((len(v), k), np.inf), np.zeros((len(v), k, width))
+        for batch in batches:
+            for lo, n in slices(batch.columns, 1 << 14):
+                x = vectors_of(batch["vector"].slice(lo, n), width)
+                d = np.stack([((x - q) ** 2).sum(axis=1) for q in v])
+                d = np.concatenate([best, np.where(d > 0, d, np.inf)], axis=1)
+                top = np.argpartition(d, k - 1, axis=1)[:, :k]
+                new = np.where((top < k)[:, :, None], np.take_along_axis(rows, np.minimum(top, k - 1)[:, :, None], axis=1), x[np.maximum(top - k, 0)])
+                best, rows = np.take_along_axis(d, top, axis=1), new
+        q, r = np.nonzero(np.isfinite(best))
+        lists = pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * width, rows[q, r].reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), lists, pa.array(best[q, r])], ["q", "vector", "score"])
+
+    near = index.select("vector").mapInArrow(run, "q int, vector array<double>, score double")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vector"))).where(F.col("r") <= k).drop("r")
+
+
+def fitted(index: DataFrame, wanted: DataFrame, width: int, n: int, k: int, target: int) -> tuple[Hashes, int]:
+    """Hashes and probes that find the share GOAL of the true neighbours of SAMPLE queries at the least cost."""
+    asked = wanted.count()
+    asks = np.asarray([r["vector"] for r in wanted.orderBy(F.xxhash64("query_id", F.lit(7)), "query_id").limit(SAMPLE).collect()], dtype=np.float64).reshape(-1, width)
+    true = neighbours_of_sample(index, asks, k).collect() if len(asks) else []
     if not true:
-        return whole, 1
-    at = {r["query_id"]: i for i, r in enumerate(asks)}
-    q, x = (np.asarray([r["vector"] for r in rows], dtype=np.float64) for rows in (asks, true))
-    owner = np.asarray([at[r["query_id"]] for r in true])
-    best = (float(n), whole, 1)
-    while buckets > tables * probes:
-        hashes = Hashes(width, buckets, tables)
-        depth = np.sort(depths(hashes, q, owner, x, MOST))
-        need = max(probes, int(depth[math.ceil(GOAL * len(depth)) - 1]))
-        # a query's row moved to a bucket costs as much as MOVE distances
-        cost = need * tables * (n / buckets + MOVE)
-        if need <= MOST and need * tables < buckets and cost < best[0]:
-            best = (cost, hashes, need)
-        buckets >>= 1
+        return Hashes(width, LEAST_BUCKETS, 1), 1
+    x, owner = np.asarray([r["vector"] for r in true], dtype=np.float64), np.asarray([r["q"] for r in true])
+    best: tuple[float, Hashes, int] | None = None
+    for tables in TABLES:
+        buckets = LEAST_BUCKETS
+        while buckets <= max(LEAST_BUCKETS, n / target):
+            hashes = Hashes(width, buckets, tables)
+            depth = np.sort(depths(hashes, asks, owner, x, MOST))
+            need = int(depth[math.ceil(GOAL * len(depth)) - 1])
+            cost = tables * (n * MOVE + asked * need * (MOVE + n / buckets))
+            if need <= MOST and (best is None or cost < best[0]):  # as many probes as LEAST_BUCKETS find everything
+                best = (cost, hashes, need)
+            buckets <<= 1
     return best[1], best[2]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, target: int = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, target: int = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each query but itself."""
     spark = ready(vectors.sparkSession)
     cut, rows, asked = Cut(spark), clean(vectors), clean(queries)
     # a table of embeddings has a few widths, mostly one
     widths = sorted(r["w"] for r in asked.select(F.size("vector").alias("w")).distinct().collect()) or [1]
-    each = [nearest_of_width(rows, asked, w, k, tables, probes, target, cut) for w in widths]
-    return reduce(DataFrame.unionByName, each)
+    return reduce(DataFrame.unionByName, [nearest_of_width(rows, asked, w, k, target, cut) for w in widths])
 
 
-def nearest_of_width(rows: DataFrame, asked: DataFrame, width: int, k: int, tables: int, probes: int, target: int, cut: Cut) -> DataFrame:
+def nearest_of_width(rows: DataFrame, asked: DataFrame, width: int, k: int, target: int, cut: Cut) -> DataFrame:
     out = ("query_id", "rank", "vec_id", "score")
     index = cut(distinct_vectors(rows.where(F.size("vector") == width), k + 1))
     n = index.count()  # copies fill no buckets
     wanted = cut(asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), "vector"))
-    hashes, probes = fitted(index, wanted, width, n, k, tables, probes, target, cut)
-    found = search(index, wanted, hashes, probes, k, cut).select(*out)
-    if not hashes.axes:
-        return found
-    found = cut(found)
+    hashes, probes = fitted(index, wanted, width, n, k, target)
+    found = cut(search(index, wanted, hashes, probes, k, cut).select(*out))
     full = found.where(F.col("rank") == k).select("query_id")
     short = cut(wanted.join(full, "query_id", "left_anti"))
     if short.isEmpty():

@@ -46,15 +46,61 @@ def test_awkward_vectors(spark):
     assert A.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_recall_holds_with_fine_buckets(spark):
-    """2,048 buckets, as a table of 400,000 vectors had them; eight probes of each of 12 tables find about half the neighbours."""
-    x = np.random.default_rng(8).normal(size=(16_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    found = A.nearest(df, df.where("vec_id % 100 = 0"), target=8).toPandas()
-    assert len(found) == 1600
-    hits = sum(len(set(brute(x, q)[0]) & set(g.vec_id)) for q, g in found.groupby("query_id"))
-    assert hits / len(found) >= 0.9
+def spied(monkeypatch):
+    """The settings of the searches that follow: (hashes, probes)."""
+    made, plain = [], A.search
+    monkeypatch.setattr(A, "search", lambda index, wanted, hashes, probes, *more: made.append((hashes, probes)) or plain(index, wanted, hashes, probes, *more))
+    return made
+
+
+def unit(n, width=64, seed=8):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+
+def test_recall_holds_with_fine_buckets(spark, monkeypatch):
+    """Vectors without any structure, and vectors about centres, both hashed."""
+    made = spied(monkeypatch)
+    centres = unit(40, seed=1)
+    for x in (unit(16_000), unit(16_000) * 0.6 + centres[np.arange(16_000) % 40]):
+        df = frame(spark, x)
+        found = A.nearest(df, df.where("vec_id % 100 = 0"), target=8).toPandas()
+        assert len(found) == 1600
+        hits = sum(len(set(brute(x, q)[0]) & set(g.vec_id)) for q, g in found.groupby("query_id"))
+        assert hits / len(found) >= 0.9
+    assert len(made) == 2 and all(h.axes for h, _ in made)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_table_is_hashed(spark, monkeypatch, sf):
+    made = spied(monkeypatch)
+    A.op3_cross_polytope(spark, f"/root/testdata/{sf}")
+    assert made and all(h.axes and probes >= 1 for h, probes in made)
+
+
+def test_a_search_is_what_the_same_hashes_give_in_memory(spark, monkeypatch):
+    """Given hashes and probes: the nearest among exactly the vectors of the probed buckets, whatever the chunks."""
+    from tallyframe.llm.common import Cut
+
+    x = unit(3000, 24)
+    df, cut, hashes, probes = frame(spark, x), Cut(spark), A.Hashes(24, 256, 2), 6
+    index = cut(A.distinct_vectors(A.clean(df), 11))
+    wanted = A.clean(df.where("vec_id % 100 = 0")).select(A.F.col("vec_id").alias("query_id"), "vector")
+    for chunk, block in ((4096, 1024), (7, 3)):
+        monkeypatch.setattr(A, "CHUNK", chunk)
+        monkeypatch.setattr(A, "BLOCK", block)
+        got = {}
+        for r in A.search(index, wanted, hashes, probes, 10, cut).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        own = [hashes.probes(x, t, 1)[:, 0] for t in range(2)]
+        for q in range(0, 3000, 100):
+            held = np.any([np.isin(own[t], hashes.probes(x[q : q + 1], t, probes)[0]) for t in range(2)], axis=0)
+            order, _ = brute(x, q, 3000)
+            assert got.get(q, []) == [i for i in order.tolist() if held[i] and i != q][:10]
 
 
 def test_copies_make_no_buckets(spark, monkeypatch):
