@@ -90,10 +90,10 @@ def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
 
 def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame:
     """(id, component) of the class representatives that have links."""
-    tokens = classes.select("id", "m", F.explode("prefix").alias("t"))
+    tokens = classes.select("id", "n", "m", F.explode("prefix").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    held = tokens.join(often, "t").groupBy("id", "m").agg(F.collect_list(F.struct("c", "t")).alias("l")).where(F.size("l") >= F.col("m"))
-    sigs = cut(held.select(F.explode(F.slice(F.sort_array("l"), F.lit(1), F.size("l") - F.col("m") + 1)["t"]).alias("sig"), "id"))
+    held = tokens.join(often, "t").groupBy("id", "n", "m").agg(F.collect_list(F.struct("c", "t")).alias("l")).where(F.size("l") >= F.col("m"))
+    sigs = cut(held.select(F.explode(F.slice(F.sort_array("l"), F.lit(1), F.size("l") - F.col("m") + 1)["t"]).alias("sig"), "id", "n"))
     # the upper halves of the hashes, in their order: hashes are sorted without a sign
     upper = F.transform("prefix", lambda x: (F.shiftrightunsigned(x, 32) - F.lit(1 << 31)).cast("int"))
     marks = cut(classes.join(sigs.select("id").distinct(), "id", "left_semi").select("id", F.col("n").cast("int").alias("n"), "bits", upper.alias("s")))
@@ -103,7 +103,7 @@ def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, c
         few = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k).select("id", "h"))
         return verified(pairs, few, bound, cut)
 
-    out = linked_groups(sigs, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks.select("id", "n", "bits"), bound, parity_near(bound)), link, cut)
+    out = linked_groups(sigs, bound, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks.select("id", "n", "bits"), bound, parity_near(bound)), link, cut)
     cut.drop(marks)
     return out
 

@@ -320,23 +320,24 @@ def apart_in_groups(rows: DataFrame, marks: DataFrame, bound: Bound, near: Calla
 Pairs = Callable[[DataFrame], DataFrame]
 
 
-def linked_groups(sigs: DataFrame, likely: Pairs, apart: Pairs, link: Pairs, cut: Cut) -> DataFrame:
-    """(id, component) of ids that links reach, from a written table (sig, id), which is dropped.
+def linked_groups(sigs: DataFrame, bound: Bound, likely: Pairs, apart: Pairs, link: Pairs, cut: Cut) -> DataFrame:
+    """(id, component) of ids that links reach, from a written table (sig, id, n), which is dropped.
 
     Pairs (a, b) that share a signature are looked at in three rounds. `likely` thins them, `link` writes those that
     are links; `apart` makes pairs of rows (sig, id, component, c) that share a signature and no component.
     """
-    firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sig", "first")
-    shared = cut(sigs.join(firsts, "sig"))
+    firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", "first", "m")
+    near = (F.col("first") < F.col("id")) & (bound.whole * F.col("n") >= bound.part * F.col("m")) & (bound.whole * F.col("m") >= bound.part * F.col("n"))
+    shared = cut(sigs.join(firsts, "sig").select("sig", "id", "first", near.alias("near")))
     cut.drop(sigs)
 
-    # round one: the smallest id that shares a signature
-    one = cut(shared.where("first < id").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    # round one: the smallest id that shares a signature and is of a size to be a partner
+    one = cut(shared.where("near").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
     parts = [link(likely(one))]
     before = found = components(parts[0], cut)
     # round two: the first of each signature, if in another component
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
-    stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = shared.where("near").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     two = likely(stars.join(one, ["a", "b"], "left_anti"))
     parts.append(link(two))
@@ -358,10 +359,10 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound,
     remaining = cut(tokens.join(often, "t", "left_semi").groupBy("id", "m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m")).select("id"))
     sets = cut(full_sets(docs, remaining, k))
     rows = signature_rows(sets, *frequent_tokens(sets, cut), bound)
-    sigs = cut(rows.select("sig", "id"))
+    sigs = cut(rows)
     cut.drop(remaining)
     in_groups = lambda rows: apart_in_groups(rows, parity_marks(sets), bound, parity_near(bound))
-    out = linked_groups(sigs, lambda pairs: plausible(pairs, sets, bound), in_groups, lambda pairs: linked(pairs, sets, bound, cut), cut)
+    out = linked_groups(sigs, bound, lambda pairs: plausible(pairs, sets, bound), in_groups, lambda pairs: linked(pairs, sets, bound, cut), cut)
     cut.drop(sets)
     return out
 
