@@ -38,7 +38,7 @@ MEMO = 500_000
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 6 << 20
 
-PIECE = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
+PIECE = "doc_id long, start long, length long, doc_tokens long, token_bytes binary, number long"
 _state: dict = {}
 
 
@@ -160,7 +160,10 @@ def encoder(path: str) -> WordEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece with its ids as unsigned little-endian 32-bit integers in token_bytes."""
+    """One row per piece with its ids as unsigned little-endian 32-bit integers in token_bytes.
+
+    number tells pieces of one slice apart that agree in all else, as those of rows without doc_id may.
+    """
 
     def run(docs: pa.Array, texts: pa.Array) -> list:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,7 +176,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         length = np.minimum(sizes[owner] - start, capacity)
         offsets = np.concatenate([[0], np.cumsum(length)]).astype("<i4") * 4
         body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-        return [docs.take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sizes[owner]), body]
+        return [docs.take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sizes[owner]), body, pa.array(np.arange(len(owner)))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return map_columns(chosen, run, PIECE, raw=True, size=ENCODE_BYTES)
@@ -210,12 +213,13 @@ def groups_of(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
 
 
 def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length and any other columns).
+    """Adds sequence_id and offset to pieces (doc_id, start, length, number and any other columns); number goes.
 
-    sequence_id = group * 2^32 + bin.
+    sequence_id = group * 2^32 + bin. Groups are dealt by a hash of id, place, length and number, so neither rows
+    without doc_id nor copies of one row meet in one group.
     """
     ready(pieces.sparkSession)
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "number"]
     key, *_ = clear_of(pieces, "_group")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -225,8 +229,8 @@ def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> Dat
         group["offset"] = offsets
         return group[[*names, "sequence_id", "offset"]]
 
-    keyed = pieces.withColumn(key, F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    keyed = pieces.withColumn(key, F.pmod(F.xxhash64("doc_id", "start", "length", "number", F.lit(7)), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id long, offset long"
     return keyed.groupBy(key).applyInPandas(run, schema)
 
 
@@ -236,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     pieces = token_pieces(docs, path, capacity)
-    light = pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens")
+    light = pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "number")
     return pack_pieces(light, groups_of(docs), capacity)
 
 

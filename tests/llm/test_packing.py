@@ -72,3 +72,33 @@ def test_other_tokenizers_encode_whole_texts():
     texts = ["Upper lower", "", "x  y", "it's 42"]
     ids, sizes = enc.encode(pa.array(texts, pa.string()))
     assert not enc.known and ids.tolist() == [x for t in texts for x in enc.whole(t).tolist()] and sizes[1] == 0
+
+
+def test_query_on_whole_documents_against_the_tokenizer(spark):
+    """Every piece of a table: its ids, its place, and full sequences."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    rows = P.op4_pack_ffd(spark, sf).toPandas()
+    enc = P.encoder(PATH)
+    want = {r["doc_id"]: np.append(enc.whole(r["text"] or ""), 1).astype("<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert set(rows.doc_id) == set(want)
+    for r in rows.itertuples():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+    for doc, g in rows.sort_values("start").groupby("doc_id"):
+        assert list(g.start) == list(np.cumsum([0, *g.length[:-1]])) and g.length.sum() == len(want[doc])
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == list(np.cumsum([0, *g.length[:-1]])) and g.length.sum() <= 2048
+    assert rows.length.sum() / (2048 * rows.sequence_id.nunique()) > 0.98
+
+
+def test_rows_without_id_and_repeated_rows_use_all_groups(spark):
+    from pyspark.sql import functions as F
+
+    same = docs(spark, ["one two three"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("n")
+    for df in (same, same.withColumn("doc_id", F.lit(None).cast("long"))):
+        rows = P.pack_pieces(P.token_pieces(df, PATH), 50)
+        assert "number" not in rows.columns
+        sizes = [r["count"] for r in rows.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+        assert len(sizes) == 50 and max(sizes) < 100 and sum(sizes) == 2000
