@@ -144,31 +144,3 @@ def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], sc
 def latency(df: DataFrame, seconds: str = "latency_s") -> DataFrame:
     """Rows a minute, and mean, least and greatest latency."""
     return df.agg((60 * F.count("*") / F.sum(seconds)).alias("rows_per_min"), F.avg(seconds).alias("mean_s"), F.min(seconds).alias("min_s"), F.max(seconds).alias("max_s"))
-
-
-def ngram_model(df: DataFrame, text: str, label: str, kind: str = "word", size: int = 500):
-    """TF-IDF of word or character n-grams and a balanced multinomial logistic regression, as a fitted pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
-
-    orders = (1, 2) if kind == "word" else (3, 4, 5)
-    if kind == "word":
-        tokens = [RegexTokenizer(inputCol=text, outputCol="toks", pattern="\\s+", minTokenLength=1)]
-        tokens += [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in orders]
-    else:  # n-grams of characters lie within a word with a space at either end; a shorter word is one n-gram
-        padded = f"transform(filter(split(lower({text}), '[ \\\\t\\\\n]+'), w -> w <> ''), w -> concat(' ', w, ' '))"
-        inside = ", ".join(f"flatten(transform(words, w -> transform(sequence(1, greatest(1, length(w) - {n} + 1)), i -> substr(w, i, {n})))) AS g{n}" for n in orders)
-        tokens = [SQLTransformer(statement=f"SELECT *, {padded} AS words FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {inside} FROM __THIS__")]
-    total = df.count()
-    classes = df.select(label).distinct().count()
-    weights = df.groupBy(label).agg((F.lit(total) / (F.lit(classes) * F.count("*"))).alias("weight"))
-    stages = [
-        *tokens,
-        SQLTransformer(statement=f"SELECT *, concat({', '.join(f'g{n}' for n in orders)}) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size),
-        IDF(inputCol="tf", outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep"),
-        LogisticRegression(labelCol="y", weightCol="weight", maxIter=30),
-    ]
-    return Pipeline(stages=stages).fit(df.join(F.broadcast(weights), label))  # a row per class

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import json as js
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
-from tallyframe.operators import extra, golden, names, order_stats, pairing, phones, profile, providers
+from tallyframe.operators import extra, golden, names, ngrams, order_stats, pairing, phones, profile, providers
 from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
@@ -421,11 +421,36 @@ register("rule_predictor", lambda s, d: ev.predict(_found(s, d), extra.rule_pred
 register("model_adapter", _predicted, f"{N} SELECT id, CASE WHEN length(alt_name) > 30 THEN 'long' ELSE 'short' END AS predicted FROM np")
 
 
+def gram_rows(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other")
+    return name_pairs(s, d).select("id", F.col("base_name").alias("text"), kind.alias("label"))
+
+
+_grams = {
+    "word": "SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM (SELECT id, regexp_extract_all(lower(base_name), '[\\p{L}\\p{N}_]{2,}') AS t FROM np) q",
+    "char_wb": "SELECT id, substr(w, i, n) AS term FROM (SELECT id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT id, ' ' || w || ' ' AS w, unnest([3, 4, 5]) AS n FROM (SELECT id, unnest(string_split_regex(lower(base_name), '\\s+')) AS w FROM np) q WHERE w <> '') r WHERE length(w) >= n) x",
+}
+for _kind, _size in (("word", 500), ("char_wb", 1000)):
+    register(
+        f"tfidf_weights_{_kind}",
+        lambda s, d, kind=_kind, size=_size: ngrams.tfidf_weights(gram_rows(s, d), "id", "text", kind, size).select("id", "term", ppm("weight").alias("weight")),
+        f"{N}, g AS ({_grams[_kind]}), v AS (SELECT term, ln((1 + (SELECT count(*) FROM np))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM g GROUP BY term ORDER BY count(*) DESC, encode(term) LIMIT {_size}), w AS (SELECT id, term, count(*) * idf AS w FROM g JOIN v USING (term) GROUP BY id, term, idf) SELECT id, term, {PPM.format('w / sqrt(sum(w * w) OVER (PARTITION BY id))')} AS weight FROM w",
+    )
+
+
+def predictions(s: SparkSession, d: str, kind: str, size: int) -> DataFrame:
+    """The rows of the exact test split with the label that a model of the training rows gives them."""
+    rows = order_stats.exact_split(gram_rows(s, d), "id", 0.6)
+    model = ngrams.ngram_model(rows.where("part = 'train'"), "text", "label", kind, size)
+    return ngrams.ngram_predictions(model, rows.where("part = 'test'"), "label").select("id", "label", "predicted")
+
+
+register("ngram_predictions_word", lambda s, d: predictions(s, d, "word", 500))
+register("ngram_predictions_char_wb", lambda s, d: predictions(s, d, "char_wb", 1000))
+
+
 def tfidf_lr(s: SparkSession, d: str) -> DataFrame:
-    rows = name_pairs(s, d).select("id", F.col("base_name").alias("text"), F.when(F.col("base_name").endswith("Hotel"), "hotel").when(F.col("base_name").endswith("GmbH"), "legal").otherwise("other").alias("label"))
-    train, test = ev.hash_split(rows, "id", 0.6)
-    out = ev.ngram_model(train, "text", "label").transform(test.withColumn("weight", F.lit(1.0)))
-    return ev.class_accuracy(out.select("y", "prediction"), "y", "prediction")
+    return ev.class_accuracy(predictions(s, d, "word", 500), "label", "predicted")
 
 
 register("tfidf_lr", tfidf_lr)

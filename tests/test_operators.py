@@ -65,19 +65,6 @@ def test_failing_predictors_give_null_rows(spark):
     assert sum(r["predicted"] is None for r in got) == 1 and sum(r["predicted"] == "ok" for r in got) == 3
 
 
-@pytest.mark.parametrize("kind", ["word", "char_wb"])
-def test_ngram_models(spark, kind, tmp_path):
-    rows = [(i, f"grand hotel {i % 7}" if i % 2 else f"steel works {i % 5}", "stay" if i % 2 else "work") for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, text string, label string")
-    model = ev.ngram_model(df, "text", "label", kind)
-    out = model.transform(df.withColumn("weight", F.lit(1.0)))
-    assert out.where("prediction = y").count() == 60
-    if kind == "char_wb":
-        grams = set(out.where("id = 1").select("grams").first()[0])
-        assert " ho" in grams and "otel " in grams and not any(" " in g.strip() for g in grams)
-    files.write_model(model, str(tmp_path / kind))
-
-
 SCRIPTS = ["ローソン いわき下好間店", "ﾛｰｿﾝ", "ガーデン・カフェ", "วัดห้วยปราบ ต. บ่อวิน", "한국 식당", "Ｃａｆé  Roma", "Église & Fils", "日本 料理", "", " ", "Straße 12", "パン屋", "ぱん屋", None, "it's", "①②", "Ǆ café", "a\u0301b"]
 
 
