@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.once import once
+from tallyframe.operators.order_stats import percentiles
 from tallyframe.operators.profile import share_of_all
 
 
@@ -144,3 +146,80 @@ def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], sc
 def latency(df: DataFrame, seconds: str = "latency_s") -> DataFrame:
     """Rows a minute, and mean, least and greatest latency."""
     return df.agg((60 * F.count("*") / F.sum(seconds)).alias("rows_per_min"), F.avg(seconds).alias("mean_s"), F.min(seconds).alias("min_s"), F.max(seconds).alias("max_s"))
+
+
+#: Chances that a Poisson count of mean 1 is at most 0, 1, ..., 6, of 2**32.
+_POISSON = [math.floor(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 32)) for k in range(7)]
+
+
+def poisson_weight(key: Column, draw: Column, salt: str = "") -> Column:
+    """How often a row stands in a resample: a Poisson count of mean 1 from a digest, the same on any engine (7 at most)."""
+    u = F.conv(F.substring(F.md5(F.encode(F.concat(key.cast("string"), F.lit(f"#{salt}"), draw.cast("string")), "UTF-8")), 1, 8), 16, 10).cast("long")
+    return F.array_size(F.filter(F.array(*map(F.lit, _POISSON)), lambda edge: edge <= u))
+
+
+def accuracy_interval(df: DataFrame, key: str, truth: str, pred: str, by: list[str] | None = None, draws: int = 200, level: float = 0.95, salt: str = "") -> DataFrame:
+    """by, row_count, correct, accuracy, low, high: the share that is right, with the percentiles of its resamples.
+
+    Each resample gives every row a Poisson weight, so all are sums of one aggregation that is combined before its
+    shuffle; low and high are the values at the places ceil(n (1 - level) / 2) and ceil(n (1 + level) / 2) of the n
+    resamples that drew any row. A null label or prediction is wrong; a null key is a key of its own.
+    """
+    by = by or []
+    right = F.coalesce(F.col(truth) == F.col(pred), F.lit(False)).cast("long")
+    weight = poisson_weight(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_draw"), salt)
+    each = df.select(*by, key, right.alias("_right"), F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("_draw"))
+    w = F.when(F.col("_draw") == draws, 1).otherwise(weight)  # the last is the sample itself
+    sums = each.select(*by, "_draw", "_right", w.alias("_w")).groupBy(*by, "_draw").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_right")).alias("c"))
+    share = F.when(F.col("n") > 0, F.col("c") / F.col("n"))
+    own = F.col("_draw") == draws
+    edges = percentiles(sums, by, F.when(~own, share), {"low": (1 - level) / 2, "high": (1 + level) / 2})
+    base = sums.where(own).select(*by, F.col("n").alias("row_count"), F.col("c").alias("correct"), share.alias("accuracy"))
+    if not by:
+        return base.join(edges)  # one row each
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    return base.alias("a").join(edges.alias("b"), on).select("a.*", "b.low", "b.high")
+
+
+def demo_search(candidates: DataFrame, rows: DataFrame, predictor: Callable[[DataFrame, DataFrame], DataFrame], truth: str, key: str = "id", first: int = 50, rungs: int = 3, salt: str = "42") -> DataFrame:
+    """Successive halving over candidate sets of demonstrations: rung, candidate, row_count, correct, kept.
+
+    Rung r looks at the first * 2**r rows with the smallest digests, all remaining candidates times rows at once, and
+    keeps the better half (rounded up; of equals the smaller candidate). predictor: from candidates (candidate) and
+    rows to (candidate, key, predicted); rows that it leaves out or gives null are wrong. Each rung's candidates
+    come from the rung before, so dropped ones cost nothing further; all rungs are returned.
+    """
+    left, out = candidates.select("candidate").distinct(), []
+    for r in range(rungs):
+        chosen = hash_sample(rows, first << r, salt, key)
+        said = predictor(left, chosen).groupBy("candidate", key).agg(F.min("predicted").alias("predicted"))
+        right = said.join(chosen.select(F.col(key), F.col(truth).alias("_truth")), key).where(F.col("predicted") == F.col("_truth"))
+        scored = left.join(right.groupBy("candidate").agg(F.count("*").alias("correct")), "candidate", "left").withColumn("correct", F.coalesce("correct", F.lit(0)))
+        scored = scored.join(F.broadcast(chosen.agg(F.count("*").alias("row_count"))))  # one row
+        # candidates are parameters of the search, a few hundred at most
+        place, total = F.row_number().over(Window.orderBy(F.desc("correct"), "candidate")), F.count("*").over(Window.partitionBy())
+        marked = scored.select(F.lit(r).alias("rung"), "candidate", "row_count", "correct", (place <= F.ceil(total / 2)).alias("kept"))
+        out.append(marked)
+        left = marked.where("kept").select("candidate")
+    return reduce(DataFrame.unionByName, out)
+
+
+def drawn_demos(train: DataFrame, candidates: DataFrame, size: int, key: str = "id") -> DataFrame:
+    """Each candidate's demonstrations: the `size` training rows with the smallest digests of key and candidate."""
+    digest = F.md5(F.encode(F.concat(F.col(key).cast("string"), F.lit("#"), F.col("candidate").cast("string")), "UTF-8"))
+    each = train.join(F.broadcast(candidates)).withColumn("_d", digest)  # candidates are a parameter
+    best = Window.partitionBy("candidate").orderBy("_d", key)
+    return each.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= size).drop("_d", "_r")
+
+
+def nearest_demo(demos: DataFrame, text: str, label: str, key: str = "id") -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A predictor for demo_search: the label of the candidate's demonstration that shares most words with the row, of
+    equals the smallest label; none where no word is shared."""
+    words = lambda df: F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+")))
+
+    def predictor(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+        shown = demos.join(candidates, "candidate").select("candidate", F.col(key).alias("_demo"), F.col(label).alias("_label"), words(demos).alias("w")).where("w <> ''")
+        met = rows.select(key, words(rows).alias("w")).join(shown, "w").groupBy("candidate", key, "_demo", "_label").agg(F.count("*").alias("n"))
+        return met.groupBy("candidate", key).agg(F.min(F.struct(-F.col("n"), "_label")).alias("b")).select("candidate", key, F.col("b._label").alias("predicted"))
+
+    return predictor

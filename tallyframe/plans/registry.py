@@ -484,3 +484,54 @@ register("latency", lambda s, d: ev.latency(s.read.parquet(f"{d}/lineitem.parque
 register("sessions", lambda s, d: stream.sessions(s.read.parquet(f"{d}/events.parquet")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "row_count"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS row_count FROM n GROUP BY user_id, k")
 register("known_candidates", lambda s, d: extra.known(extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", "short_name", "long_name"), name_pairs(s, d).where("substr(id, -2, 1) IN ('1', '2', '3')").select(F.upper("alt_name").alias("short_name"), F.col("base_name").alias("long_name"))).select("id", "is_known"), f"{SUB}, m AS (SELECT id, CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END AS s, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS l FROM z), k AS (SELECT DISTINCT lower(trim(replace(upper(alt_name), 'ẞ', 'SS'))) AS ks, lower(trim(base_name)) AS kl FROM np WHERE substr(id, -2, 1) IN ('1', '2', '3')) SELECT id, ks IS NOT NULL AS is_known FROM m LEFT JOIN k ON lower(trim(s)) = ks AND lower(trim(l)) = kl")
 register("event_label_counts", lambda s, d: stream.label_counts(s.read.parquet(f"{d}/events.parquet"), F.col("event_type")), "SELECT date_trunc('hour', ts) AS start, event_type AS label, count(*) AS row_count FROM events GROUP BY 1, 2")
+
+
+# --- intervals and searches: predictions are fixed functions of the labels ------------------------
+_names = ", ".join(f"'{x}'" for x in extra.LABELS)
+_truth = "element_at({0}, CAST(doc_id % 4 + 1 AS INT))"
+_edges = ", ".join(map(str, ev._POISSON))
+
+
+def judged(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, part, truth and a prediction that is wrong for a third of some rows."""
+    rows = s.read.parquet(f"{d}/labels.parquet")
+    return rows.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("part"), F.expr(_truth.format(f"array({_names})")).alias("truth"), F.expr(_truth.replace("doc_id", "(doc_id + CASE WHEN doc_id % 7 < 2 THEN 1 ELSE 0 END)").format(f"array({_names})")).alias("predicted"))
+
+
+_judged = f"SELECT doc_id, coalesce(CAST(quality AS VARCHAR), 'none') AS part, {_truth.format(f'[{_names}]')} AS truth, {_truth.replace('doc_id', '(doc_id + CASE WHEN doc_id % 7 < 2 THEN 1 ELSE 0 END)').format(f'[{_names}]')} AS predicted FROM labels".replace("element_at(", "list_extract(")
+register(
+    "accuracy_interval",
+    lambda s, d: ev.accuracy_interval(judged(s, d), "doc_id", "truth", "predicted", ["part"], 60).select("part", "row_count", "correct", *[ppm(c).alias(c) for c in ("accuracy", "low", "high")]),
+    f"""WITH j AS ({_judged}), e AS (SELECT part, CASE WHEN truth = predicted THEN 1 ELSE 0 END AS ok, b, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '#' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM j, range(60) r(b)),
+s AS (SELECT part, b, sum(w) AS n, sum(w * ok) / sum(w)::DOUBLE AS x FROM (SELECT *, len(list_filter([{_edges}], lambda t: t <= u)) AS w FROM e) q GROUP BY 1, 2),
+o AS (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY x) AS k, count(*) OVER (PARTITION BY part) AS m FROM s WHERE n > 0),
+c AS (SELECT part, max(CASE WHEN k = greatest(ceil(m * ((1 - 0.95::DOUBLE) / 2)), 1) THEN x END) AS low, max(CASE WHEN k = greatest(ceil(m * ((1 + 0.95::DOUBLE) / 2)), 1) THEN x END) AS high FROM o GROUP BY 1),
+t AS (SELECT part, count(*) AS row_count, {I.format("count(*) FILTER (WHERE truth = predicted)")} AS correct FROM j GROUP BY 1)
+SELECT part, row_count, correct, {PPM.format("correct / row_count::DOUBLE")} AS accuracy, {PPM.format("low")} AS low, {PPM.format("high")} AS high FROM t JOIN c USING (part)""",
+)
+# what candidate c says: right where a digest of row and candidate is below a bound of its own
+_say = "CASE WHEN substr(md5(concat(CAST(doc_id AS {0}), '/', CAST(candidate AS {0}))), 1, 1) < substr('3579bdf8', CAST(candidate AS INT) + 1, 1) THEN truth ELSE 'none' END"
+
+
+def halving(s: SparkSession, d: str) -> DataFrame:
+    said = judged(s, d).join(F.broadcast(s.range(8).withColumnRenamed("id", "candidate"))).select("candidate", "doc_id", F.expr(_say.format("STRING")).alias("predicted"))  # recorded predictions
+    return ev.demo_search(s.range(8).withColumnRenamed("id", "candidate"), judged(s, d), lambda left, rows: said.join(left, "candidate").join(rows.select("doc_id"), "doc_id"), "truth", "doc_id", 40)
+
+
+def _rung(r: int) -> str:
+    src = "cand" if r == 0 else f"(SELECT candidate FROM r{r - 1} WHERE kept)"
+    return f"r{r} AS (SELECT {r} AS rung, candidate, row_count, correct, row_number() OVER (ORDER BY correct DESC, candidate) <= ceil(count(*) OVER () / 2.0) AS kept FROM (SELECT candidate, count(*) AS row_count, count(*) FILTER (WHERE {_say.format('VARCHAR')} = truth) AS correct FROM o, {src} c WHERE k <= {40 << r} GROUP BY 1) q)"
+
+
+register("demo_search", halving, f"WITH j AS ({_judged}), o AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id) AS k FROM j), cand AS (SELECT range AS candidate FROM range(8)), {', '.join(_rung(r) for r in range(3))} " + " UNION ALL ".join(f"SELECT * FROM r{r}" for r in range(3)))
+
+
+def searched_demos(s: SparkSession, d: str) -> DataFrame:
+    """Demonstrations drawn from the rows for fitting, scored by the nearest of them on the rows for tuning."""
+    rows = ev.nested_split(gram_rows(s, d), "id")
+    candidates = s.range(16).withColumnRenamed("id", "candidate")
+    demos = ev.drawn_demos(rows.where("part = 'fit'").select("id", "text", "label"), candidates, 8)
+    return ev.demo_search(candidates, rows.where("part = 'tune'"), ev.nearest_demo(demos, "text", "label"), "label", "id", 40)
+
+
+register("demo_search_nearest", searched_demos)
