@@ -15,6 +15,7 @@ from tallyframe.operators import extra, golden, names, ngrams, order_stats, pair
 from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
+from tallyframe.streaming import pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -535,3 +536,10 @@ def searched_demos(s: SparkSession, d: str) -> DataFrame:
 
 
 register("demo_search_nearest", searched_demos)
+
+# --- pairs of a stream, over its whole table ------------------------------------------------------
+register(
+    "event_pairs",
+    lambda s, d: pairs.pair_stream(s.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "user_id", "event_type", "event_id", "event_type").select("user_id", "alt_name", "base_name", F.col("alt_time").cast("timestamp_ntz").alias("alt_time"), F.col("base_time").cast("timestamp_ntz").alias("base_time")),
+    "SELECT a.user_id, a.event_type AS alt_name, b.event_type AS base_name, a.ts AS alt_time, b.ts AS base_time FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE trim(a.event_type) <> '' AND trim(b.event_type) <> ''",
+)
