@@ -12,6 +12,7 @@ from tallyframe.functions import json as js
 from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
 from tallyframe.operators import extra, golden, names, ngrams, order_stats, pairing, phones, profile, providers
+from tallyframe.plans import sql
 from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
 from tallyframe.session import ready
 from tallyframe.streaming import labels as stream
@@ -543,3 +544,19 @@ register(
     lambda s, d: pairs.pair_stream(s.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "user_id", "event_type", "event_id", "event_type").select("user_id", "alt_name", "base_name", F.col("alt_time").cast("timestamp_ntz").alias("alt_time"), F.col("base_time").cast("timestamp_ntz").alias("base_time")),
     "SELECT a.user_id, a.event_type AS alt_name, b.event_type AS base_name, a.ts AS alt_time, b.ts AS base_time FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE trim(a.event_type) <> '' AND trim(b.event_type) <> ''",
 )
+
+
+# --- the same through SQL text only -----------------------------------------------------------------
+def through_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sql.register_functions(s)
+        sql.create_views(phone_pairs(s, d), name_pairs(s, d))
+        return s.sql(text)
+
+    return run
+
+
+register("sql_phone_staged", through_sql("SELECT * FROM tf_phone_staged"), ORACLE_SQL["phone_staged"])
+register("sql_norm_spelling", through_sql("SELECT id, tf_norm_spelling(alt_name) AS alt_form, tf_norm_spelling(base_name) AS base_form FROM tf_name_pairs"), ORACLE_SQL["name_norm_spelling"])
+register("sql_name_typo", through_sql("SELECT id, tf_is_typo(tf_norm_compare(alt_name), tf_norm_compare(base_name)) AS typo FROM tf_name_pairs"), ORACLE_SQL["name_typo"])
+register("sql_name_tier1_summary", through_sql("SELECT tier1, count(*) AS row_count, count(*) / sum(count(*)) OVER () AS ratio FROM tf_name_classes GROUP BY tier1"), ORACLE_SQL["name_tier1_summary"])
