@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Cut, map_columns, table, text_of
-from tallyframe.llm.ngram_join import K1, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, parity, parity_near, shingle_sets, signed, verified
+from tallyframe.llm.ngram_join import K1, SET_BYTES, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, parity, parity_near, shingle_sets, signed, verified
 
 #: Hashes of a sketch.
 K = 64
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
         return [ids, *(list(c) for c in zip(*rows, strict=True))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<long>, bits array<long>", rows=1000, raw=True)
+    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<long>, bits array<long>", rows=1000, raw=True, size=SET_BYTES)
 
 
 def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:

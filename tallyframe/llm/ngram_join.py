@@ -45,6 +45,8 @@ LOW = (1 << 32) - 1
 BLOOM_WORDS = 1 << 20
 #: Places of the parity sketch. Sketches of two sets differ in no more places than the sets in tokens.
 PARITY = 2048
+#: Bytes of text that sets are made of at a time: hashes of all words and shingles of a slice stand in memory together.
+SET_BYTES = 1 << 20
 #: Rows of a signature's group that one piece of work compares with as many others.
 BLOCK = 1024
 
@@ -120,7 +122,7 @@ def fingerprints(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
         return [ids, *(list(c) for c in zip(*rows, strict=True))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<int>", rows=1000, raw=True)
+    return map_columns(chosen, run, "doc_id long, n long, fp_a long, fp_b long, m int, prefix array<int>", rows=1000, raw=True, size=SET_BYTES)
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -150,7 +152,7 @@ def full_sets(docs: DataFrame, remaining: DataFrame, k: int) -> DataFrame:
 
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
     word, bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(BLOOM_WORDS)), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(64))
-    return map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>, bits array<long>", rows=1000, raw=True)
+    return map_columns(plain.select("id", word.alias("w"), bit.alias("b"), "text"), run, "id long, h array<long>, bits array<long>", rows=1000, raw=True, size=SET_BYTES)
 
 
 def frequent_tokens(sets: DataFrame, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
