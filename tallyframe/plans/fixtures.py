@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.session import for_session, shared_dir
+from tallyframe.sources.files import write_sets
+
 NAME_PAIRS = """
 WITH d AS (
   SELECT doc_id, CAST(doc_id % 10 AS INT) AS kind, source,
@@ -50,6 +55,25 @@ SELECT concat('c', lpad(CAST(c_custkey AS STRING), 8, '0')) AS id,
 FROM (SELECT *, CAST(2000000000 + (c_custkey * 7919 + 104729) % 7999999999 AS STRING) AS nat FROM customer) t
 """
 
+# What three models say of each labelled row, as the texts of their files: some without a label, with one that is
+# not in use or with a broken number; the file of the third has no labels at all, that of a fourth isn't there.
+SET_ROWS = {
+    "a": """SELECT CASE WHEN doc_id % 17 = 3 THEN concat('x', CAST(doc_id AS STRING)) ELSE CAST(doc_id AS STRING) END AS doc_id,
+  CASE WHEN doc_id % 11 = 0 THEN 'NA' WHEN doc_id % 13 = 0 THEN 'unknown' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS predicted,
+  concat('said "', CAST(toxic AS STRING), '",', chr(10), 'then ended') AS note FROM labels""",
+    "b": """SELECT concat('n', CAST(quality AS STRING)) AS note, CASE WHEN toxic = 1 THEN 'bad' ELSE 'good' END AS predicted,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id AS STRING) END AS doc_id, 'more' AS other FROM labels""",
+    "c": "SELECT CAST(doc_id AS STRING) AS doc_id, 'c' AS note FROM labels",
+}
+
+
+def set_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The models' CSV files by name, made from all labels."""
+    folder = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+    write_sets({name: from_table(spark, sf_dir, sql, "labels") for name, sql in SET_ROWS.items()}, folder)
+    for_session(spark, folder)
+    return {name: f"{folder}/{name}" for name in (*SET_ROWS, "absent")}
+
 
 def from_table(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
     """Runs SQL that names one base table over that table's Parquet file."""

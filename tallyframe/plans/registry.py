@@ -13,8 +13,9 @@ from tallyframe.functions import text as t
 from tallyframe.operators import evaluation as ev
 from tallyframe.operators import extra, golden, names, ngrams, order_stats, pairing, phones, profile, providers
 from tallyframe.plans import sql
-from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, from_table, name_pairs, phone_pairs
+from tallyframe.plans.fixtures import NAME_PAIRS, PHONE_PAIRS, SET_ROWS, from_table, name_pairs, phone_pairs, set_files
 from tallyframe.session import ready
+from tallyframe.sources.evaluation_sets import read_sets, rejected, usable
 from tallyframe.streaming import labels as stream
 from tallyframe.streaming import pairs
 
@@ -546,6 +547,19 @@ register(
 )
 
 
+# --- evaluation sets, from files that are written first -------------------------------------------
+def sets(s: SparkSession, d: str) -> DataFrame:
+    return read_sets(s, set_files(s, d), {"doc_id": "long", "predicted": "string", "note": "string"}, ["doc_id", "predicted"], {"predicted": ("good", "bad")}, least=2)
+
+
+_cells = " UNION ALL ".join(f"SELECT '{name}' AS set_name, doc_id, {'predicted' if name != 'c' else 'NULL'} AS predicted, note FROM ({text}) {name}" for name, text in SET_ROWS.items())
+_sets = f"""WITH cells AS ({_cells}), judged AS (SELECT set_name, TRY_CAST(doc_id AS BIGINT) AS doc_id, nullif(predicted, 'NA') AS predicted, note, CASE
+WHEN set_name = 'c' THEN 'no column: predicted' WHEN doc_id IS NULL THEN 'no value: doc_id' WHEN predicted = 'NA' THEN 'no value: predicted'
+WHEN TRY_CAST(doc_id AS BIGINT) IS NULL THEN 'not a long: doc_id' WHEN predicted NOT IN ('good', 'bad') THEN 'not valid: predicted' END AS reason FROM cells)"""
+register("evaluation_rows", lambda s, d: usable(sets(s, d)), f"{_sets} SELECT set_name, doc_id, predicted, note FROM judged WHERE reason IS NULL")
+register("evaluation_rejects", lambda s, d: rejected(sets(s, d)).groupBy("set_name", "reason").agg(F.count("*").alias("row_count")), f"{_sets} SELECT set_name, reason, count(*) AS row_count FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2")
+
+
 # --- the same through SQL text only -----------------------------------------------------------------
 def through_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:

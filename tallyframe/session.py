@@ -28,6 +28,24 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/tallyframe-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
+
+
+def for_session(spark: SparkSession, path: str) -> str:
+    """Has a written path deleted when the session's driver ends, by the path's own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
     conf = {
         "spark.sql.shuffle.partitions": str(partitions),

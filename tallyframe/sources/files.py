@@ -39,6 +39,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
+def write_sets(sets: dict[str, DataFrame], folder: str) -> None:
+    """Each relation as CSV files with a header in a folder of its own name; values keep their blanks and line breaks."""
+    for name, df in sets.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def write_table(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
