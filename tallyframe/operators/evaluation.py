@@ -122,8 +122,9 @@ def nested_split(df: DataFrame, key: str, fraction: float = 0.6, sub: float = 0.
     return out.join(kept, key, "left").withColumn("part", F.when((F.col("part") == "fit") & F.col("_kept").isNull(), "spare").otherwise(F.col("part"))).drop("_kept")
 
 
-def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies a model to batches; a batch that fails is retried by row, and rows that fail get null labels."""
+def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], schema: str, failed: dict | None = None) -> DataFrame:
+    """Applies a model to batches; a batch that fails is retried by row, and rows that fail get the values of `failed`,
+    by default null, and keep those of their own columns."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +138,7 @@ def predict(df: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], sc
                     try:
                         rows.append(predictor(one)[names])
                     except Exception:
-                        rows.append(one.reindex(columns=names))
+                        rows.append(one.assign(**(failed or {})).reindex(columns=names))
                 yield pd.concat(rows)
 
     return df.mapInPandas(run, schema)

@@ -352,6 +352,12 @@ register(
     lambda s, d: golden.golden_subsets(name_pairs(s, d)).select("id", extra.rule_label(F.col("extra_content"), F.when(F.length("alt_name") <= F.length("base_name"), F.col("base_name")).otherwise(F.col("alt_name"))).alias("label")),
     f"{SUB} SELECT id, CASE WHEN list_has_any({_set('extra')}, {_list(extra.NOISE)}) OR regexp_matches(extra, '#[0-9]{{3,}}') THEN 'noise' WHEN list_has_any({_set('extra')}, {_list(extra.BIZ_FULL)}) THEN 'business_type' WHEN len({_own}) BETWEEN 1 AND 4 AND len(list_filter({_own}, lambda w: list_contains({_set('CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END')}, {_title}))) / len({_own})::DOUBLE >= 0.6 THEN 'location' ELSE 'disambiguation' END AS label FROM z",
 )
+# the same with the vocabulary that was drawn up before any labels were seen
+register(
+    "extra_rule_classify_blind",
+    lambda s, d: golden.golden_subsets(name_pairs(s, d)).select("id", extra.rule_label(F.col("extra_content"), F.when(F.length("alt_name") <= F.length("base_name"), F.col("base_name")).otherwise(F.col("alt_name")), extra.BIZ_BLIND).alias("label")),
+    ORACLE_SQL["extra_rule_classify"].replace(_list(extra.BIZ_FULL), _list(extra.BIZ_BLIND)),
+)
 _prep = extra.PREPOSITION.replace("(?iu)", "(?i)")
 _nouns = f"list_filter(list_filter({_set('extra')}, lambda w: regexp_matches(w, '^[a-z]{{3,}}$')), lambda w: NOT list_contains({_list(extra.COMPOUND_BIZ)}, w) AND list_contains({_set('ll')}, {_title}))"
 _scan = f"{SUB}, m AS (SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z), o AS (SELECT id, len(list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})) AS n_biz, CASE WHEN regexp_matches(extra, '{_prep}') THEN 'spatial_prep' WHEN regexp_matches(extra, '{extra.SEPARATED}') THEN 'sep_cap' WHEN len({_nouns}) > 0 THEN 'proper_noun:' || list_extract({_nouns}, 1) END AS location FROM m)"
@@ -361,6 +367,20 @@ register(
     _scan + " SELECT id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN 'candidate' WHEN n_biz > 0 THEN 'biz_only' ELSE 'none' END AS kind, location, CAST(n_biz AS BIGINT) AS n_biz FROM o",
 )
 register("faithfulness", lambda s, d: name_pairs(s, d).select("id", extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("latin")).alias("faithful"), extra.is_faithful(F.col("base_name"), F.col("alt_name"), F.lit("cjk")).alias("by_character")), f"{N} SELECT id, len(list_filter({_words('''regexp_replace(lower(base_name), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(alt_name), w))) = 0 AS faithful, len(list_filter(string_split(base_name, ''), lambda c: trim(c) <> '' AND NOT contains(alt_name, c))) = 0 AS by_character FROM np")
+# how names relate, and what is built of them, by the rules that stand in for models
+_sides = "SELECT id, extra, CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END AS ss, CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END AS ll FROM z"
+register(
+    "name_relation",
+    lambda s, d: extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", extra.relation(F.col("short_name"), F.col("long_name"), F.col("extra_content")).alias("relation")),
+    f"{_scan} SELECT o.id, CASE WHEN coalesce(trim(m.extra), '') = '' THEN 'none' WHEN n_biz > 0 AND location IS NOT NULL THEN 'compound' WHEN n_biz > 0 THEN 'business' WHEN location IS NOT NULL THEN 'place' ELSE 'other' END AS relation FROM o JOIN m ON o.id = m.id",
+)
+_trades = f"list_intersect({_set('extra')}, {_list(extra.COMPOUND_BIZ)})"
+_built = f"coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(ll, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '), lambda w: list_has_any({_set('lower(w)')}, list_concat({_set('lower(ss)')}, {_trades}))), ' '), '')"
+register(
+    "name_construct",
+    lambda s, d: extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", extra.construct(F.col("short_name"), F.col("long_name"), F.col("extra_content")).alias("built")),
+    f"{SUB} SELECT id, CASE WHEN len({_trades}) > 0 THEN {_built} END AS built FROM ({_sides}) t",
+)
 register("relation_router", lambda s, d: extra.compound_scan(golden.golden_subsets(name_pairs(s, d))).select("id", extra.route(F.col("kind") == "candidate", F.col("biz"), extra.is_faithful(F.col("short_name"), F.col("long_name"), F.lit("latin"))).alias("action")), f"{_scan}, fa AS (SELECT id, len(list_filter({_words('''regexp_replace(lower(CASE WHEN length(alt_name) <= length(base_name) THEN alt_name ELSE base_name END), '[ \\t\\n]+', ' ', 'g')''')}, lambda w: NOT contains(lower(CASE WHEN length(alt_name) <= length(base_name) THEN base_name ELSE alt_name END), w))) = 0 AS faithful FROM z) SELECT o.id, CASE WHEN n_biz > 0 AND location IS NOT NULL THEN CASE WHEN faithful THEN 'construct' ELSE 'abstain_unfaithful' END ELSE 'keep_shorter' END AS action FROM o JOIN fa ON o.id = fa.id")
 _marks = {k: p for k, p in t.MARK_CLASSES.items()} | {"any_mark": "|".join(t.MARK_CLASSES.values())}
 register("unicode_audit", lambda s, d: name_pairs(s, d).select("id", t.mark_flags(F.col("alt_name")).alias("m")).select("id", "m.*"), f"{N} SELECT id, " + ", ".join(f"regexp_matches(alt_name, '{p}') AS {k}" for k, p in _marks.items()) + " FROM np")

@@ -68,3 +68,13 @@ def test_search_over_demonstrations(spark):
         left = kept
     got = ev.demo_search(candidates, frame(valid), ev.nearest_demo(demos, "text", "label"), "label", first=10).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_on_which_a_model_fails_get_the_given_label(spark):
+    def predictor(batch):
+        if (batch["id"] == 2).any():
+            raise ValueError("no answer")
+        return batch.assign(predicted="fine")
+
+    got = ev.predict(spark.range(5).coalesce(1), predictor, "id long, predicted string", {"predicted": "error"}).collect()
+    assert sorted(map(tuple, got)) == [(0, "fine"), (1, "fine"), (2, "error"), (3, "fine"), (4, "fine")]
