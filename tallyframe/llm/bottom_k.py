@@ -10,8 +10,11 @@ A document's set holds the hashes of its shingles; equal sets are one class. Its
 2. Estimates. Classes of one list that are not yet in one component (three rounds, as in the n-gram join:
    first holders, firsts of lists, the rest in blocks) are compared by size and by the union's sketch, the K
    smallest hashes of both sketches: too few of them in both, again by that bound, rule a pair out. Inside
-   blocks, where pairs are not yet rows, parities of the sets come first: they differ in no more places than
-   the sets in hashes, so they rule out what a sample of K must let pass, and never a link.
+   blocks, where pairs are not yet rows, marks of the sets come first, of two kinds by size. Parities differ in
+   no more places than the sets in hashes, so they rule out what a sample of K must let pass, and never a link;
+   they say nothing of sets of more than about 1,100 hashes. From LONG on each place keeps a bit of its smallest
+   hash: places whose smallest hash is in both sets agree, and half of the others, by that bound once more.
+   Lists of one first holder are one piece of work, from which a pair comes once, however many lists it shares.
 3. What is left is compared on full sets, in integers; only documents of these pairs are read again.
 
 A link is lost only if a hash behaves worse than one draw in 1e15; the tests compare with brute force.
@@ -24,19 +27,27 @@ no component and kept null; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm import ngram_join
 from tallyframe.llm.common import Cut, map_columns, table, text_of
-from tallyframe.llm.ngram_join import K1, SET_BYTES, Bound, apart_in_groups, full_sets, jaccard_components, linked_groups, mixed, parity, parity_near, shingle_sets, signed, verified
+from tallyframe.llm.ngram_join import K1, SET_BYTES, Bound, full_sets, jaccard_components, linked_groups, mixed, parity, shingle_sets, signed, verified
 
 #: Hashes of a sketch.
 K = 64
 CHANCE = 1e-15
+#: Places of each kind of mark; sets of at least LONG hashes are compared by the bits of smallest hashes.
+PLACES = 512
+LONG = 800
+#: Pairs of rows that are compared at a time.
+AT_ONCE = 1 << 18
 
 
 @cache
@@ -60,14 +71,42 @@ def overlap(n: int, bound: Bound) -> int:
     return min(bound.need(n), least_of_sample(K, bound.part, bound.whole))
 
 
+def smallest_bits(x: np.ndarray) -> np.ndarray:
+    """The lowest bit of the smallest hash of each of PLACES places, which are ranges of the sorted hashes x; 0 without one."""
+    at = (x >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    bits = np.zeros(PLACES, dtype=np.uint8)
+    bits[at[first]] = x[first] & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
+def marks_of(x: np.ndarray, bound: Bound) -> np.ndarray:
+    """Parity and bits of smallest hashes, PLACES each; zeros for the kind that no partner of a possible size is compared by."""
+    out = np.zeros((2, PLACES // 64), dtype=np.int64)
+    if bound.part * len(x) < bound.whole * LONG:
+        out[0] = np.bitwise_xor.reduce(parity(x).reshape(-1, PLACES // 64), axis=0)
+    if len(x) >= LONG:
+        out[1] = smallest_bits(x)
+    return out.ravel()
+
+
+def near(n_i: np.ndarray, n_j: np.ndarray, marks_i: np.ndarray, marks_j: np.ndarray, bound: Bound) -> np.ndarray:
+    """Which pairs, of sizes that may link, their marks do not rule out."""
+    half = PLACES // 64
+    long = np.minimum(n_i, n_j) >= LONG
+    differ = np.bitwise_count(np.where(long[:, None], marks_i[:, half:] ^ marks_j[:, half:], marks_i[:, :half] ^ marks_j[:, :half])).sum(axis=1).astype(np.int64)
+    most = PLACES - least_of_sample(PLACES, bound.whole + bound.part, 2 * bound.whole)
+    return np.where(long, differ <= most, (bound.whole + bound.part) * differ <= (bound.whole - bound.part) * (n_i + n_j))
+
+
 def sketches(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
-    """doc_id, n, two sums that name the set, m = overlap(n), the sketch and the parity of the tokens on 512 places."""
+    """doc_id, n, two sums that name the set, m = overlap(n), the sketch and the marks."""
 
     def run(ids: pa.Array, texts: pa.Array) -> list:
         rows = []
         for x in shingle_sets(texts, k):
             n = len(x)
-            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), signed(x[:K]), np.bitwise_xor.reduce(parity(x).reshape(4, -1), axis=0)))
+            rows.append((n, int(signed(x.sum(keepdims=True))[0]), int(signed(mixed(x + K1).sum(keepdims=True))[0]), overlap(n, bound), signed(x[:K]), marks_of(x, bound)))
         return [ids, *(list(c) for c in zip(*rows, strict=True))]
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
@@ -88,6 +127,62 @@ def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
     return seen.where(enough).select("a", "b")
 
 
+def near_in_lists(g: pa.RecordBatch, starts: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), each once, of rows of one list (from one start to the next) that are apart and near."""
+    part, whole = bound.part, bound.whole
+    ids, comp, n, own, lo, hi = (g[c].to_numpy() for c in ("id", "component", "n", "own", "lo", "hi"))
+    n = n.astype(np.int64)
+    marks = g["bits"].flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)  # bitwise_count takes absolute values of signed numbers
+    sizes = np.diff(np.append(starts, len(ids)))
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(ids)) - 1  # rows of the list behind each row
+    ends = np.cumsum(after)
+    out, x = [np.empty((0, 2), dtype=np.int64)], 0
+    while x < len(ids):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + AT_ONCE, side="right")))
+        i = np.repeat(np.arange(x, y), after[x:y])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[x:y] - after[x:y] - (ends[x] - after[x]), after[x:y])
+        may = (comp[i] != comp[j]) & (whole * n[i] >= part * n[j]) & (whole * n[j] >= part * n[i]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+        i, j = i[may], j[may]
+        may = near(n[i], n[j], marks[i], marks[j], bound)
+        i, j = ids[i[may]], ids[j[may]]
+        out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
+        x = y
+    return tuple(np.unique(np.concatenate(out), axis=0).T)
+
+
+def apart_in_lists(rows: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
+    """Pairs of rows (sig, id, first, component, c) that share a list but no component, as far as marks (id, n, bits) let them pass.
+
+    c is the list's size. Lists of more than BLOCK rows are cut into blocks. A piece of work is two blocks of all lists with
+    one first holder: near copies share most of their lists and these their first, so a pair is made once a piece, not once a
+    list. Numbers of blocks are powers of two, so that lists of similar sizes share their pieces.
+    """
+    blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("c") / F.lit(ngram_join.BLOCK))).cast("double"))).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
+    placed = rows.join(marks, "id").select("sig", "id", "first", "component", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = placed.select("first", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "own", "id", "component", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            held = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
+            if held is None or not held.num_rows:
+                continue
+            key = np.stack([held[c].to_numpy().astype(np.int64) for c in ("first", "lo", "hi", "sig")], axis=1)
+            new = key[1:] != key[:-1]
+            end, rest = held.num_rows, None
+            if batch is not None:  # the last piece may go on in the next batch
+                end = int(np.flatnonzero(new[:, :3].any(axis=1))[-1]) + 1 if new[:, :3].any() else 0
+                rest = held.slice(end)
+            if end:
+                starts = np.append(0, np.flatnonzero(new[: end - 1].any(axis=1)) + 1)
+                a, b = near_in_lists(held.slice(0, end), starts, bound)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    ordered = keyed.repartition("first", "lo", "hi").sortWithinPartitions("first", "lo", "hi", "sig")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, cut: Cut) -> DataFrame:
     """(id, component) of the class representatives that have links."""
     tokens = classes.select("id", "n", "m", F.explode("prefix").alias("t"))
@@ -103,7 +198,7 @@ def list_components(docs: DataFrame, classes: DataFrame, k: int, bound: Bound, c
         few = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k).select("id", "h"))
         return verified(pairs, few, bound, cut)
 
-    out = linked_groups(sigs, bound, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_groups(rows, marks.select("id", "n", "bits"), bound, parity_near(bound)), link, cut)
+    out = linked_groups(sigs, bound, lambda pairs: estimated(pairs, marks, bound), lambda rows: apart_in_lists(rows, marks.select("id", "n", "bits"), bound).distinct(), link, cut)
     cut.drop(marks)
     return out
 

@@ -329,7 +329,7 @@ def linked_groups(sigs: DataFrame, bound: Bound, likely: Pairs, apart: Pairs, li
     """(id, component) of ids that links reach, from a written table (sig, id, n), which is dropped.
 
     Pairs (a, b) that share a signature are looked at in three rounds. `likely` thins them, `link` writes those that
-    are links; `apart` makes pairs of rows (sig, id, component, c) that share a signature and no component.
+    are links; `apart` makes pairs of rows (sig, id, first, component, c) that share a signature and no component.
     """
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", "first", "m")
     near = (F.col("first") < F.col("id")) & (bound.whole * F.col("n") >= bound.part * F.col("m")) & (bound.whole * F.col("m") >= bound.part * F.col("n"))
@@ -348,7 +348,7 @@ def linked_groups(sigs: DataFrame, bound: Bound, likely: Pairs, apart: Pairs, li
     parts.append(link(two))
     found = components(reduce(DataFrame.unionByName, parts), cut)
     # round three: all pairs that are still apart
-    at = shared.join(name("id"), "id", "left").select("sig", "id", F.coalesce("c_id", "id").alias("component"))
+    at = shared.join(name("id"), "id", "left").select("sig", "id", "first", F.coalesce("c_id", "id").alias("component"))
     split = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
     three = likely(apart(at.join(split, "sig")))
     parts.append(link(three))
