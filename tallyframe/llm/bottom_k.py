@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,20 +128,26 @@ def estimated(pairs: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame:
     return seen.where(enough).select("a", "b")
 
 
-def near_in_lists(g: pa.RecordBatch, starts: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b), each once, of rows of one list (from one start to the next) that are apart and near."""
+def near_in_lists(g: pa.RecordBatch, piece: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), each once, of rows of one piece that share a list, are apart and near."""
     part, whole = bound.part, bound.whole
     ids, comp, n, own, lo, hi = (g[c].to_numpy() for c in ("id", "component", "n", "own", "lo", "hi"))
     n = n.astype(np.int64)
     marks = g["bits"].flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)  # bitwise_count takes absolute values of signed numbers
-    sizes = np.diff(np.append(starts, len(ids)))
-    after = np.repeat(starts + sizes, sizes) - np.arange(len(ids)) - 1  # rows of the list behind each row
+    at = np.repeat(np.arange(len(ids)), pc.list_value_length(g["sigs"]).to_numpy())
+    sig = g["sigs"].flatten().to_numpy()
+    order = np.lexsort((sig, piece[at]))
+    at, sig = at[order], sig[order]
+    starts = np.append(0, np.flatnonzero((np.diff(sig) != 0) | (np.diff(piece[at]) != 0)) + 1)
+    sizes = np.diff(np.append(starts, len(at)))
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(at)) - 1  # entries of the list behind each entry
     ends = np.cumsum(after)
     out, x = [np.empty((0, 2), dtype=np.int64)], 0
-    while x < len(ids):
+    while x < len(at):
         y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + AT_ONCE, side="right")))
         i = np.repeat(np.arange(x, y), after[x:y])
         j = i + 1 + np.arange(len(i)) - np.repeat(ends[x:y] - after[x:y] - (ends[x] - after[x]), after[x:y])
+        i, j = at[i], at[j]
         may = (comp[i] != comp[j]) & (whole * n[i] >= part * n[j]) & (whole * n[j] >= part * n[i]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
         i, j = i[may], j[may]
         may = near(n[i], n[j], marks[i], marks[j], bound)
@@ -154,32 +161,32 @@ def apart_in_lists(rows: DataFrame, marks: DataFrame, bound: Bound) -> DataFrame
     """Pairs of rows (sig, id, first, component, c) that share a list but no component, as far as marks (id, n, bits) let them pass.
 
     c is the list's size. Lists of more than BLOCK rows are cut into blocks. A piece of work is two blocks of all lists with
-    one first holder: near copies share most of their lists and these their first, so a pair is made once a piece, not once a
-    list. Numbers of blocks are powers of two, so that lists of similar sizes share their pieces.
+    one first holder: near copies share most of their lists and these their first, so a class is one row of a piece and a pair
+    is made once a piece, not once a list. Numbers of blocks are powers of two, so that lists of similar sizes share their pieces.
     """
     blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("c") / F.lit(ngram_join.BLOCK))).cast("double"))).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
-    placed = rows.join(marks, "id").select("sig", "id", "first", "component", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = placed.select("first", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "own", "id", "component", "n", "bits")
+    held = rows.join(marks, "id").groupBy("id", "first", "component", "n", blocks.alias("blocks")).agg(F.collect_list("sig").alias("sigs"), F.first("bits").alias("bits"))
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    placed = held.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = placed.select("first", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sigs", "own", "id", "component", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in chain(batches, [None]):
-            held = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
-            if held is None or not held.num_rows:
+            ready = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
+            if ready is None or not ready.num_rows:
                 continue
-            key = np.stack([held[c].to_numpy().astype(np.int64) for c in ("first", "lo", "hi", "sig")], axis=1)
-            new = key[1:] != key[:-1]
-            end, rest = held.num_rows, None
+            key = np.stack([ready[c].to_numpy().astype(np.int64) for c in ("first", "lo", "hi")], axis=1)
+            piece = np.append(0, np.cumsum((key[1:] != key[:-1]).any(axis=1)))
+            end, rest = ready.num_rows, None
             if batch is not None:  # the last piece may go on in the next batch
-                end = int(np.flatnonzero(new[:, :3].any(axis=1))[-1]) + 1 if new[:, :3].any() else 0
-                rest = held.slice(end)
+                end = int(np.searchsorted(piece, piece[-1]))
+                rest = ready.slice(end)
             if end:
-                starts = np.append(0, np.flatnonzero(new[: end - 1].any(axis=1)) + 1)
-                a, b = near_in_lists(held.slice(0, end), starts, bound)
+                a, b = near_in_lists(ready.slice(0, end), piece[:end], bound)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    ordered = keyed.repartition("first", "lo", "hi").sortWithinPartitions("first", "lo", "hi", "sig")
+    ordered = keyed.repartition("first", "lo", "hi").sortWithinPartitions("first", "lo", "hi")
     return ordered.mapInArrow(run, "a long, b long")
 
 
