@@ -23,6 +23,12 @@ FACILITY = r"(?i)(バス停|bus\s*stop|atm|cash\s*machine|substation)"
 BRACKETS = r"[()（）【】\[\]]"
 PLAIN_SUFFIX = r",?\s+(llc|l\.l\.c\.|inc|inc\.|corp|corp\.|ltd|ltd\.|co\.|company|incorporated|gmbh|srl|s\.r\.l\.)\.?\s*$"
 
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with \\b between ASCII word characters and all others, as in the SQL; Java's own takes accented letters as word characters."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 SIDES = ("alt", "base")
 
 
@@ -83,7 +89,7 @@ def subset_tags() -> Column:
     (long, short), (long_nc, short_nc) = pick("name"), pick("nc")
     more = t.excess(long_nc, short_nc)
     only = lambda p: long.rlike(p) & ~short.rlike(p)
-    tags = {"parenthetical": only(BRACKETS), "biz_suffix": only(BIZ_SUFFIX), "seo_junk": only(SEO), "branch_suffix": more.rlike(BRANCH), "facility_suffix": more.rlike(FACILITY)}
+    tags = {"parenthetical": only(BRACKETS), "biz_suffix": only(ascii_edges(BIZ_SUFFIX)), "seo_junk": only(SEO), "branch_suffix": more.rlike(ascii_edges(BRANCH)), "facility_suffix": more.rlike(FACILITY)}
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()]))
 
 

@@ -41,6 +41,20 @@ def test_two_tiers(spark):
             assert tag in got[i][1], (a, b, got[i])
 
 
+def test_edges_of_words_are_those_of_the_sql(spark):
+    """After a letter with an accent a word begins, for the SQL: 'óas' ends in the suffix 'as', so GmbH adds no first one."""
+    import duckdb
+
+    rows = [("1", "De ciónóas.", "De ciónóas. GmbH"), ("2", "Da épa", "Da épa GmbH"), ("3", "De osas.", "De osas. GmbH"), ("4", "Roma", "Roma ßstore"), ("5", "Roma", "Roma bstore")]
+    df = spark.createDataFrame(rows, "id string, alt_name string, base_name string")
+    got = {r["id"]: r["tier2"] for r in names.classified(df).collect()}
+    assert got == {"1": ["descriptor"], "2": ["descriptor"], "3": ["biz_suffix"], "4": ["branch_suffix"], "5": ["descriptor"]}
+    words = [x + y for x in ("", "a", "é", "ß", "ñ ", "1", "_", "日", "-") for y in ("sa", "as.", "ag ", "SAé", "co.", "s.a.s.", "do1", "pa,")]
+    ours = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.col("w").rlike(names.ascii_edges(names.BIZ_SUFFIX)).alias("is")).collect()
+    for w, found in ours:
+        assert found == duckdb.execute("SELECT regexp_matches(?, ?)", [w, names.BIZ_SUFFIX]).fetchone()[0], w
+
+
 def test_l2_keeps_scripts(spark):
     for s in ("バ", "ห้", "한국", "Привет", "日本"):
         assert spark.range(1).select(t.l2(F.lit(s))).first()[0].strip() != ""
