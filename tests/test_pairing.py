@@ -33,3 +33,20 @@ def test_pieces_are_bounded_whatever_an_id_holds(spark):
     sizes = pairing.dealt(flat, "id", "name", "position", "provider", 256).groupBy("id", "lo", "hi").count()
     top = sizes.agg(F.max("count"), F.count("*")).first()
     assert top[0] < 2 * 256 * 1.3 and top[1] == 40 * 41 / 2
+
+
+def test_copies_of_a_record_are_bounded(spark, monkeypatch):
+    """Blocks grow with an id, within a number of records and bytes; before, a record of 4,000 with blocks of 4 went to 1,000 blocks."""
+    flat = spark.range(4_000).select(F.lit(-1).alias("id"), F.col("id").alias("position"), F.rpad(F.col("id").cast("string"), 100, "n").alias("name"), F.lit("p").alias("provider"))
+    blocks = lambda: pairing.dealt(flat, "id", "name", "position", "provider", 4).groupBy("own").count().count()
+    assert pairing.dealt(flat, "id", "name", "position", "provider", 4).count() == 4_000 * pairing.SPREAD == 4_000 * blocks()
+    monkeypatch.setattr(pairing, "LARGE", 40)
+    assert blocks() == 100
+    monkeypatch.setattr(pairing, "HEAVY", 1_000)
+    assert blocks() == 400
+
+
+def test_pairs_of_grown_blocks(spark):
+    rows = [("hot", k * 7919 % 500, f"n{k % 50}", ["x", None][k % 2]) for k in range(600)]
+    got = pairing.pair_up(spark.createDataFrame(rows, "id string, position int, name string, provider string"), block=2)
+    assert Counter(tuple(r) for r in got.collect()) == plain(rows)
